@@ -1 +1,16 @@
-"""Registered queries over the driver tables, each with an equivalent SQL text."""
+"""Registered queries over the driver tables, most with an equivalent SQL text."""
+
+from ledgerlark.catalog import (
+    encoding_queries,
+    flagship as flagship_queries,
+    history_queries,
+    metric_queries,
+    profile_queries,
+    row_queries,
+    split_queries,
+)
+
+FAMILIES = (
+    flagship_queries, history_queries, row_queries, profile_queries, split_queries, metric_queries, encoding_queries,
+)
+flagship = flagship_queries.budget_report

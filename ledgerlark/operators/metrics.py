@@ -6,7 +6,7 @@ whole curve. Nothing is ever sorted in one task, and ties are treated exactly.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,57 +111,88 @@ BUDGET_SCHEMA = (
 
 
 def budget_rows(df: DataFrame, label: str, score: str, order: Sequence[str], budgets: Sequence[Budget],
-                days: int = 1, curve: DataFrame | None = None) -> list[dict]:
+                days: int | Mapping[tuple, int] = 1, by: Sequence[str] = (), curve: DataFrame | None = None) -> list[dict]:
     """Metrics of each budget as plain records: the top k rows by score, ties by ``order``.
 
-    Only one boundary per budget comes to the driver. A budget that ends inside a run of equal
-    scores numbers the rows of that run in ``order`` to see how many positives fall inside.
+    ``by`` splits the rows into a few groups (models, splits), each with its own k; ``days`` may then
+    be given per group. Only one boundary per group and budget comes to the driver. A budget that
+    ends inside a run of equal scores numbers the rows of that run in ``order`` to see how many
+    positives fall inside.
     """
-    curve = score_curve(df, label, score) if curve is None else curve
-    totals = curve.agg(F.sum("n"), F.sum("pos")).first()
-    n, positives = int(totals[0] or 0), int(totals[1] or 0)
-    if not n:
+    by = list(by)
+    curve = score_curve(df, label, score, by) if curve is None else curve
+    totals = curve.groupBy(*by).agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p")).collect()
+    groups = {tuple(r[c] for c in by): (int(r["_n"]), int(r["_p"])) for r in totals if r["_n"]}
+    if not groups:
         return []
-    ks = [b.alerts(n, days) for b in budgets]
-    point = F.struct("cum_n", "score", "n", "pos", "cum_pos")
-    ends = curve.agg(*[F.min(F.when(F.col("cum_n") >= k, point)).alias(f"e{i}") for i, k in enumerate(ks)]).first()
 
-    inside: dict[int, int] = {}
-    for i, k in enumerate(ks):
-        if ends[i]["cum_n"] == k:
-            inside[i] = ends[i]["cum_pos"]
-    cut = [i for i in range(len(ks)) if i not in inside]
+    def is_group(g: tuple) -> Column:
+        hit = F.lit(True)
+        for c, v in zip(by, g):
+            hit = hit & F.col(c).eqNullSafe(F.lit(v))
+        return hit
+
+    ks: dict[tuple, list[int]] = {}
+    for g, (n, _) in groups.items():
+        span = days if isinstance(days, int) else days.get(g, 1)
+        ks[g] = [b.alerts(n, span) for b in budgets]
+    point = F.struct("cum_n", "score", "n", "pos", "cum_pos")
+    firsts = []
+    for i in range(len(budgets)):
+        k = F.lit(None).cast("bigint")
+        for g in groups:
+            k = F.when(is_group(g), ks[g][i]).otherwise(k)
+        firsts.append(F.min(F.when(F.col("cum_n") >= k, point)).alias(f"e{i}"))
+    ends = {tuple(r[c] for c in by): r for r in curve.groupBy(*by).agg(*firsts).collect()}
+
+    caught: dict[tuple, int] = {}
+    cut: list[tuple] = []
+    for g in groups:
+        for i, k in enumerate(ks[g]):
+            end = ends[g][f"e{i}"]
+            if end["cum_n"] == k:
+                caught[g, i] = end["cum_pos"]
+            else:
+                cut.append((g, i))
     if cut:
-        scores = sorted({float(ends[i]["score"]) for i in cut})
-        tied = df.where(F.col(score).isin(scores)).select(
-            F.col(score).alias("_score"), F.col(label).cast("bigint").alias("_y"), *order, F.lit(1).alias("_one")
+        in_run = F.lit(False)
+        for g, s in {(g, float(ends[g][f"e{i}"]["score"])) for g, i in cut}:
+            in_run = in_run | (is_group(g) & (F.col(score) == s))
+        tied = df.where(in_run).select(
+            *by, F.col(score).alias("_score"), F.col(label).cast("bigint").alias("_y"), *order, F.lit(1).alias("_one")
         )
-        placed = running_totals(tied, list(order), {"_place": "_one"}, by=["_score"])
+        placed = running_totals(tied, list(order), {"_place": "_one"}, by=[*by, "_score"])
         taken = []
-        for i in cut:
-            room = ks[i] - (ends[i]["cum_n"] - ends[i]["n"])
-            hit = (F.col("_score") == float(ends[i]["score"])) & (F.col("_place") <= room)
-            taken.append(F.sum(F.when(hit, F.col("_y"))).alias(f"t{i}"))
+        for g, i in cut:
+            end = ends[g][f"e{i}"]
+            room = ks[g][i] - (end["cum_n"] - end["n"])
+            hit = is_group(g) & (F.col("_score") == float(end["score"])) & (F.col("_place") <= room)
+            taken.append(F.sum(F.when(hit, F.col("_y"))))
         got = placed.agg(*taken).first()
-        for j, i in enumerate(cut):
-            inside[i] = ends[i]["cum_pos"] - ends[i]["pos"] + int(got[j] or 0)
+        for j, (g, i) in enumerate(cut):
+            end = ends[g][f"e{i}"]
+            caught[g, i] = end["cum_pos"] - end["pos"] + int(got[j] or 0)
 
     out = []
-    for i, (b, k) in enumerate(zip(budgets, ks)):
-        tp = int(inside[i])
-        recall = tp / max(positives, 1)
-        out.append(
-            dict(perspective=b.perspective, k=float(b.k), n_alerts=k, threshold=float(ends[i]["score"]),
-                 precision=tp / k, recall=recall, tp=tp, fp=k - tp, fn=positives - tp,
-                 fraud_capture_pct=recall * 100)
-        )
+    for g, (_, positives) in groups.items():
+        for i, b in enumerate(budgets):
+            k, tp = ks[g][i], int(caught[g, i])
+            recall = tp / max(positives, 1)
+            out.append(
+                dict(zip(by, g), perspective=b.perspective, k=float(b.k), n_alerts=k,
+                     threshold=float(ends[g][f"e{i}"]["score"]), precision=tp / k, recall=recall,
+                     tp=tp, fp=k - tp, fn=positives - tp, fraud_capture_pct=recall * 100)
+            )
     return out
 
 
 def at_budgets(df: DataFrame, label: str, score: str, order: Sequence[str], budgets: Sequence[Budget],
-               days: int = 1) -> DataFrame:
+               days: int | Mapping[tuple, int] = 1, by: Sequence[str] = ()) -> DataFrame:
     """``budget_rows`` as a table."""
-    return df.sparkSession.createDataFrame(budget_rows(df, label, score, order, budgets, days), BUDGET_SCHEMA)
+    rows = budget_rows(df, label, score, order, budgets, days, by)
+    names = [*by, *[p.split()[0] for p in BUDGET_SCHEMA.split(", ")]]
+    schema = ", ".join([*[f"{c} string" for c in by], BUDGET_SCHEMA])
+    return df.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
 
 
 def top_rows(df: DataFrame, score: str, k: int, order: Sequence[str]) -> DataFrame:
@@ -176,13 +207,13 @@ METRIC_SCHEMA = (
 )
 
 
-def summary_rows(df: DataFrame, label: str, score: str, order: Sequence[str], days: int, **tags: str) -> list[dict]:
-    """The core row and one row per standard budget, for the long metrics table."""
-    curve = score_curve(df, label, score)
-    core = core_from_curve(curve).first()
-    rows = [{**tags, "perspective": "core", **(core.asDict() if core else {})}]
-    wanted = ("perspective", "k", "n_alerts", "threshold", "precision", "recall")
-    for r in budget_rows(df, label, score, order, standard_budgets(), days, curve):
+def summary_rows(df: DataFrame, label: str, score: str, order: Sequence[str], days: int | Mapping[tuple, int],
+                 by: Sequence[str] = (), **tags: str) -> list[dict]:
+    """The core row and one row per standard budget of each group, for the long metrics table."""
+    curve = score_curve(df, label, score, by)
+    rows = [{**tags, "perspective": "core", **r.asDict()} for r in core_from_curve(curve, by).collect()]
+    wanted = (*by, "perspective", "k", "n_alerts", "threshold", "precision", "recall")
+    for r in budget_rows(df, label, score, order, standard_budgets(), days, by, curve):
         rows.append({**tags, **{c: r[c] for c in wanted}})
     return rows
 
