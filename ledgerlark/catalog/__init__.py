@@ -5,12 +5,15 @@ from ledgerlark.catalog import (
     flagship as flagship_queries,
     history_queries,
     metric_queries,
+    model_queries,
     profile_queries,
     row_queries,
     split_queries,
+    stream_queries,
 )
 
 FAMILIES = (
     flagship_queries, history_queries, row_queries, profile_queries, split_queries, metric_queries, encoding_queries,
+    stream_queries, model_queries,
 )
 flagship = flagship_queries.budget_report

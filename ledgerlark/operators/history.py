@@ -15,53 +15,18 @@ slices, and the totals of the earlier slices are added back. No row is dropped a
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import skew
+from ledgerlark.operators.history_events import sliced_statistics
+from ledgerlark.operators.history_spec import DAY_US, Entity, LabelRate, Roles
 
-DAY_US = 86_400_000_000
 _UNBOUNDED = Window.unboundedPreceding
 
 
-@dataclass(frozen=True)
-class Roles:
-    """Which columns play the roles every operator needs."""
-
-    id: str = "BusinessKey"
-    ts: str = "TransactionDate"
-    amount: str = "TransactionAmount"
-    label: str = "IsFraudTransaction"
-
-
-@dataclass(frozen=True)
-class LabelRate:
-    """Label rate over rows older than ``lag_days`` (and younger than ``window_days`` before that)."""
-
-    lag_days: int = 7
-    strength: float = 50.0
-    window_days: int | None = None
-    suffix: str = ""
-
-
-@dataclass(frozen=True)
-class Entity:
-    """Statistics to keep for one key column; output columns start with ``name``."""
-
-    name: str
-    key: str
-    count: bool = False
-    windows: tuple[int, ...] = ()
-    distinct: tuple[tuple[str, str], ...] = ()
-    age: bool = False
-    first_flag: bool = False
-    amounts: bool = False
-    gap: bool = False
-    rates: tuple[LabelRate, ...] = field(default=())
-
-
 def label_free_entities(device: str, receiver: str, subnet: str, account: str, sender: str) -> tuple[Entity, ...]:
     """The standard label-free feature set (29 columns)."""
     return (
@@ -107,16 +72,12 @@ def add_history(
         if hot is None:
             raw = _window_statistics(out, entity, roles)
         else:
-            raw = _sliced_statistics(out, base, entity, roles, hot, slice_us)
-        out = _finish(raw, entity, roles, prior)
+            raw = sliced_statistics(out, base, entity, roles, hot, slice_us)
+        out = finish(raw, entity, roles, prior)
     return out.drop("_us")
 
 
-def _before(frame: str, entity: Entity) -> str:
-    return f"_{entity.name}_{frame}"
-
-
-def _finish(raw: DataFrame, e: Entity, roles: Roles, prior: float | None) -> DataFrame:
+def finish(raw: DataFrame, e: Entity, roles: Roles, prior: float | None) -> DataFrame:
     """Turn the raw counts and moments into output columns, with the defaults for unseen or null keys."""
     has_key = F.col(e.key).isNotNull()
     n = F.coalesce(F.col("_h_n"), F.lit(0))
@@ -205,173 +166,3 @@ def _window_statistics(df: DataFrame, e: Entity, roles: Roles) -> DataFrame:
             k = F.coalesce(k, F.lit(0)) - F.coalesce(F.sum(roles.label).over(gone), F.lit(0))
         cols[f"_h_known_{i}"], cols[f"_h_hits_{i}"] = n, k
     return out.withColumns(cols) if cols else out
-
-
-# -- heavy keys: events in slices of time ----------------------------------------------------------
-
-_ARRIVE = "arrive"
-
-
-def _event_kinds(e: Entity) -> dict[str, int]:
-    """Event name -> delay in microseconds after the row."""
-    kinds = {_ARRIVE: 0}
-    kinds.update({f"out_{w}": w * DAY_US for w in e.windows})
-    for i, r in enumerate(e.rates):
-        kinds[f"known_{i}"] = r.lag_days * DAY_US
-        if r.window_days is not None:
-            kinds[f"gone_{i}"] = (r.lag_days + r.window_days) * DAY_US
-    return kinds
-
-
-def _events(df: DataFrame, e: Entity, roles: Roles, keep: Sequence[str], hot: DataFrame, width: int) -> DataFrame:
-    """One row per event; the ``keep`` columns are filled on arrivals only."""
-    has_key = F.col(e.key).isNotNull()
-    stamps = [
-        F.struct(F.lit(kind).alias("kind"), (F.col("_us") + F.lit(delay)).alias("at"))
-        for kind, delay in _event_kinds(e).items()
-    ]
-    event = F.explode(F.when(has_key, F.array(*stamps)).otherwise(F.array(stamps[0])))
-    marked = skew.mark_hot(df, e.key, hot).withColumn("_event", event)
-    arrival = F.col("_event.kind") == _ARRIVE
-    row_id = F.col(roles.id)
-    cols = [
-        F.col(e.key).alias("_e_key"),
-        F.col("_event.kind").alias("_e_kind"),
-        F.col("_event.at").alias("_e_us"),
-        row_id.alias("_e_id"),
-        (F.col(roles.label) if e.rates else F.lit(0)).alias("_e_label"),
-        (F.col(roles.amount) if e.amounts else F.lit(0.0)).alias("_e_amount"),
-        "_hot",
-    ]
-    cols += [F.when(arrival, F.col(c)).alias(c) for c in keep]
-    out = marked.select(*cols)
-    return out.withColumn("_e_slice", skew.slice_of(F.col("_e_key"), F.col("_e_us"), F.col("_e_id"), F.col("_hot"), width))
-
-
-def _first_meetings(base: DataFrame, e: Entity, roles: Roles, hot: DataFrame, width: int) -> DataFrame | None:
-    """An event for the first row of each (key, target), counted by every later row of the key."""
-    marked = skew.mark_hot(base.where(F.col(e.key).isNotNull()), e.key, hot)
-    parts = None
-    for suffix, target in e.distinct:
-        first = marked.groupBy(F.col(e.key).alias("_e_key"), F.col(target).alias("_target")).agg(
-            F.min(F.struct(F.col("_us"), F.col(roles.id).alias("id"))).alias("_f"), F.first("_hot").alias("_hot")
-        )
-        part = first.select(
-            "_e_key",
-            F.lit(f"met_{suffix}").alias("_e_kind"),
-            F.col("_f._us").alias("_e_us"),
-            F.col("_f.id").alias("_e_id"),
-            "_hot",
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return None
-    return parts.withColumn("_e_slice", skew.slice_of(F.col("_e_key"), F.col("_e_us"), F.col("_e_id"), F.col("_hot"), width))
-
-
-def _tallies(e: Entity) -> dict[str, Column]:
-    """Additive measures of an event row; their sums over earlier events are the statistics."""
-
-    def one(kind: str) -> Column:
-        return (F.col("_e_kind") == kind).cast("bigint")
-
-    def hit(kind: str) -> Column:
-        return F.when(F.col("_e_kind") == kind, F.col("_e_label").cast("bigint")).otherwise(F.lit(0))
-
-    out = {"n": one(_ARRIVE)}
-    out.update({f"out_{w}": one(f"out_{w}") for w in e.windows})
-    out.update({f"distinct_{s}": one(f"met_{s}") for s, _ in e.distinct})
-    for i, r in enumerate(e.rates):
-        out[f"known_{i}"], out[f"hits_{i}"] = one(f"known_{i}"), hit(f"known_{i}")
-        if r.window_days is not None:
-            out[f"known_{i}"] = out[f"known_{i}"] - one(f"gone_{i}")
-            out[f"hits_{i}"] = out[f"hits_{i}"] - hit(f"gone_{i}")
-    return out
-
-
-def _carry(events: DataFrame, e: Entity) -> DataFrame:
-    """Totals of all earlier slices for each slice of a heavy key."""
-    arrived = F.col("_e_kind") == _ARRIVE
-    amount, us = F.when(arrived, F.col("_e_amount")), F.when(arrived, F.col("_e_us"))
-    per_slice = events.groupBy("_e_key", "_e_slice").agg(
-        *[F.sum(c).alias(f"s_{name}") for name, c in _tallies(e).items()],
-        F.min(us).alias("s_first"),
-        F.max(us).alias("s_last"),
-        F.max(amount).alias("s_max"),
-        F.coalesce(F.sum(amount), F.lit(0.0)).alias("s_sum"),
-        F.coalesce(F.var_pop(amount) * F.count(amount), F.lit(0.0)).alias("s_spread"),
-    )
-    # a key has at most (time span / slice width) slices
-    whole = Window.partitionBy("_e_key")
-    earlier = whole.orderBy("_e_slice").rowsBetween(_UNBOUNDED, -1)
-    centre = F.sum("s_sum").over(whole) / F.sum("s_n").over(whole)
-    off = F.when(F.col("s_n") > 0, F.col("s_sum") / F.col("s_n") - F.col("_centre")).otherwise(F.lit(0.0))
-    centred = per_slice.withColumn("_centre", centre).withColumn("_off", off)
-
-    def total(c: Column | str) -> Column:
-        return F.sum(c).over(earlier)
-
-    n = total("s_n")
-    spread = total(F.col("s_spread") + F.col("s_n") * F.col("_off") * F.col("_off"))
-    shift = total(F.col("s_n") * F.col("_off"))
-    return centred.select(
-        F.col("_e_key").alias("_c_key"),
-        F.col("_e_slice").alias("_c_slice"),
-        *[total(f"s_{name}").alias(f"_c_{name}") for name in _tallies(e)],
-        F.min("s_first").over(earlier).alias("_c_first"),
-        F.max("s_last").over(earlier).alias("_c_last"),
-        F.max("s_max").over(earlier).alias("_c_max"),
-        total("s_sum").alias("_c_sum"),
-        F.when(n > 0, spread - shift * shift / n).alias("_c_spread"),
-    )
-
-
-def _sliced_statistics(df: DataFrame, base: DataFrame, e: Entity, roles: Roles, hot: DataFrame, width: int) -> DataFrame:
-    events = _events(df, e, roles, df.columns, hot, width)
-    narrow = _events(base, e, roles, (), hot, width).where("_hot")
-    met = _first_meetings(base, e, roles, hot, width)
-    if met is not None:
-        events = events.unionByName(met, allowMissingColumns=True)
-        narrow = narrow.unionByName(met.where("_hot"), allowMissingColumns=True)
-    carry = _carry(narrow, e)
-
-    group = ["_e_key", "_e_slice"]
-    arrived = F.col("_e_kind") == _ARRIVE
-    # at equal (time, id) the arrival comes first, so a row never meets its own target
-    by_position = Window.partitionBy(*group).orderBy("_e_us", "_e_id", ~arrived)
-    earlier = by_position.rowsBetween(_UNBOUNDED, -1)
-    tallies = _tallies(e)
-    positional = [name for name in tallies if name == "n" or name.startswith("distinct_")]
-    amount, us = F.when(arrived, F.col("_e_amount")), F.when(arrived, F.col("_e_us"))
-    inside = {f"_w_{name}": F.sum(tallies[name]).over(earlier) for name in positional}
-    inside["_w_first"] = F.min(us).over(by_position.rowsBetween(_UNBOUNDED, 0))
-    inside["_w_last"] = F.max(us).over(earlier)
-    if e.amounts:
-        inside["_w_sum"] = F.sum(amount).over(earlier)
-        inside["_w_var"] = F.var_pop(amount).over(earlier)
-        inside["_w_max"] = F.max(amount).over(earlier)
-    strictly = Window.partitionBy(*group).orderBy("_e_us").rangeBetween(_UNBOUNDED, -1)
-    timed = {f"_w_{name}": F.sum(c).over(strictly) for name, c in tallies.items() if name not in positional}
-    timed["_w_strict"] = F.sum(tallies["n"]).over(strictly)
-    out = events.withColumns(inside).withColumns(timed)
-
-    match = (F.col("_e_key") == F.col("_c_key")) & (F.col("_e_slice") == F.col("_c_slice"))
-    out = out.join(carry, match, "left").where(arrived)
-
-    def both(name: str, carried: str | None = None) -> Column:
-        return F.coalesce(F.col(f"_w_{name}"), F.lit(0)) + F.coalesce(F.col(f"_c_{carried or name}"), F.lit(0))
-
-    final = {"_h_n": both("n"), "_h_strict": both("strict", "n")}
-    final.update({f"_h_{name}": both(name) for name in tallies if name != "n"})
-    final["_h_first"] = F.least("_w_first", "_c_first")
-    final["_h_last"] = F.greatest("_w_last", "_c_last")
-    if e.amounts:
-        n_in, n_before, n_all = F.coalesce("_w_n", F.lit(0)), F.coalesce("_c_n", F.lit(0)), both("n")
-        sum_in, sum_before = F.coalesce("_w_sum", F.lit(0.0)), F.coalesce("_c_sum", F.lit(0.0))
-        gap = F.when((n_in > 0) & (n_before > 0), sum_in / n_in - sum_before / n_before).otherwise(F.lit(0.0))
-        spread = F.coalesce(F.col("_w_var"), F.lit(0.0)) * n_in + F.coalesce("_c_spread", F.lit(0.0))
-        spread = spread + gap * gap * n_in * n_before / F.greatest(n_all, F.lit(1))
-        final["_h_mean"] = F.when(n_all > 0, (sum_in + sum_before) / n_all)
-        final["_h_std"] = F.when(n_all > 0, F.sqrt(F.greatest(spread, F.lit(0.0)) / n_all))
-        final["_h_max"] = F.greatest("_w_max", "_c_max")
-    return out.select(*df.columns, *[c.alias(name) for name, c in final.items()])
