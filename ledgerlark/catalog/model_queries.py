@@ -71,9 +71,9 @@ def score_explain_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occlusion reasons of a boosted model for every test row."""
     table, f = _table(spark, sf_dir)
     train = table.where("split = 'train'")
-    fitted = T.fit(train, f, BOOSTED)
-    medians, modes = T._fills(train, f)
-    out = scoring.score(table.where("split = 'test'"), fitted, f, None, "hist_gbm", True, {**medians, **modes})
+    known = T.fit_encoders(train, f)
+    fitted = T.fit(train, f, BOOSTED, known)
+    out = scoring.score(table.where("split = 'test'"), fitted, f, None, "hist_gbm", True, known.neutral)
     return out.drop("score_calculated_at").withColumn("reason_codes", F.to_json("reason_codes"))
 
 

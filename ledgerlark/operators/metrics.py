@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.ordered import running_totals
+from ledgerlark.session import pin
 
 # Reported shares of rows, alert budgets per day.
 TOP_SHARES = (0.001, 0.005, 0.01, 0.05)
@@ -120,7 +121,7 @@ def budget_rows(df: DataFrame, label: str, score: str, order: Sequence[str], bud
     positives fall inside.
     """
     by = list(by)
-    curve = score_curve(df, label, score, by) if curve is None else curve
+    curve = pin(score_curve(df, label, score, by)) if curve is None else curve
     totals = curve.groupBy(*by).agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p")).collect()
     groups = {tuple(r[c] for c in by): (int(r["_n"]), int(r["_p"])) for r in totals if r["_n"]}
     if not groups:
@@ -210,7 +211,7 @@ METRIC_SCHEMA = (
 def summary_rows(df: DataFrame, label: str, score: str, order: Sequence[str], days: int | Mapping[tuple, int],
                  by: Sequence[str] = (), **tags: str) -> list[dict]:
     """The core row and one row per standard budget of each group, for the long metrics table."""
-    curve = score_curve(df, label, score, by)
+    curve = pin(score_curve(df, label, score, by))  # read by three small jobs
     rows = [{**tags, "perspective": "core", **r.asDict()} for r in core_from_curve(curve, by).collect()]
     wanted = (*by, "perspective", "k", "n_alerts", "threshold", "precision", "recall")
     for r in budget_rows(df, label, score, order, standard_budgets(), days, by, curve):

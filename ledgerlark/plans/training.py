@@ -6,6 +6,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -91,42 +92,49 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fills(train: DataFrame, f: Features) -> tuple[dict[str, float], dict[str, str]]:
-    """Median and mode of each feature: one value per column comes to the driver."""
-    medians = {r["feature"]: r["median"] for r in encoding.fit_medians(train, f.numeric).collect()} if f.numeric else {}
-    modes = {r["feature"]: r["mode"] for r in encoding.fit_modes(train, f.text).collect()} if f.text else {}
-    return medians, modes
+@dataclass(frozen=True)
+class Fitted:
+    """What the encoders learn from the training rows: a value per column, a list per category."""
+
+    medians: Mapping[str, float]
+    modes: Mapping[str, str]
+    levels: Mapping[str, list[str]]
+
+    @property
+    def neutral(self) -> dict[str, object]:
+        """The usual value of every feature."""
+        return {**self.medians, **self.modes}
 
 
-def _levels(train: DataFrame, f: Features) -> dict[str, list[str]]:
-    table = encoding.fit_levels(train, f.text, RARE_BELOW)
-    found = table.limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError("a text feature has too many values; bucket it first")
-    out: dict[str, list[str]] = {c: [] for c in f.text}
-    for r in found:
-        out[r["feature"]].append(r["level"])
-    return out
+def fit_encoders(train: DataFrame, f: Features) -> Fitted:
+    """Medians, modes and frequent levels, once for all models; all are small by nature."""
+    medians = {r["feature"]: r["median"] for r in encoding.fit_medians(train, f.numeric).collect()} if f.numeric else {}
+    modes = {r["feature"]: r["mode"] for r in encoding.fit_modes(train, f.text).collect()} if f.text else {}
+    levels: dict[str, list[str]] = {c: [] for c in f.text}
+    if f.text:
+        found = encoding.fit_levels(train, f.text, RARE_BELOW).limit(MAX_LEVELS + 1).collect()
+        if len(found) > MAX_LEVELS:
+            raise ValueError("a text feature has too many values; bucket it first")
+        for r in found:
+            levels[r["feature"]].append(r["level"])
+    return Fitted(medians, modes, levels)
 
 
-def _fill_statement(f: Features, medians: Mapping[str, float], modes: Mapping[str, str],
-                    levels: Mapping[str, list[str]] | None) -> str:
-    cols = [f"coalesce(cast(`{c}` as double), {medians.get(c, 0.0)!r}D) as `{c}__n`" for c in f.numeric]
+def _fill_statement(f: Features, known: Fitted, merge_rare: bool) -> str:
+    cols = [f"coalesce(cast(`{c}` as double), {float(known.medians.get(c, 0.0))!r}D) as `{c}__n`" for c in f.numeric]
     for c in f.text:
-        filled = f"coalesce(cast(`{c}` as string), {_quoted(modes.get(c) or 'NA')})"
-        if levels is not None:
-            known = ", ".join(_quoted(v) for v in sorted(levels[c])) or "''"
-            filled = f"case when {filled} in ({known}) then {filled} else '{RARE}' end"
+        filled = f"coalesce(cast(`{c}` as string), {_quoted(known.modes.get(c) or 'NA')})"
+        if merge_rare:
+            kept = ", ".join(_quoted(v) for v in sorted(known.levels.get(c, ()))) or "''"
+            filled = f"case when {filled} in ({kept}) then {filled} else '{RARE}' end"
         cols.append(f"{filled} as `{c}__t`")
     return f"select *, {', '.join(cols)} from __THIS__"
 
 
-def build_pipeline(train: DataFrame, f: Features, model: Model, weight: str = "weight") -> Pipeline:
+def build_pipeline(train: DataFrame, f: Features, model: Model, known: Fitted, weight: str = "weight") -> Pipeline:
     """Imputing, encoding and the classifier as one persistable pipeline."""
-    medians, modes = _fills(train, f)
     linear = model.kind == "logreg"
-    levels = _levels(train, f) if linear and f.text else None
-    stages: list = [SQLTransformer(statement=_fill_statement(f, medians, modes, levels))]
+    stages: list = [SQLTransformer(statement=_fill_statement(f, known, merge_rare=linear))]
     numeric, text = [f"{c}__n" for c in f.numeric], [f"{c}__t" for c in f.text]
     indexed = [f"{c}__i" for c in f.text]
     if text:
@@ -165,15 +173,11 @@ def _classifier(train: DataFrame, f: Features, model: Model, weight: str):
     return make(**common, **p)
 
 
-def fit(train: DataFrame, f: Features, model: Model) -> PipelineModel:
-    """Fit with balanced class weights."""
-    # ties on one row per executor task are avoided by keeping only what the fit reads
+def fit(train: DataFrame, f: Features, model: Model, known: Fitted | None = None) -> PipelineModel:
+    """Fit with balanced class weights; the encoders are fitted here unless given."""
     slim = train.select(f.label, *f.names)
-    weighted = encoding.add_class_weight(slim, f.label)
-    return build_pipeline(slim, f, model).fit(weighted)
-
-
-INTERNAL = ("features", "numeric", "scaled", "rawPrediction", "probability", "prediction")
+    known = fit_encoders(slim, f) if known is None else known
+    return build_pipeline(slim, f, model, known).fit(encoding.add_class_weight(slim, f.label))
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
@@ -194,34 +198,41 @@ def train_and_evaluate(
 ) -> DataFrame:
     """Every model on every variant, measured on validation and test: the long metrics table.
 
-    ``table`` should be the written (or cached) feature table: it is read once per fit and score.
+    ``table`` should be the written (or pinned) feature table: it is read once per fit and score. The
+    scores of all models are written once, in narrow rows, and measured together.
     """
     any_f = next(iter(variants.values()))
     days = {r[any_f.split]: r["days"] for r in split_days(table, any_f.ts, any_f.split).collect()}
     train = table.where(F.col(any_f.split) == "train")
     later = table.where(F.col(any_f.split).isin("val", "test"))
-    rows: list[dict] = []
-    for variant, f in variants.items():
-        order = (f.ts, f.id)
-        per_split = {(s,): d for s, d in days.items()}
+    everything = replace(
+        any_f,
+        numeric=tuple(dict.fromkeys(c for f in variants.values() for c in f.numeric)),
+        text=tuple(dict.fromkeys(c for f in variants.values() for c in f.text)),
+    )
+    known = fit_encoders(train, everything)
+    scored: list[DataFrame] = []
+    names: list[tuple[str, str]] = []
 
-        def measure(scored: DataFrame, name: str) -> None:
-            kept = scored.select(f.id, f.ts, f.label, F.col(f.split).alias("split"), "score")
-            rows.extend(summary_rows(kept, f.label, "score", order, per_split, ["split"], model=name, variant=variant))
+    def keep(rows: DataFrame, name: str, variant: str, f: Features) -> None:
+        names.append((name, variant))
+        scored.append(rows.select(
+            F.lit(name).alias("model"), F.lit(variant).alias("variant"), F.col(f.split).alias("split"),
+            f.id, f.ts, f.label, F.col("score").cast("double").alias("score"),
+        ))
 
+    for variant, f in variants.items():
         if rule is not None:
-            measure(later.withColumn("score", rule()), "rule_based")
+            keep(later.withColumn("score", rule()), "rule_based", variant, f)
         for m in models:
-            fitted = fit(train, f, m)
+            fitted = fit(train, f, m, known)
             if on_fit:
                 on_fit(f"{m.name}__{variant}", fitted)
-            measure(predict(fitted, later), m.name)
-    return metrics_table(table.sparkSession, rows)
-
-
-def recall_at(metrics: DataFrame, share: float = 0.01):
-    hit = (F.col("perspective") == "percentile") & (F.abs(F.col("k") - share) < 1e-9)
-    return F.max(F.when(hit, F.col("recall")))
+            keep(predict(fitted, later), m.name, variant, f)
+    rows = pin(reduce(DataFrame.unionByName, scored))
+    per_group = {(n, v, s): d for n, v in names for s, d in days.items()}
+    found = summary_rows(rows, any_f.label, "score", (any_f.ts, any_f.id), per_group, ["model", "variant", "split"])
+    return metrics_table(table.sparkSession, found)
 
 
 def search(table: DataFrame, f: Features, base: Model, space: Callable[[random.Random], dict], trials: int = 30,
@@ -234,9 +245,10 @@ def search(table: DataFrame, f: Features, base: Model, space: Callable[[random.R
     draws = [space(rng) for _ in range(trials)]
     train = table.where(F.col(f.split) == "train")
     val = table.where(F.col(f.split) == "val").select(f.label, *f.names)
+    known = fit_encoders(train, f)
 
     def one(params: dict) -> float:
-        fitted = fit(train, f, replace(base, params={**base.params, **params}))
+        fitted = fit(train, f, replace(base, params={**base.params, **params}), known)
         got = core_metrics(predict(fitted, val), f.label, "score").first()
         return float(got["pr_auc"]) if got and got["pr_auc"] is not None else 0.0
 
