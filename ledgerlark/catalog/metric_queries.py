@@ -95,6 +95,14 @@ ALERTS_SQL = scored_sql(", e as (select * from s where split = 'test')" + _budge
     _ALERTS, "select greatest(1, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000)) as days from e", "e"))
 
 
+def top_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 rows to look at first."""
+    return M.top_rows(scored_events(spark, sf_dir, 2), "score", 100, ORDER).select("tx_id", "score", "label")
+
+
+TOP_SQL = scored_sql("select tx_id, score, label from s order by score desc, ts, tx_id limit 100", 2)
+
+
 def threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = M.at_fixed_thresholds(scored_events(spark, sf_dir), "label", "score", (0.1, 0.25, 0.4, 0.6, 0.99))
     return _rounded(out, "precision", "recall", "f1", "f2")
@@ -274,7 +282,7 @@ RANK_SQL = scored_sql(f"""
 select tx_id, {stable_sql('(percent_rank() over (order by score) + percent_rank() over (order by amount)) / 2')} as rank_avg from s""", 2)
 
 QUERIES = {f.__name__: f for f in (
-    roc_pr, metrics_by_group, metrics_seen_unseen, topk_metrics, topk_metrics_ties, alerts_per_day, threshold_metrics,
+    roc_pr, metrics_by_group, metrics_seen_unseen, topk_metrics, topk_metrics_ties, alerts_per_day, threshold_metrics, top_alerts,
     model_comparison, ablation_pivot, threshold_table, recall_by_alerts, score_cutoffs, compare_runs, cost_threshold, psi,
     rank_average)}
 ORACLES = {
@@ -285,6 +293,7 @@ ORACLES = {
     "topk_metrics_ties": scored_sql(_budget_sql(_SHARES), 1),
     "alerts_per_day": ALERTS_SQL,
     "threshold_metrics": THRESHOLD_SQL,
+    "top_alerts": TOP_SQL,
     "model_comparison": COMPARISON_SQL,
     "ablation_pivot": ABLATION_SQL,
     "threshold_table": THRESHOLD_TABLE_SQL,

@@ -73,14 +73,18 @@ def running_totals(
     return joined.drop(_SEQ, _BLOCK, "_sb", *[f"_s_{c}" for c in by], *[f"_o_{out}" for out in sums])
 
 
-def group_percentiles(df: DataFrame, by: str, value: str, probs: Sequence[float]) -> DataFrame:
+def group_percentiles(df: DataFrame, by: str, value: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation of ``value`` in each group; nulls are left out.
 
+    With ``weight`` a row stands for that many equal rows.
+
     ``by`` names columns or entities, so groups x probs is a handful of rows. Values are first
     reduced to one row per distinct value and then summed in blocks, so no task holds a whole group
     (the built-in ``percentile`` would).
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")
+    )
     ranked = running_totals(counts, [value], {"_upto": "_n"}, by=[by])
     sizes = ranked.groupBy(by).agg(F.sum("_n").alias("_total"))
     wanted = sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.operators.ordered import exact_percentiles, group_percentiles
+from ledgerlark.session import pin
 
 DAY_US = 86_400_000_000
 
@@ -129,17 +130,26 @@ def _per_key(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
 
 def entity_summary(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Keys, rows per key (mean, quantiles, max), keys with a positive, keys with only positives."""
-    keys = _per_key(df, columns, label)
-    sums = keys.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_keys"),
-        F.round(F.avg("n"), 3).alias("rows_mean"),
+    """Keys, rows per key (mean, quantiles, max), keys with a positive, keys with only positives.
+
+    Keys are folded to one row per (entity, rows per key), which is small and serves every figure.
+    """
+    sizes = pin(
+        _per_key(df, columns, label).groupBy("entity", "n").agg(
+            F.count(F.lit(1)).alias("keys"),
+            F.count_if(F.col("pos") > 0).alias("some"),
+            F.count_if(F.col("pos") == F.col("n")).alias("only"),
+        )
+    )
+    sums = sizes.groupBy("entity").agg(
+        F.sum("keys").alias("n_keys"),
+        F.round(F.sum(F.col("n") * F.col("keys")) / F.sum("keys"), 3).alias("rows_mean"),
         F.max("n").alias("rows_max"),
-        F.count_if(F.col("pos") > 0).alias("keys_with_positive"),
-        F.count_if(F.col("pos") == F.col("n")).alias("keys_only_positive"),
+        F.sum("some").alias("keys_with_positive"),
+        F.sum("only").alias("keys_only_positive"),
     )
     probs = {"rows_p50": 0.5, "rows_p90": 0.9, "rows_p99": 0.99}
-    long = group_percentiles(keys, "entity", "n", list(probs.values()))
+    long = group_percentiles(sizes, "entity", "n", list(probs.values()), weight="keys")
     wide = long.groupBy("entity").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in probs.items()])
     return sums.join(wide, "entity")
 

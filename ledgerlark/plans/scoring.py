@@ -118,3 +118,19 @@ def score(
         f.id, F.col("score").alias("fraud_score"), "risk_band", "is_fraud", "threshold_used", "action",
         F.lit(model_version).alias("model_version"), F.current_timestamp().alias("score_calculated_at"), "reason_codes",
     )
+
+
+def score_requests(
+    requests: DataFrame,
+    model: PipelineModel,
+    f: Features,
+    prior: float,
+    top_models: DataFrame | None = None,
+    cutoffs: Mapping[str, float] | None = None,
+    model_version: str = "",
+    explain: bool = False,
+    neutral: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """Score requests as they arrive: transaction columns and a map of history values."""
+    featured = request_features(requests, prior, top_models)
+    return score(featured, model, f, cutoffs, model_version, explain, neutral)

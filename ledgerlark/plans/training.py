@@ -108,7 +108,7 @@ class Fitted:
 
 def fit_encoders(train: DataFrame, f: Features) -> Fitted:
     """Medians, modes and frequent levels, once for all models; all are small by nature."""
-    medians = {r["feature"]: r["median"] for r in encoding.fit_medians(train, f.numeric).collect()} if f.numeric else {}
+    medians = encoding.fit_fills(train, f.numeric)
     modes = {r["feature"]: r["mode"] for r in encoding.fit_modes(train, f.text).collect()} if f.text else {}
     levels: dict[str, list[str]] = {c: [] for c in f.text}
     if f.text:
