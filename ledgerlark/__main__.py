@@ -43,22 +43,8 @@ def _score(spark, a) -> None:
 def _audit(spark, a) -> None:
     table = spark.read.parquet(f"{a.run}/features")
     f = X.model_features(table, True)
-    model = training.standard_models()[2]
-    bare = f.without([c for c in f.names if "fraud_rate" in c or c.endswith("_label_n")])
-    base = table.select(*[c for c in table.columns if "fraud_rate" not in c and not c.endswith("_label_n")])
-    # keys are needed again to rebuild the label history
-    entities = X.with_label_rates(X.TRANSACTION_ENTITIES)
-    drift, fitted, held = audits.drift_classifier(table, f, training.Model("drift", "boosted", training.DRIFT))
-    held_f = training.Features(f.numeric, f.text, "is_test", f.id, f.ts)
-    for name, result in {
-        "permutation": audits.permutation_test(base, f, entities, X.ROLES, model),
-        "lags": audits.lag_sensitivity(base, bare, X.TRANSACTION_ENTITIES, X.ROLES, model),
-        "rate_ablation": audits.rate_ablation(table, f, model),
-        "seen_unseen": audits.seen_and_unseen(table, f, model, "ReceiverName"),
-        "drift": drift,
-        "drift_features": audits.permutation_importance(fitted, held, held_f, "roc_auc"),
-        "cascade": audits.cascade(table, f, model),
-    }.items():
+    model, drift = training.standard_models()[2], training.Model("drift", "boosted", training.DRIFT)
+    for name, result in audits.audit_tables(table, f, X.TRANSACTION_ENTITIES, X.ROLES, "ReceiverName", model, drift).items():
         S.write_report(result, f"{a.out}/{name}")
 
 

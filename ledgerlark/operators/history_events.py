@@ -41,7 +41,7 @@ def add_slices(events: DataFrame, hot: DataFrame | None, width: int) -> DataFram
 
 
 def events_of(df: DataFrame, e: Entity, roles: Roles, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per event; the ``keep`` columns are filled on arrivals only."""
+    """One row per event; arrivals carry the ``keep`` columns in one struct, so other events stay narrow."""
     has_key = F.col(e.key).isNotNull()
     stamps = [
         F.struct(F.lit(kind).alias("kind"), (F.col("_us") + F.lit(delay)).alias("at"))
@@ -57,7 +57,8 @@ def events_of(df: DataFrame, e: Entity, roles: Roles, keep: Sequence[str] = ())
         (F.col(roles.label) if e.rates else F.lit(0)).cast("bigint").alias("_e_label"),
         (F.col(roles.amount) if e.amounts else F.lit(0.0)).cast("double").alias("_e_amount"),
     ]
-    cols += [F.when(arrival, F.col(c)).alias(c) for c in keep]
+    if keep:
+        cols.append(F.when(arrival, F.struct(*[F.col(c) for c in keep])).alias("_row"))
     return df.withColumn("_event", event).select(*cols)
 
 
@@ -190,7 +191,7 @@ def statistics_over(events: DataFrame, carry: DataFrame, e: Entity, keep: Sequen
         final["_h_mean"] = F.when(n_all > 0, (sum_in + sum_before) / n_all)
         final["_h_std"] = F.when(n_all > 0, F.sqrt(F.greatest(spread, F.lit(0.0)) / n_all))
         final["_h_max"] = F.greatest("_w_max", "_c_max")
-    return out.select(*keep, *[c.alias(name) for name, c in final.items()])
+    return out.select(*[F.col("_row")[c].alias(c) for c in keep], *[c.alias(name) for name, c in final.items()])
 
 
 def sliced_statistics(df: DataFrame, base: DataFrame, e: Entity, roles: Roles, hot: DataFrame, width: int) -> DataFrame:

@@ -166,3 +166,21 @@ def cascade(table: DataFrame, f: Features, model: Model, share: float = 0.05) ->
     single = _result(both, f, "single")
     two = _result(both.withColumn("score", F.coalesce("second", "score")), f, "cascade")
     return table.sparkSession.createDataFrame([single, two], RESULT)
+
+
+def audit_tables(table: DataFrame, f: Features, entities: Sequence[Entity], roles: Roles, key: str, model: Model,
+                 drift_model: Model, lags: Sequence[int] = (7, 30, 60, 90)) -> dict[str, DataFrame]:
+    """All audits of a feature table that still holds its key columns, by name."""
+    rates = [c for c in table.columns if "fraud_rate" in c or c.endswith("_label_n")]
+    base = table.drop(*rates)
+    drift, fitted, held = drift_classifier(table, f, drift_model)
+    flagged = Features(f.numeric, f.text, "is_test", f.id, f.ts, f.split)
+    return {
+        "permutation": permutation_test(base, f, with_label_rates(entities), roles, model),
+        "lags": lag_sensitivity(base, f.without(rates), entities, roles, model, lags),
+        "rate_ablation": rate_ablation(table, f, model),
+        "seen_unseen": seen_and_unseen(table, f, model, key),
+        "drift": drift,
+        "drift_features": permutation_importance(fitted, held, flagged, "roc_auc"),
+        "cascade": cascade(table, f, model),
+    }

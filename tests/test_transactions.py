@@ -100,3 +100,16 @@ def test_profile(spark, run):
     assert {r["column"] for r in rows["missing"]} == {"DayType", "CustomerEducation"}
     assert sum(r.n for r in rows["breakdown"] if r["column"] == "CustomerSegment") == total
     assert rows["duplicate_keys"][0].duplicates_key == 0 and len(rows["entities"]) == 6
+
+
+def test_audits(spark, run):
+    from ledgerlark.plans.audits import audit_tables
+
+    table = spark.read.parquet(str(run / "out" / "features"))
+    f = X.model_features(table, True)
+    got = audit_tables(table, f, X.TRANSACTION_ENTITIES, X.ROLES, "ReceiverName", MODELS[1], MODELS[1], (1, 7))
+    rows = {name: t.collect() for name, t in got.items()}
+    assert [r.case for r in rows["lags"]] == ["lag_1d", "lag_7d"]
+    assert rows["rate_ablation"][0].n_features - rows["rate_ablation"][1].n_features == 4
+    assert rows["drift"][0].grade in ("none", "mild", "marked", "severe", "critical")
+    assert len(rows["drift_features"]) == 20 and len(rows["cascade"]) == 2
