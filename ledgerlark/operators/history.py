@@ -60,21 +60,42 @@ def add_history(
     hot_rows: int | None = skew.HOT_ROWS,
     slice_us: int = skew.SLICE_US,
 ) -> DataFrame:
-    """Add the history columns of every entity to each row. Timestamps must not be null."""
+    """Add the history columns of every entity to each row.
+
+    Timestamps must not be null and ``roles.id`` must be unique: it orders ties and, with several
+    entities, brings their columns together. Each entity then moves only the few columns it reads,
+    and the full rows are moved once; a single entity works on the full rows directly.
+    """
     if prior is None and any(e.rates for e in entities):
         prior = label_prior(df, roles.label)
-    out = df.withColumn("_us", F.unix_micros(F.col(roles.ts).cast("timestamp")))
-    base = out
+    base = df.withColumn("_us", F.unix_micros(F.col(roles.ts).cast("timestamp")))
     if skew.no_key_can_be_hot(df, hot_rows):
         hot_rows = None
-    for entity in entities:
-        hot = skew.hot_keys(df, entity.key, hot_rows)
-        if hot is None:
-            raw = _window_statistics(out, entity, roles)
-        else:
-            raw = sliced_statistics(out, base, entity, roles, hot, slice_us)
-        out = finish(raw, entity, roles, prior)
-    return out.drop("_us")
+    hot = {e.key: skew.hot_keys(df, e.key, hot_rows) for e in entities}
+    if len(entities) == 1 and hot[entities[0].key] is None:
+        return finish(window_statistics(base, entities[0], roles), entities[0], roles, prior).drop("_us")
+    out = df
+    for e in entities:
+        needed = dict.fromkeys([roles.id, "_us", e.key, *[t for _, t in e.distinct]])
+        if e.amounts:
+            needed[roles.amount] = None
+        if e.rates:
+            needed[roles.label] = None
+        narrow = base.select(*needed)
+        features = finish(_statistics(narrow, e, roles, hot[e.key], slice_us), e, roles, prior)
+        out = out.join(features.select(roles.id, *[c for c in features.columns if c not in needed]), roles.id)
+    new = [c for c in out.columns if c not in df.columns]
+    return out.select(*df.columns, *new)
+
+
+def _statistics(narrow: DataFrame, e: Entity, roles: Roles, hot: DataFrame | None, slice_us: int) -> DataFrame:
+    """Raw statistics: window frames for ordinary keys, the event form for the rows of heavy keys."""
+    if hot is None:
+        return window_statistics(narrow, e, roles)
+    marked = skew.mark_hot(narrow, e.key, hot)
+    cold = window_statistics(marked.where(~F.col("_hot")).drop("_hot"), e, roles).drop("_h_slice")
+    heavy = sliced_statistics(marked.where("_hot").drop("_hot"), e, roles, slice_us)
+    return cold.unionByName(heavy, allowMissingColumns=True)
 
 
 def finish(raw: DataFrame, e: Entity, roles: Roles, prior: float | None) -> DataFrame:
@@ -120,7 +141,7 @@ def finish(raw: DataFrame, e: Entity, roles: Roles, prior: float | None) -> Data
 # -- ordinary keys: window frames ------------------------------------------------------------------
 
 
-def _window_statistics(df: DataFrame, e: Entity, roles: Roles) -> DataFrame:
+def window_statistics(df: DataFrame, e: Entity, roles: Roles) -> DataFrame:
     key, us, row_id = F.col(e.key), F.col("_us"), F.col(roles.id)
     out = df.withColumn("_h_slice", skew.slice_of(key, us, row_id, None))
     group = [e.key, "_h_slice"]

@@ -194,16 +194,14 @@ def statistics_over(events: DataFrame, carry: DataFrame, e: Entity, keep: Sequen
     return out.select(*[F.col("_row")[c].alias(c) for c in keep], *[c.alias(name) for name, c in final.items()])
 
 
-def sliced_statistics(df: DataFrame, base: DataFrame, e: Entity, roles: Roles, hot: DataFrame, width: int) -> DataFrame:
-    """Raw statistics when some keys are heavy.
-
-    ``df`` may already carry other entities' columns; everything that is folded or looked up is taken
-    from ``base``, so chaining entities does not repeat work.
-    """
-    events = add_slices(events_of(df, e, roles, df.columns), hot, width)
-    narrow = add_slices(events_of(base, e, roles), hot, width).where("_hot")
+def sliced_statistics(rows: DataFrame, e: Entity, roles: Roles, width: int) -> DataFrame:
+    """Raw statistics of rows whose keys are all heavy: every slice of time is a group of its own."""
+    events = events_of(rows, e, roles, rows.columns)
+    narrow = events_of(rows, e, roles)
     for suffix, target in e.distinct:
-        met = add_slices(first_meetings(base, e, roles, suffix, target).drop("_target"), hot, width)
+        met = first_meetings(rows, e, roles, suffix, target).drop("_target")
         events = events.unionByName(met, allowMissingColumns=True)
-        narrow = narrow.unionByName(met.where("_hot"), allowMissingColumns=True)
-    return statistics_over(events, carry_in(slice_totals(narrow, e), e), e, df.columns)
+        narrow = narrow.unionByName(met, allowMissingColumns=True)
+    step = F.floor(F.col("_e_us") / F.lit(width)).cast("bigint")
+    events, narrow = events.withColumn("_e_slice", step), narrow.withColumn("_e_slice", step)
+    return statistics_over(events, carry_in(slice_totals(narrow, e), e), e, rows.columns)

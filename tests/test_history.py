@@ -126,7 +126,20 @@ def test_future_rows_do_not_change_the_past(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_one_exchange_per_entity(spark):
-    plan = add_history(tx_events(spark, SMALL), with_label_rates(ENTITIES), ROLES, 0.07)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange hashpartitioning") == len(ENTITIES)
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_entity_is_shuffled_once(spark):
+    """One exchange on each entity key; full rows move only for the join on the id."""
+    tx = tx_events(spark, SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entities = with_label_rates(ENTITIES)
+        text = _plan(add_history(tx, entities, ROLES, 0.07))
+        by_id = text.count("Exchange hashpartitioning(tx_id")
+        assert text.count("Exchange hashpartitioning") - by_id == len(entities)
+        assert by_id == len(entities) + 1
+        assert _plan(add_history(tx, entities[:1], ROLES, 0.07)).count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
