@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.ordered import exact_percentiles
@@ -51,26 +51,33 @@ def fit_fills(train: DataFrame, columns: Sequence[str], accuracy: int = 10_000)
     return {c: float(v) if v is not None else 0.0 for c, v in out.items()}
 
 
-def fit_modes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Most frequent value per text column, the smallest on ties."""
+def level_counts(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of each value of each text column, in one scan and one shuffle."""
     texts = train.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    long = texts.unpivot([], list(columns), "feature", "v").where(F.col("v").isNotNull())
-    counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.groupBy("feature").agg(F.min(F.struct(-F.col("_n"), F.col("v").alias("v"))).alias("_b"))
+    long = texts.unpivot([], list(columns), "feature", "level").where(F.col("level").isNotNull())
+    return long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def modes_of(counts: DataFrame) -> DataFrame:
+    """Most frequent value of each column, the smallest on ties."""
+    best = counts.groupBy("feature").agg(F.min(F.struct(-F.col("n"), F.col("level").alias("v"))).alias("_b"))
     return best.select("feature", F.col("_b.v").alias("mode"))
 
 
+def fit_modes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Most frequent value per text column, the smallest on ties."""
+    return modes_of(level_counts(train, columns))
+
+
 def fit_levels(train: DataFrame, columns: Sequence[str], min_rows: int = 20) -> DataFrame:
     """Values of each text column with at least ``min_rows`` rows."""
-    texts = train.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    long = texts.unpivot([], list(columns), "feature", "level").where(F.col("level").isNotNull())
-    return long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+    return level_counts(train, columns).where(F.col("n") >= min_rows)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """n / (2 n_c) for each class."""
     sizes = df.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over one row per class
     return sizes.select("class", "n", (total / (F.lit(2) * F.col("n"))).alias("weight"))
 
 

@@ -9,20 +9,26 @@ from ledgerlark.session import pin
 
 # rows of one key that a single window task sorts comfortably
 HOT_ROWS = 5_000_000
+# longest list of heavy keys that is broadcast
+BROADCAST_KEYS = 200_000
 # timeline slice of a heavy key, microseconds
 SLICE_US = 3_600_000_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
-    """Keys with at least ``hot_rows`` rows as a pinned one-column table, or None when there are none.
+    """Keys with at least ``hot_rows`` rows, flagged, as a pinned table; None when there are none.
 
-    The table has at most rows / hot_rows rows, and its counts are combined before the shuffle.
+    There are at most rows / hot_rows of them, counted before the shuffle. The table is offered for
+    broadcast only when its counted size allows; beyond that the join strategy is left to Spark.
     """
     if hot_rows is None:
         return None
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_n"))
-    hot = pin(counts.where(F.col("_n") >= hot_rows).select("_hot_key"))
-    return None if hot.isEmpty() else hot
+    hot = pin(counts.where(F.col("_n") >= hot_rows).select("_hot_key", F.lit(True).alias("_hot")))
+    n = hot.count()
+    if n == 0:
+        return None
+    return F.broadcast(hot) if n <= BROADCAST_KEYS else hot
 
 
 def no_key_can_be_hot(df: DataFrame, hot_rows: int | None) -> bool:
@@ -31,8 +37,8 @@ def no_key_can_be_hot(df: DataFrame, hot_rows: int | None) -> bool:
 
 
 def mark_hot(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Add ``_hot``; the broadcast side has at most rows / hot_rows keys."""
-    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), F.col(key) == F.col("_hot_key"), "left")
+    """Add ``_hot`` to every row."""
+    flagged = df.join(hot, F.col(key) == F.col("_hot_key"), "left")
     return flagged.withColumn("_hot", F.coalesce("_hot", F.lit(False))).drop("_hot_key")
 
 

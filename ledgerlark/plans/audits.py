@@ -98,9 +98,8 @@ def drift_classifier(table: DataFrame, f: Features, model: Model, seed: int = 42
 def test_like_rows(table: DataFrame, f: Features, fitted: PipelineModel, share: float = 0.2) -> DataFrame:
     """The training rows that look most like test rows, as a validation set for drifting data."""
     train, _ = _parts(table, f)
-    scored = pin(predict(fitted, train, "drift_score").select(f.id, f.ts, F.lit(0).alias("_y"), "drift_score"))
-    cut = budget_rows(scored, "_y", "drift_score", (f.ts, f.id), [Budget("percentile", share)])[0]["threshold"]
-    return scored.where(F.col("drift_score") >= cut).drop("_y")
+    scored = pin(predict(fitted, train).select(f.id, f.ts, "score"))
+    return _top_share(scored, f, max(1, round(share * scored.count()))).withColumnRenamed("score", "drift_score")
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, f: Features, metric: str = "pr_auc", repeats: int = 3,

@@ -22,7 +22,7 @@ from ledgerlark.operators.splits import split_days
 from ledgerlark.session import pin
 
 RARE = "_RARE_"
-# a text feature with more values than this is a key, not a category
+# text features with more values than this in all are keys, not categories
 MAX_LEVELS = 10_000
 
 # Parameters of the candidate models, and the tuned values of the boosted trees.
@@ -99,6 +99,7 @@ class Fitted:
     medians: Mapping[str, float]
     modes: Mapping[str, str]
     levels: Mapping[str, list[str]]
+    sizes: Mapping[str, int]
 
     @property
     def neutral(self) -> dict[str, object]:
@@ -107,17 +108,19 @@ class Fitted:
 
 
 def fit_encoders(train: DataFrame, f: Features) -> Fitted:
-    """Medians, modes and frequent levels, once for all models; all are small by nature."""
+    """Medians, modes, frequent levels and level numbers, once for all models; all are small by nature."""
     medians = encoding.fit_fills(train, f.numeric)
-    modes = {r["feature"]: r["mode"] for r in encoding.fit_modes(train, f.text).collect()} if f.text else {}
     levels: dict[str, list[str]] = {c: [] for c in f.text}
-    if f.text:
-        found = encoding.fit_levels(train, f.text, RARE_BELOW).limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError("a text feature has too many values; bucket it first")
-        for r in found:
-            levels[r["feature"]].append(r["level"])
-    return Fitted(medians, modes, levels)
+    if not f.text:
+        return Fitted(medians, {}, levels, {})
+    counts = pin(encoding.level_counts(train, f.text))
+    sizes = {r["feature"]: int(r["n"]) for r in counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) > MAX_LEVELS:
+        raise ValueError(f"text features have too many values, bucket them first: {sizes}")
+    modes = {r["feature"]: r["mode"] for r in encoding.modes_of(counts).collect()}
+    for r in counts.where(F.col("n") >= RARE_BELOW).collect():
+        levels[r["feature"]].append(r["level"])
+    return Fitted(medians, modes, levels, sizes)
 
 
 def _fill_statement(f: Features, known: Fitted, merge_rare: bool) -> str:
@@ -153,11 +156,11 @@ def build_pipeline(train: DataFrame, f: Features, model: Model, known: Fitted, w
         stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     else:
         stages.append(VectorAssembler(inputCols=numeric + indexed, outputCol="features"))
-    stages.append(_classifier(train, f, model, weight))
+    stages.append(_classifier(train, f, model, known, weight))
     return Pipeline(stages=stages)
 
 
-def _classifier(train: DataFrame, f: Features, model: Model, weight: str):
+def _classifier(train: DataFrame, f: Features, model: Model, known: Fitted, weight: str):
     common = {"labelCol": f.label, "featuresCol": "features", "weightCol": weight}
     p = dict(model.params)
     if model.kind == "logreg":
@@ -166,9 +169,8 @@ def _classifier(train: DataFrame, f: Features, model: Model, weight: str):
             **common, maxIter=int(p["maxIter"]), regParam=1.0 / (float(p["C"]) * max(n, 1)), standardization=False
         )
     if f.text:
-        # a bin for every value of the widest category
-        widest = train.agg(*[F.count_distinct(c).alias(c) for c in f.text]).first()
-        p.setdefault("maxBins", max(32, 2 + max(int(v) for v in widest)))
+        # a bin for every value of the widest category, the filled one and the unseen one
+        p.setdefault("maxBins", max(32, 2 + max(known.sizes.get(c, 0) for c in f.text)))
     make = RandomForestClassifier if model.kind == "forest" else GBTClassifier
     return make(**common, **p)
 

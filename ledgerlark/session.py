@@ -15,6 +15,8 @@ def build_session(app: str = "ledgerlark", master: str | None = None, shuffle_pa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # checkpoint files go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # call-site capture for error messages costs a round trip per column expression
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
