@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.catalog.common import scored_events, scored_sql, stable, stable_sql
-from ledgerlark.functions.rows import RISKY_SEGMENTS
+from ledgerlark.functions.rows import RISKY_SEGMENTS, add_bands
 from ledgerlark.operators import drift as D
 from ledgerlark.operators import metrics as M
 from ledgerlark.operators import overlap as O
 from ledgerlark.operators import splits as S
 from ledgerlark.plans import reports as R
+from ledgerlark.session import scratch_folder
+from ledgerlark.sources import transactions as T
 
 ORDER = ("ts", "tx_id")
 BUDGET_FLOATS = ("threshold", "precision", "recall", "fraud_capture_pct")
@@ -220,6 +222,23 @@ from (select model, variant from core where split = 'val' and model <> 'rule_bas
 join top t on t.model = b.model and t.variant = b.variant and t.split = 'val' group by 1"""
 
 
+def saved_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut-offs written as a parameter file, read back, and applied."""
+    path = scratch_folder(spark, "cutoffs")
+    T.save_parameters(spark, R.score_cutoffs(metrics_table(spark, sf_dir)).first().asDict(), path)
+    kept = T.load_parameters(spark, path)
+    banded = add_bands(scored_events(spark, sf_dir), "score", {k: kept[k] for k in ("HIGH", "MEDIUM")})
+    return banded.groupBy("risk_band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("n_positives"))
+
+
+SAVED_SQL = MODELS_SQL + """
+, c as (select max(threshold) filter (k = 0.001) as high, max(threshold) filter (k = 0.01) as medium
+  from (select model, variant from core where split = 'val' and model <> 'rule_based' and variant = 'demographic_free' order by pr_auc desc limit 1) b
+  join top t on t.model = b.model and t.variant = b.variant and t.split = 'val')
+select case when score >= high then 'HIGH' when score >= medium then 'MEDIUM' else 'LOW' end as risk_band,
+  count(*)::bigint as n, sum(label)::bigint as n_positives from s, c group by 1"""
+
+
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full run against the run without the segment rule, by model."""
     core = R.model_comparison(metrics_table(spark, sf_dir)).select("model", "variant", "pr_auc", "recall_1pct")
@@ -283,7 +302,7 @@ select tx_id, {stable_sql('(percent_rank() over (order by score) + percent_rank(
 
 QUERIES = {f.__name__: f for f in (
     roc_pr, metrics_by_group, metrics_seen_unseen, topk_metrics, topk_metrics_ties, alerts_per_day, threshold_metrics, top_alerts,
-    model_comparison, ablation_pivot, threshold_table, recall_by_alerts, score_cutoffs, compare_runs, cost_threshold, psi,
+    model_comparison, ablation_pivot, threshold_table, recall_by_alerts, score_cutoffs, saved_cutoffs, compare_runs, cost_threshold, psi,
     rank_average)}
 ORACLES = {
     "roc_pr": scored_sql(_core_sql("s")),
@@ -299,6 +318,7 @@ ORACLES = {
     "threshold_table": THRESHOLD_TABLE_SQL,
     "recall_by_alerts": RECALL_SQL,
     "score_cutoffs": CUTOFFS_SQL,
+    "saved_cutoffs": SAVED_SQL,
     "compare_runs": COMPARE_SQL,
     "cost_threshold": COST_SQL,
     "psi": PSI_SQL,

@@ -9,6 +9,8 @@ from ledgerlark.catalog.common import over, stable, stable_sql
 from ledgerlark.catalog.views import ROLES, tx_events, tx_orders
 from ledgerlark.operators import profile as P
 from ledgerlark.operators.history import Entity, add_history
+from ledgerlark.session import scratch_folder
+from ledgerlark.sources.transactions import write_features, write_report
 
 GROUPS = ("tx_type", "os", "segment", "subnet", "receiver")
 KEYS = ("account", "device", "receiver", "subnet")
@@ -212,10 +214,23 @@ LABEL_SQL = over("tx_orders", f"""
 select label::bigint as label, count(*)::bigint as n, (select {stable_sql('1 - avg(label)')} from tx) as naive_accuracy from tx group by 1""")
 
 
+def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written by split and read back from their partitions, next to a report written as JSON."""
+    folder = scratch_folder(spark, "reports")
+    write_features(tx_orders(spark, sf_dir), f"{folder}/rows")
+    write_report(P.rate_by_month(tx_orders(spark, sf_dir), "label", "ts"), f"{folder}/months")
+    rows = spark.read.parquet(f"{folder}/rows").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    months = spark.read.json(f"{folder}/months").agg(F.lit("months").alias("split"), F.count(F.lit(1)).alias("n"))
+    return rows.unionByName(months)
+
+
+WRITTEN_SQL = over("tx_orders", """
+select split, count(*)::bigint as n from tx group by 1 union all select 'months', count(distinct strftime(ts, '%Y-%m'))::bigint from tx""")
+
 QUERIES = {f.__name__: f for f in (
     profile_basic, profile_duplicates, profile_missing, profile_cardinality, cardinality_top, breakdown_all, lift_table,
     rate_by_quarter, rate_by_month, rate_by_hour_dow, entity_summary, key_histogram, partner_counts, partner_histogram,
-    risky_keys, describe_features, class_histogram, label_counts)}
+    risky_keys, describe_features, class_histogram, label_counts, written_reports)}
 ORACLES = {
     "profile_basic": BASIC_SQL,
     "profile_duplicates": DUPLICATES_SQL,
@@ -235,4 +250,5 @@ ORACLES = {
     "describe_features": DESCRIBE_SQL,
     "class_histogram": HISTOGRAM_SQL,
     "label_counts": LABEL_SQL,
+    "written_reports": WRITTEN_SQL,
 }

@@ -113,3 +113,18 @@ def test_audits(spark, run):
     assert rows["rate_ablation"][0].n_features - rows["rate_ablation"][1].n_features == 4
     assert rows["drift"][0].grade in ("none", "mild", "marked", "severe", "critical")
     assert len(rows["drift_features"]) == 20 and len(rows["cascade"]) == 2
+
+
+def test_command_line(spark, run):
+    from ledgerlark.__main__ import main
+
+    out = str(run / "out")
+    main(["profile", str(run / "tx"), str(run / "profile")])
+    assert spark.read.json(str(run / "profile" / "basic")).first().n_rows == spark.read.parquet(str(run / "tx")).count()
+    requests = transactions(spark).limit(50).withColumn("historical_features", F.lit(None).cast("map<string,double>"))
+    requests = requests.withColumn("CustomerAge", F.when(F.col("BusinessKey") == requests.first().BusinessKey, 200).otherwise(F.col("CustomerAge")))
+    requests.select(*S.SCORE_REQUEST.names).write.parquet(str(run / "requests"))
+    main(["score", str(run / "requests"), out, str(run / "scored"), "--explain"])
+    assert spark.read.parquet(str(run / "scored" / "scores")).where("size(reason_codes) > 0").count() == 49
+    assert spark.read.parquet(str(run / "scored" / "rejected")).first().violations == ["CustomerAge_range"]
+    main(["compare", out, out])
