@@ -1,4 +1,3 @@
-import itertools
 import math
 
 import pytest
@@ -6,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from ledgerlark.catalog.views import ENTITIES, ORDER_ENTITIES, ROLES, tx_events, tx_orders
-from ledgerlark.operators.history import DAY_US, Entity, LabelRate, Roles, add_history, with_label_rates
+from ledgerlark.operators.history import DAY_US, Entity, LabelRate, add_history, with_label_rates
 
 RATES = (LabelRate(7), LabelRate(2, 10.0, 5, "_w5"))
 
