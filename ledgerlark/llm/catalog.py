@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlark.llm import classifier, decontamination, minhash, packing, rules
+from ledgerlark.llm import chat_repair, classifier, decontamination, language_model, link_graph, minhash, packing, revisits, rules, sharding
 from ledgerlark.llm.tables import table
 
 
+def op1_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judged(table(spark, sf_dir, "pages"))
+
+
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
@@ -20,20 +25,114 @@ def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Four captures of each page: two full responses, each followed by a 304 with validators of some kind.
+
+    Times are hours counted from the page id; every fifth page sends no entity tag and every seventh one
+    that does not fit.
+    """
+    day, n = F.col("page_id") * 24, F.col("page_id")
+    page = pages.select("page_id", "url", "html", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"))
+    version = F.floor(F.col("part") / 2)
+    payload = F.md5(F.concat(F.coalesce("html", F.lit("")), F.lit("#"), version.cast("string")))
+    tag = F.concat(F.lit('"'), F.substring(payload, 1, 16), F.lit('"'))
+    full = F.col("part") % 2 == 0
+    fresh_tag = F.when(n % 5 == 0, F.lit(None).cast("string")).when(n % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))
+    changed = F.concat(F.lit("day "), (n + version).cast("string"))
+    entries = {
+        "ETag": F.when(full, tag).otherwise(fresh_tag),
+        "Last-Modified": F.when(n % 11 != 0, changed),
+        "Content-Type": F.when(full, F.lit("text/html")).otherwise(F.lit("text/plain")),
+        "Cache-Control": F.concat(F.lit("max-age="), (F.col("part") * 60).cast("string")),
+        "Date": F.concat(F.lit("hour "), (day + F.col("part")).cast("string")),
+    }
+    headers = F.map_filter(F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    return page.select(
+        (n * 4 + F.col("part")).alias("record_id"), "url", (day + F.col("part")).alias("captured_at"), F.when(full, "response").otherwise("revisit").alias("kind"),
+        F.when(full, 200).otherwise(304).alias("status"), headers.alias("headers"), F.when(full, payload).alias("payload"),
+    )
+
+
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolved_revisits(page_captures(table(spark, sf_dir, "pages")))
+    names = {"etag": "etag", "last_modified": "last-modified", "content_type": "content-type", "cache_control": "cache-control", "date_header": "date"}
+    return found.select("record_id", "url_key", "outcome", "base_id", "status", *[F.col("headers")[h].alias(c) for c, h in names.items()], "payload")
+
+
 def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op8_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_repair.repaired_turns(table(spark, sf_dir, "conversations"))
+    return found.withColumn("conv_id", F.col("conv_id").cast("bigint"))
+
+
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_link_graph": op1_link_graph,
     "op2_decision_list": op2_decision_list,
     "op3_fourier_classifier": op3_fourier_classifier,
     "op4_bbit_minhash": op4_bbit_minhash,
+    "op5_revisits": op5_revisits,
     "op6_cgk_decontamination": op6_cgk_decontamination,
+    "op7_bounded_ring": op7_bounded_ring,
+    "op8_role_repair": op8_role_repair,
+    "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_bin_completion": op10_bin_completion,
 }
 
-ORACLES: dict[str, str] = {}
+_CAPTURES = """
+with page as (
+    select page_id as n, url, html, part, part // 2 as version, page_id * 24 + part as at,
+           md5(coalesce(html, '') || '#' || (part // 2)) as payload
+    from pages, (select unnest(range(4)) as part)
+), capture as (
+    select n * 4 + part as record_id, at, part % 2 = 0 as is_full, payload,
+           regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') as bare,
+           case when part % 2 = 0 then '"' || substr(payload, 1, 16) || '"' when n % 5 = 0 then null when n % 7 = 0 then '"other"'
+                else 'W/"' || substr(payload, 1, 16) || '"' end as etag,
+           case when n % 11 <> 0 then 'day ' || (n + version) end as last_modified,
+           'max-age=' || (part * 60) as cache_control, 'hour ' || at as date_header
+    from page
+), keyed as (
+    select *, regexp_replace(translate(regexp_extract(bare, '^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', '') as host,
+           regexp_extract(bare, '^[^/?]*([^?]*)', 1) as path,
+           regexp_replace(regexp_replace(regexp_extract(bare, '\\?(.*)$', 1), '(^|&)(utm_[a-z]+|gclid|fbclid)=[^&]*', '', 'g'), '^&', '') as query
+    from capture
+), named as (
+    select *, host || case when path = '' then '/' else path end || case when query = '' then '' else '?' || query end as url_key from keyed
+)"""
+
+ORACLES: dict[str, str] = {
+    "op5_revisits": _CAPTURES + """, latest as (
+    select r.record_id, r.url_key, r.etag as r_etag, r.last_modified as r_mod, r.cache_control as r_cache, r.date_header as r_date,
+           b.record_id as base, b.etag as b_etag, b.last_modified as b_mod, b.payload as b_payload
+    from named r left join named b on b.is_full and b.url_key = r.url_key and b.at < r.at
+    where not r.is_full
+    qualify row_number() over (partition by r.record_id order by b.at desc nulls last, b.record_id desc nulls last) = 1
+), judged as (
+    select *, case when base is null then 'no_base'
+                   when b_etag is not null and r_etag is not null
+                       then case when regexp_replace(b_etag, '^W/', '') = regexp_replace(r_etag, '^W/', '') then 'resolved' else 'validator_mismatch' end
+                   when b_mod is not null and r_mod is not null then case when b_mod = r_mod then 'resolved' else 'validator_mismatch' end
+                   else 'no_validator' end as outcome
+    from latest
+)
+select record_id, url_key, outcome, case when outcome = 'resolved' then base end as base_id, case when outcome = 'resolved' then 200 end as status,
+       case when outcome = 'resolved' then coalesce(r_etag, b_etag) end as etag, case when outcome = 'resolved' then b_mod end as last_modified,
+       case when outcome = 'resolved' then 'text/html' end as content_type, case when outcome = 'resolved' then r_cache end as cache_control,
+       case when outcome = 'resolved' then r_date end as date_header, case when outcome = 'resolved' then b_payload end as payload
+from judged""",
+}
