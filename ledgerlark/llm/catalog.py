@@ -95,16 +95,16 @@ QUERIES = {
 
 _CAPTURES = """
 with page as (
-    select page_id as n, url, html, part, part // 2 as version, page_id * 24 + part as at,
+    select page_id as n, url, html, part, part // 2 as version, page_id * 24 + part as hour,
            md5(coalesce(html, '') || '#' || (part // 2)) as payload
     from pages, (select unnest(range(4)) as part)
 ), capture as (
-    select n * 4 + part as record_id, at, part % 2 = 0 as is_full, payload,
+    select n * 4 + part as record_id, hour, part % 2 = 0 as is_full, payload,
            regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') as bare,
            case when part % 2 = 0 then '"' || substr(payload, 1, 16) || '"' when n % 5 = 0 then null when n % 7 = 0 then '"other"'
                 else 'W/"' || substr(payload, 1, 16) || '"' end as etag,
            case when n % 11 <> 0 then 'day ' || (n + version) end as last_modified,
-           'max-age=' || (part * 60) as cache_control, 'hour ' || at as date_header
+           'max-age=' || (part * 60) as cache_control, 'hour ' || hour as date_header
     from page
 ), keyed as (
     select *, regexp_replace(translate(regexp_extract(bare, '^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', '') as host,
@@ -119,9 +119,9 @@ ORACLES: dict[str, str] = {
     "op5_revisits": _CAPTURES + """, latest as (
     select r.record_id, r.url_key, r.etag as r_etag, r.last_modified as r_mod, r.cache_control as r_cache, r.date_header as r_date,
            b.record_id as base, b.etag as b_etag, b.last_modified as b_mod, b.payload as b_payload
-    from named r left join named b on b.is_full and b.url_key = r.url_key and b.at < r.at
+    from named r left join named b on b.is_full and b.url_key = r.url_key and b.hour < r.hour
     where not r.is_full
-    qualify row_number() over (partition by r.record_id order by b.at desc nulls last, b.record_id desc nulls last) = 1
+    qualify row_number() over (partition by r.record_id order by b.hour desc nulls last, b.record_id desc nulls last) = 1
 ), judged as (
     select *, case when base is null then 'no_base'
                    when b_etag is not null and r_etag is not null

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.rules import one_label
-from ledgerlark.llm.statistics import shares, text_statistics
+from ledgerlark.llm.statistics import SHARES, shares, text_statistics
 from ledgerlark.llm.tables import id_crc, stored
 from ledgerlark.session import pin
 
-STATISTICS = tuple(shares())
+STATISTICS = SHARES
 HELD_OUT, FOLDS, CALIBRATION_FOLD = 0, 5, 1
 CUT = 0.3
 SCORE_STEPS = 500

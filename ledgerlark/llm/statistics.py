@@ -100,6 +100,13 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
 
 
+#: Names of ``shares``.
+SHARES = (
+    "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "distinct_share",
+    "top_word_share", "same_share", "short_share", "long_share", "line_end_share", "line_words", "log_words",
+)
+
+
 def shares() -> dict[str, Column]:
     """Size-free statistics derived from the counts; 0 where there is nothing to divide by."""
 
