@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.catalog.common import over, stable, stable_sql
 from ledgerlark.catalog.views import ENTITIES, ORDER_ENTITIES, ROLES, tx_events, tx_orders
+from ledgerlark.operators.gate import rejected_counts, set_aside
 from ledgerlark.operators.history import DAY_US, Entity, LabelRate, add_history, label_prior, with_label_rates
 
 # days are short here because the event view spans 30 days
@@ -29,6 +30,10 @@ LAGS = (Entity("device", "device", rates=tuple(LabelRate(d, suffix=f"_lag{d}") f
 WINDOWED_RATE = (Entity("receiver", "receiver", rates=(LabelRate(2, window_days=7),)),)
 GAP = (Entity("device", "device", gap=True), Entity("account", "account", gap=True))
 TIES = (Entity("device", "device", True, (1, 7)), Entity("receiver", "receiver", True, (7,), (("devices", "device"),), True))
+GATED = (
+    Entity("device", "device", True, (1, 7), (("receivers", "receiver"),), True, True, True, rates=(LabelRate(7),)),
+    Entity("receiver", "receiver", True, (7,), rates=(LabelRate(3),)),
+)
 PRIOR = 0.0732
 SMALL_HOT, SMALL_SLICE = 50, 12 * 3_600_000_000
 
@@ -61,8 +66,51 @@ def _query(view: Callable, entities: Sequence[Entity], prior: float | str = PRIO
     return run
 
 
-def history_sql(view: str, entities: Sequence[Entity], prior: float | str = PRIOR, places: int = 4) -> str:
-    """The same columns from plain window frames."""
+# the same rows with times that could not be read, and with ids that are missing or repeated
+BAD_ROWS = {
+    "times": {"ts": "case when tx_id % 7 <> 0 then ts end", "label": "case when tx_id % 31 <> 5 then label end"},
+    "ids": {"tx_id": "case when tx_id % 11 = 0 then null when tx_id % 13 = 0 then tx_id - tx_id % 26 else tx_id end"},
+}
+REASON_SQL = """case when ts is null then 'no_time' when tx_id is null then 'no_id' when label is null then 'no_label'
+    when tx_id in (select tx_id from bad group by tx_id having count(*) > 1) then 'repeated_id' end"""
+
+
+def _with_bad_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return tx_events(spark, sf_dir).withColumns({c: F.expr(e) for c, e in BAD_ROWS[kind].items()})
+
+
+def _gated(kind: str, entities: Sequence[Entity], **kw):
+    """History of the rows that pass the gate."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        good, _ = set_aside(_with_bad_rows(spark, sf_dir, kind), ROLES)
+        out = add_history(good, entities, ROLES, PRIOR, **kw)
+        return _outputs(out, [c for c in out.columns if c not in good.columns], entities, 4)
+
+    return run
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows set aside before history, counted by reason."""
+    found = [rejected_counts(set_aside(_with_bad_rows(spark, sf_dir, k), ROLES)[1]).withColumn("kind", F.lit(k)) for k in BAD_ROWS]
+    return found[0].unionByName(found[1])
+
+
+def bad_rows_sql(kind: str) -> str:
+    changed = ", ".join(f"{e} as {c}" for c, e in BAD_ROWS[kind].items())
+    return f", bad as (select * replace ({changed}) from tx), reasoned as (select *, {REASON_SQL} as reason from bad)"
+
+
+def _rejected_sql() -> str:
+    parts = [
+        over("tx_events", f"{bad_rows_sql(k)} select '{k}' as kind, reason as rejected_because, count(*)::bigint as n from reasoned where reason is not null group by 2")
+        for k in BAD_ROWS
+    ]
+    return " union all ".join(f"select * from ({p})" for p in parts)
+
+
+def history_sql(view: str, entities: Sequence[Entity], prior: float | str = PRIOR, places: int = 4, bad: str | None = None) -> str:
+    """The same columns from plain window frames, of the good rows only if some are made ``bad``."""
     cols = ["tx_id"]
     p = f"(select avg(label) from tx where split = '{prior}')" if isinstance(prior, str) else str(prior)
 
@@ -107,7 +155,9 @@ def history_sql(view: str, entities: Sequence[Entity], prior: float | str = PRIO
             rate = f"(({hits}) + {r.strength} * {p}) / (({seen}) + {r.strength})"
             cols.append(f"{stable_sql(rate)} as {e.name}_fraud_rate_smoothed{r.suffix}")
             cols.append(f"({seen})::bigint as {e.name}_label_n{r.suffix}")
-    return over(view, "select " + ",\n  ".join(cols) + "\nfrom (select *, epoch_us(ts) us from tx) t")
+    rows = "tx" if bad is None else "(select * from reasoned where reason is null)"
+    before = "" if bad is None else bad_rows_sql(bad) + "\n"
+    return over(view, before + "select " + ",\n  ".join(cols) + f"\nfrom (select *, epoch_us(ts) us from {rows}) t")
 
 
 ALL = with_label_rates(ENTITIES)
@@ -131,6 +181,14 @@ QUERIES = {
     "pit_heavy_keys_ties": _query(
         tx_orders, with_label_rates(ORDER_ENTITIES), places=3, hot_rows=SMALL_HOT, slice_us=30 * DAY_US
     ),
+    # rows that history cannot order are set aside first, on both paths and for one entity and two
+    "rejected_rows": rejected_rows,
+    "pit_bad_times": _gated("times", GATED),
+    "pit_bad_times_heavy": _gated("times", GATED, hot_rows=SMALL_HOT, slice_us=SMALL_SLICE),
+    "pit_bad_times_one": _gated("times", GATED[:1]),
+    "pit_bad_ids": _gated("ids", GATED),
+    "pit_bad_ids_heavy": _gated("ids", GATED, hot_rows=SMALL_HOT, slice_us=SMALL_SLICE),
+    "pit_bad_ids_one": _gated("ids", GATED[:1], hot_rows=SMALL_HOT, slice_us=SMALL_SLICE),
 }
 
 ORACLES = {
@@ -149,4 +207,7 @@ ORACLES = {
     "features_all": history_sql("tx_events", ALL, "train"),
     "pit_heavy_keys": history_sql("tx_events", ALL, "train"),
     "pit_heavy_keys_ties": history_sql("tx_orders", with_label_rates(ORDER_ENTITIES), places=3),
+    "rejected_rows": _rejected_sql(),
+    **{f"pit_bad_{k}{s}": history_sql("tx_events", GATED, bad=k) for k in BAD_ROWS for s in ("", "_heavy")},
+    **{f"pit_bad_{k}_one": history_sql("tx_events", GATED[:1], bad=k) for k in BAD_ROWS},
 }

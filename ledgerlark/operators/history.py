@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import skew
+from ledgerlark.operators.gate import refuse_unfit
 from ledgerlark.operators.history_events import sliced_statistics
 from ledgerlark.operators.history_spec import DAY_US, Entity, LabelRate, Roles
 
@@ -59,17 +60,21 @@ def add_history(
     prior: float | None = None,
     hot_rows: int | None = skew.HOT_ROWS,
     slice_us: int = skew.SLICE_US,
+    gated: bool = False,
 ) -> DataFrame:
     """Add the history columns of every entity to each row.
 
-    Timestamps must not be null and ``roles.id`` must be unique: it orders ties and, with several
-    entities, brings their columns together. Each entity then moves only the few columns it reads,
-    and the full rows are moved once; a single entity works on the full rows directly.
+    Times, ids and (with label rates) labels must not be null, and ids must be unique: they order ties
+    and, with several entities, bring their columns together. One pass checks this at every size and
+    raises with the counts; ``gated`` says that ``gate.set_aside`` has been applied. Each entity then
+    moves only the few columns it reads, and the full rows are moved once; a single entity works on the
+    full rows directly.
     """
+    n = df.count() if gated else refuse_unfit(df, roles, any(e.rates for e in entities))
     if prior is None and any(e.rates for e in entities):
         prior = label_prior(df, roles.label)
     base = df.withColumn("_us", F.unix_micros(F.col(roles.ts).cast("timestamp")))
-    if skew.no_key_can_be_hot(df, hot_rows):
+    if hot_rows is not None and n < hot_rows:
         hot_rows = None
     hot = {e.key: skew.hot_keys(df, e.key, hot_rows) for e in entities}
     if len(entities) == 1 and hot[entities[0].key] is None:

@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.functions.rows import NOT_FEATURES, add_row_features, feature_columns, rule_score
+from ledgerlark.functions.rows import add_row_features, feature_columns, rule_score
 from ledgerlark.operators import profile
 from ledgerlark.operators.encoding import apply_top_levels, fit_top_levels
+from ledgerlark.operators.gate import rejected_counts, set_aside
 from ledgerlark.operators.history import TRANSACTION_ENTITIES, LabelRate, Roles, add_history, label_prior, with_label_rates
 from ledgerlark.operators.overlap import compare_runs, entity_overlap
 from ledgerlark.operators.splits import TimeSplit, time_split
 from ledgerlark.plans import reports
 from ledgerlark.plans.training import Features, Model, standard_models, train_and_evaluate
+from ledgerlark.session import pin
 from ledgerlark.sources import transactions as S
 
 ROLES = Roles()
@@ -37,7 +39,7 @@ class FeatureOptions:
 
 
 def feature_table(tx: DataFrame, options: FeatureOptions = FeatureOptions()) -> tuple[DataFrame, DataFrame, float]:
-    """(features with their split, device models kept, prior label rate).
+    """(features with their split, device models kept, prior label rate) of rows that passed the gate.
 
     History comes first, while rows are narrow, because each entity moves them once; the row features
     are added afterwards in one projection.
@@ -46,12 +48,12 @@ def feature_table(tx: DataFrame, options: FeatureOptions = FeatureOptions()) ->
     prior = label_prior(parted, ROLES.label, options.prior_split)
     entities = with_label_rates(TRANSACTION_ENTITIES, options.rates) if options.rates else TRANSACTION_ENTITIES
     top_models = fit_top_levels(parted.where("split = 'train'"), "DeviceModel")
-    rows = add_row_features(add_history(parted, entities, ROLES, prior), day_type_variant=options.day_type_variant)
+    rows = add_row_features(add_history(parted, entities, ROLES, prior, gated=True), day_type_variant=options.day_type_variant)
     return apply_top_levels(rows, "DeviceModel", top_models), top_models, prior
 
 
 def model_features(table: DataFrame, drop_demographic: bool) -> Features:
-    num, text = feature_columns(table, drop_demographic, (*NOT_FEATURES, "split"))
+    num, text = feature_columns(table, {**S.COLUMN_ROLES, "split": "split"}, drop_demographic)
     return Features(tuple(num), tuple(text), ROLES.label, ROLES.id, ROLES.ts)
 
 
@@ -87,7 +89,10 @@ def train(
 
     Returns the long metrics table as read back from ``folder``.
     """
-    tx = S.load_validated(spark, data)
+    tx, rejected = set_aside(S.load_validated(spark, data), ROLES)
+    S.write_report(rejected, f"{folder}/rejected", "parquet")
+    S.write_report(rejected_counts(spark.read.parquet(f"{folder}/rejected")), f"{folder}/reports/rejected")
+    tx = pin(tx)
     table, top_models, prior = feature_table(tx, options)
     S.write_features(table.where("split is not null"), f"{folder}/features")
     S.write_report(top_models.coalesce(1), f"{folder}/top_models")  # at most 100 rows
