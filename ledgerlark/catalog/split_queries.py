@@ -164,9 +164,23 @@ select a.tx_id, s.tx_id as asof_tx_id, s.amount as asof_amount
 from (select * from tx where tx_type <> 'purchase') a
 asof left join (select * from tx where tx_type = 'purchase') s on a.device = s.device and a.ts >= s.ts""")
 
+def asof_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of whole days, many of them for one key on one day: the largest id counts."""
+    tx = tx_orders(spark, sf_dir)
+    snaps = tx.where("tx_id % 3 <> 0").select("subnet", "ts", "tx_id", "amount")
+    asks = tx.where("tx_id % 3 = 0").select("tx_id", "subnet", "ts")
+    return asof_join(asks, snaps, "subnet", "ts", ("tx_id", "amount"), "tx_id", hot_rows=50, slice_us=40 * 86_400_000_000).select("tx_id", "asof_tx_id", "asof_amount")
+
+
+ASOF_TIES_SQL = over("tx_orders", """
+, s as (select subnet, ts, tx_id, amount from tx where tx_id % 3 <> 0
+        qualify row_number() over (partition by subnet, ts order by tx_id desc) = 1)
+select a.tx_id, s.tx_id as asof_tx_id, s.amount as asof_amount
+from (select * from tx where tx_id % 3 = 0) a asof left join s on a.subnet = s.subnet and a.ts >= s.ts""")
+
 QUERIES = {f.__name__: f for f in (
     split_counts, split_days, random_split, stratified_split, entity_overlap, seen_unseen, seen_rows, stacked, time_folds,
-    seeded_sample, permuted_labels, example_rows, asof_features, asof_heavy_keys)}
+    seeded_sample, permuted_labels, example_rows, asof_features, asof_heavy_keys, asof_ties)}
 ORACLES = {
     "split_counts": SPLIT_SQL,
     "split_days": DAYS_SQL,
@@ -182,4 +196,5 @@ ORACLES = {
     "example_rows": EXAMPLES_SQL,
     "asof_features": ASOF_SQL,
     "asof_heavy_keys": ASOF_SQL,
+    "asof_ties": ASOF_TIES_SQL,
 }

@@ -23,7 +23,9 @@ def asof_join(
 ) -> DataFrame:
     """Left as-of join without a range join: both sides share one exchange on the key.
 
-    Heavy keys are cut into time slices; the last snapshot of the slices before is carried in.
+    Heavy keys are cut into time slices; the last snapshot of the slices before is carried in. Of
+    snapshots of a key at one time the one with the largest ``values``, compared from left to right,
+    counts; put an id first to choose by it.
     """
     snap_ts = F.col(snapshot_ts or ts).cast("timestamp")
     snaps = snapshots.where(F.col(key).isNotNull() & snap_ts.isNotNull()).select(
@@ -45,8 +47,8 @@ def asof_join(
     flag = None if hot is None else F.col("_hot")
     both = both.withColumn("_slice", skew.slice_of(F.col("_k"), F.col("_us"), F.col("_id"), flag, slice_us))
 
-    # at equal times the snapshot comes first
-    upto = Window.partitionBy("_k", "_slice").orderBy("_us", F.col("_row").isNotNull()).rowsBetween(
+    # at equal times snapshots come first, in the order of their values
+    upto = Window.partitionBy("_k", "_slice").orderBy("_us", F.col("_row").isNotNull(), "_snap").rowsBetween(
         Window.unboundedPreceding, 0
     )
     found = F.last("_snap", ignorenulls=True).over(upto)
@@ -55,7 +57,7 @@ def asof_join(
         slices = (
             both.where("_hot")
             .groupBy("_k", "_slice")
-            .agg(F.max_by("_snap", F.when(F.col("_snap").isNotNull(), F.col("_us"))).alias("_s"))
+            .agg(F.max_by("_snap", F.when(F.col("_snap").isNotNull(), F.struct("_us", "_snap"))).alias("_s"))
         )
         before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         carried = slices.select(
