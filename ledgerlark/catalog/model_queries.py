@@ -15,9 +15,10 @@ from ledgerlark.plans import audits, reports, scoring
 from ledgerlark.plans import training as T
 from ledgerlark.session import pin
 
-NOT_FEATURES = ("tx_id", "ts", "device", "receiver", "sender", "account", "subnet", "label", "day_type", "split", "tx_type")
-TEXT = ("os", "segment", "DayType_clean", "amount_bucket", "os_l1h", "os_l8h")
-DEMOGRAPHIC = ("segment",)
+COLUMN_ROLES = {
+    "tx_id": "id", "ts": "time", "label": "label", "split": "split", "day_type": "raw", "tx_type": "raw", "segment": "demographic",
+    **{e: "key" for e in ("device", "receiver", "sender", "account", "subnet")},
+}
 # small settings: these queries show the jobs, the full parameters are in plans.training
 BOOSTED = T.Model("hist_gbm", "boosted", {"maxIter": 5, "maxDepth": 3, "stepSize": 0.2, "seed": 42})
 FOREST = T.Model("random_forest", "forest", {"numTrees": 10, "maxDepth": 5, "minInstancesPerNode": 20, "seed": 42})
@@ -32,7 +33,7 @@ def feature_table(spark: SparkSession, sf_dir: str, rates: bool = True) -> DataF
 
 
 def features_of(table: DataFrame, drop_demographic: bool = True) -> T.Features:
-    num, text = R.feature_columns(table, drop_demographic, NOT_FEATURES, TEXT, DEMOGRAPHIC)
+    num, text = R.feature_columns(table, COLUMN_ROLES, drop_demographic)
     return T.Features(tuple(num), tuple(text))
 
 

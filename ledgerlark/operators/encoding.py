@@ -32,23 +32,15 @@ def fit_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return exact_percentiles(train, columns, [0.5]).select("feature", F.col("value").alias("median"))
 
 
-def fit_fills(train: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> dict[str, float]:
-    """A median for every numeric column, with the costly exact one only where it is used.
+def fit_fills(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The exact median of every numeric column, 0 for one without values.
 
-    One pass counts missing values and sketches every median. Columns that do have missing values
-    then get the exact median; for the others it only serves as a neutral value.
+    It fills holes and is the neutral value of a column, so it must not depend on whether there are holes.
     """
     if not columns:
         return {}
-    row = train.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"m_{i}") for i, c in enumerate(columns)],
-    ).first()
-    out = {c: row[f"m_{i}"] for i, c in enumerate(columns)}
-    holes = [c for i, c in enumerate(columns) if row[f"n_{i}"]]
-    if holes:
-        out.update({r["feature"]: r["median"] for r in fit_medians(train, holes).collect()})
-    return {c: float(v) if v is not None else 0.0 for c, v in out.items()}
+    found = {r["feature"]: r["median"] for r in fit_medians(train, columns).collect()}
+    return {c: float(found[c]) if found.get(c) is not None else 0.0 for c in columns}
 
 
 def level_counts(train: DataFrame, columns: Sequence[str]) -> DataFrame:

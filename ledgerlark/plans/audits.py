@@ -103,13 +103,14 @@ def test_like_rows(table: DataFrame, f: Features, fitted: PipelineModel, share:
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, f: Features, metric: str = "pr_auc", repeats: int = 3,
-                           sample: int = 20_000, top: int = 20, seed: int = 0) -> DataFrame:
-    """Mean loss of the metric when one feature is shuffled.
+                           sample: int | None = None, top: int | None = None, seed: int = 0) -> DataFrame:
+    """Mean loss of the metric when one feature is shuffled; of all rows and features unless limited.
 
     All features share one seeded pairing of rows per repeat, so a repeat is one scoring pass over
     (feature, row) and one grouped metric.
     """
-    picked = pin(splits.seeded_sample(rows.select(f.id, f.label, *f.names), f.id, sample, seed))
+    narrow = rows.select(f.id, f.label, *f.names)
+    picked = pin(narrow if sample is None else splits.seeded_sample(narrow, f.id, sample, seed))
     base = core_metrics(predict(model, picked), f.label, "score").first()[metric]
     takers = number_rows(picked, [f.id], "_rn")
     shuffled = None
@@ -125,7 +126,8 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, f: Features, m
     )
     scores = core_metrics(predict(model, swapped), f.label, "score", ["feature", "_repeat"])
     loss = scores.groupBy("feature").agg(F.avg(F.lit(float(base)) - F.col(metric)).alias("importance"))
-    return loss.orderBy(F.col("importance").desc(), "feature").limit(top)
+    ranked = loss.orderBy(F.col("importance").desc(), "feature")
+    return ranked if top is None else ranked.limit(top)
 
 
 # -- two stages ------------------------------------------------------------------------------------

@@ -99,6 +99,7 @@ class Fitted:
     medians: Mapping[str, float]
     modes: Mapping[str, str]
     levels: Mapping[str, list[str]]
+    rare: Mapping[str, list[str]]
     sizes: Mapping[str, int]
 
     @property
@@ -111,16 +112,17 @@ def fit_encoders(train: DataFrame, f: Features) -> Fitted:
     """Medians, modes, frequent levels and level numbers, once for all models; all are small by nature."""
     medians = encoding.fit_fills(train, f.numeric)
     levels: dict[str, list[str]] = {c: [] for c in f.text}
+    rare: dict[str, list[str]] = {c: [] for c in f.text}
     if not f.text:
-        return Fitted(medians, {}, levels, {})
+        return Fitted(medians, {}, levels, rare, {})
     counts = pin(encoding.level_counts(train, f.text))
     sizes = {r["feature"]: int(r["n"]) for r in counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     if sum(sizes.values()) > MAX_LEVELS:
         raise ValueError(f"text features have too many values, bucket them first: {sizes}")
     modes = {r["feature"]: r["mode"] for r in encoding.modes_of(counts).collect()}
-    for r in counts.where(F.col("n") >= RARE_BELOW).collect():
-        levels[r["feature"]].append(r["level"])
-    return Fitted(medians, modes, levels, sizes)
+    for r in counts.collect():
+        (levels if r["n"] >= RARE_BELOW else rare)[r["feature"]].append(r["level"])
+    return Fitted(medians, modes, levels, rare, sizes)
 
 
 def _fill_statement(f: Features, known: Fitted, merge_rare: bool) -> str:
@@ -128,8 +130,9 @@ def _fill_statement(f: Features, known: Fitted, merge_rare: bool) -> str:
     for c in f.text:
         filled = f"coalesce(cast(`{c}` as string), {_quoted(known.modes.get(c) or 'NA')})"
         if merge_rare:
-            kept = ", ".join(_quoted(v) for v in sorted(known.levels.get(c, ()))) or "''"
-            filled = f"case when {filled} in ({kept}) then {filled} else '{RARE}' end"
+            # only values that training has seen as rare are merged; unseen ones stay unknown to the indexer
+            rare = ", ".join(_quoted(v) for v in sorted(known.rare.get(c, ())))
+            filled = f"case when {filled} in ({rare}) then '{RARE}' else {filled} end" if rare else filled
         cols.append(f"{filled} as `{c}__t`")
     return f"select *, {', '.join(cols)} from __THIS__"
 
@@ -272,8 +275,3 @@ def boosted_space(rng: random.Random) -> dict:
         "minInstancesPerNode": int(round(20 * 25 ** rng.random())),
         "featureSubsetStrategy": f"{rng.uniform(0.5, 1.0):.4f}",
     }
-
-
-def materialise(table: DataFrame) -> DataFrame:
-    """The feature table, computed once for the many jobs that follow."""
-    return pin(table)

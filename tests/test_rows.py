@@ -92,8 +92,8 @@ def test_request_features(spark):
 def test_feature_columns(spark):
     rows = requests(spark).withColumn("IsFraudTransaction", F.lit(0))
     df = request_features(rows, 0.0)
-    num, text = R.feature_columns(df)
-    free_num, free_text = R.feature_columns(df, drop_demographic=True)
+    num, text = R.feature_columns(df, S.COLUMN_ROLES)
+    free_num, free_text = R.feature_columns(df, S.COLUMN_ROLES, drop_demographic=True)
     assert len(num) + len(text) == 60
     assert len(free_num) + len(free_text) == 56
     assert "CustomerAge" in num and "CustomerAge" not in free_num and "DayType" not in num + text
