@@ -118,10 +118,16 @@ def budget_rows(df: DataFrame, label: str, score: str, order: Sequence[str], bud
     ``by`` splits the rows into a few groups (models, splits), each with its own k; ``days`` may then
     be given per group. Only one boundary per group and budget comes to the driver. A budget that
     ends inside a run of equal scores numbers the rows of that run in ``order`` to see how many
-    positives fall inside.
+    positives fall inside. Without a ``curve`` the few columns needed are written once first, so that
+    whatever made the scores runs once. A null score has no rank and is refused.
     """
     by = list(by)
-    curve = pin(score_curve(df, label, score, by)) if curve is None else curve
+    if curve is None:
+        df = pin(df.select(*dict.fromkeys([*by, score, label, *order])))
+        curve = pin(score_curve(df, label, score, by))
+    unscored = curve.where(F.col("score").isNull()).agg(F.sum("n")).first()[0]
+    if unscored:
+        raise ValueError(f"{unscored} rows have no score")
     totals = curve.groupBy(*by).agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p")).collect()
     groups = {tuple(r[c] for c in by): (int(r["_n"]), int(r["_p"])) for r in totals if r["_n"]}
     if not groups:

@@ -56,6 +56,10 @@ class HistoryStream:
         """Everything emitted so far."""
         return spark.read.parquet(f"{self.folder}/features").drop("batch")
 
+    def rejected_rows(self, spark: SparkSession) -> DataFrame:
+        """Rows without a readable time."""
+        return spark.read.parquet(f"{self.folder}/rejected").drop("batch")
+
     def late_rows(self, spark: SparkSession) -> int:
         """Rows that came after the watermark had passed them; they are dropped and counted."""
         return int(spark.read.json(f"{self.folder}/marks").agg(F.sum("late")).first()[0] or 0)
@@ -69,7 +73,10 @@ class HistoryStream:
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         us = F.unix_micros(F.col(self.roles.ts).cast("timestamp"))
-        self._step(batch.withColumn("_us", us).where(us.isNotNull()), batch_id, closed=False)
+        timed = batch.withColumn("_us", us)
+        # rows without a time have no place before or after others; they are kept aside
+        timed.where(us.isNull()).drop("_us").write.mode("overwrite").parquet(f"{self.folder}/rejected/batch={batch_id}")
+        self._step(timed.where(us.isNotNull()), batch_id, closed=False)
 
     def _step(self, rows: DataFrame, batch_id: int, closed: bool) -> None:
         spark = rows.sparkSession

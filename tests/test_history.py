@@ -142,3 +142,19 @@ def test_each_entity_is_shuffled_once(spark):
         assert _plan(add_history(tx, entities[:1], ROLES, 0.07)).count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_that_cannot_be_ordered_are_refused_or_set_aside(spark):
+    from ledgerlark.operators.gate import UnfitRows, rejected_counts, set_aside
+
+    rows = [(1, "2024-01-01 00:00:00", "k", 1), (2, None, "k", 1), (None, "2024-01-02 00:00:00", "k", 1), (3, "2024-01-03 00:00:00", "k", None),
+            (4, "2024-01-04 00:00:00", "k", 1), (4, "2024-01-05 00:00:00", "k", 0), (5, "2024-01-20 00:00:00", "k", 0)]
+    df = spark.createDataFrame(rows, "tx_id bigint, ts string, device string, label int").withColumn("ts", F.col("ts").cast("timestamp"))
+    entities = [Entity("device", "device", True, rates=(LabelRate(7),))]
+    for hot_rows in (None, 2):
+        with pytest.raises(UnfitRows, match="'no_time': 1, 'no_label': 1, 'no_id': 1, 'repeated_id': 2"):
+            add_history(df, entities, ROLES, 0.5, hot_rows)
+        good, bad = set_aside(df, ROLES)
+        got = {r["tx_id"]: (r["device_tx_count_all"], r["device_label_n"]) for r in add_history(good, entities, ROLES, 0.5, hot_rows).collect()}
+        assert got == {1: (0, 0), 5: (1, 1)}
+    assert {r[0]: r[1] for r in rejected_counts(bad).collect()} == {"no_time": 1, "no_id": 1, "no_label": 1, "repeated_id": 2}

@@ -81,3 +81,8 @@ def test_splits(spark):
     assert mixed.where("id < 4000").agg(F.sum("y")).first()[0] == 400
     assert mixed.where("id >= 4000").join(df, ["id", "y"]).count() == 1000
     assert mixed.join(df, ["id", "y"]).count() < 4700
+
+
+def test_null_scores_are_refused(spark):
+    with pytest.raises(ValueError, match="1 rows have no score"):
+        M.budget_rows(frame(spark, [(1, 0.5), (0, 0.1)]).withColumn("s", F.when(F.col("y") == 1, F.col("s"))), "y", "s", ("id",), [M.Budget("percentile", 0.5)])

@@ -57,6 +57,16 @@ def test_repeated_batch_changes_nothing(spark):
     assert job.features(spark).count() == tx.count()
 
 
+def test_rows_without_a_time_are_kept_aside(spark):
+    tx = tx_events(spark, SMALL).where("ts < timestamp '2024-01-05'")
+    broken = tx.withColumn("ts", F.expr("case when tx_id % 7 <> 0 then ts end"))
+    job = run(spark, broken, [broken.where("tx_id % 2 = 0"), broken.where("tx_id % 2 = 1")], 40 * DAY_US)
+    good = broken.where("ts is not null")
+    assert job.features(spark).count() == good.count()
+    assert sorted(r[0] for r in job.rejected_rows(spark).select("tx_id").collect()) == sorted(r[0] for r in tx.where("tx_id % 7 = 0").select("tx_id").collect())
+    assert rounded(job.features(spark)).exceptAll(rounded(add_history(good, ENTITIES, ROLES, 0.1))).count() == 0
+
+
 def test_late_rows_are_counted(spark):
     tx = tx_events(spark, SMALL)
     early, rest = tx.where("tx_id = 0"), tx.where("tx_id > 0")
