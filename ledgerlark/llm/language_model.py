@@ -128,7 +128,8 @@ def _from_small(data: bytes, n: int) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """Documents by block. The position spreads rows that repeat an id; it is fixed by the stored scan."""
+    """Documents by block: by id and text, so that neither a repeated id nor a repeated text fills a block
+    (rows that repeat both do share one) and both passes over the documents agree."""
     block = F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(blocks)).cast("int")
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (id_crc() % FOLDS).cast("int").alias("fold"),
