@@ -87,7 +87,7 @@ def drift_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, f = _table(spark, sf_dir)
     _, fitted, held = audits.drift_classifier(table, f, BOOSTED)
     flagged = T.Features(f.numeric, f.text, "is_test")
-    return audits.permutation_importance(fitted, held, flagged, "roc_auc", repeats=1)
+    return audits.permutation_importance(fitted, held, flagged, "roc_auc", repeats=3)
 
 
 def test_like_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def test_like_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, f = _table(spark, sf_dir)
     fitted = T.fit(table.where("split = 'train'"), f, FOREST)
-    return audits.permutation_importance(fitted, table.where("split = 'test'"), f, repeats=1)
+    return audits.permutation_importance(fitted, table.where("split = 'test'"), f, repeats=3)
 
 
 def leakage_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def leakage_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lag_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = pin(feature_table(spark, sf_dir, rates=False))
-    return audits.lag_sensitivity(base, features_of(base), ENTITIES, ROLES, BOOSTED, (1, 7))
+    return audits.lag_sensitivity(base, features_of(base), ENTITIES, ROLES, BOOSTED, (7, 14, 21, 28))
 
 
 def rate_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def seen_unseen_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, f = _table(spark, sf_dir)
-    return audits.cascade(table, f, BOOSTED, 0.2)
+    return audits.cascade(table, f, BOOSTED, 0.05)
 
 
 def tune(spark: SparkSession, sf_dir: str) -> DataFrame:

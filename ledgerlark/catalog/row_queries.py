@@ -86,15 +86,15 @@ from l"""
 
 
 def top_n_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names beyond the 20 most frequent of the odd-sized parts become one level."""
+    """Part names beyond the 100 most frequent of the odd-sized parts become one level."""
     part = table(spark, sf_dir, "part")
-    levels = encoding.fit_top_levels(part.where("p_size % 2 = 1"), "p_name", 20)
+    levels = encoding.fit_top_levels(part.where("p_size % 2 = 1"), "p_name", 100)
     return encoding.apply_top_levels(part.select("p_partkey", "p_name"), "p_name", levels)
 
 
 TOP_N_SQL = """
 with top as (select p_name from (select p_name, count(*) n from part where p_size % 2 = 1 group by 1)
-             order by n desc, p_name limit 20)
+             order by n desc, p_name limit 100)
 select p_partkey, case when p_name in (select p_name from top) then p_name else '_OTHER_' end as p_name from part"""
 
 

@@ -24,6 +24,15 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TX_EVENTS)
 
 
+def _closing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream with a last row far in the future (tx_id -1), which moves the watermark past all others."""
+    folder, events = scratch_folder(spark, "closing"), table(spark, sf_dir, "events")
+    events.write.parquet(f"{folder}/events.parquet")
+    last = events.limit(1).withColumns({"event_id": F.lit(-1).cast(events.schema["event_id"].dataType), "ts": F.lit("2100-01-01 00:00:00").cast(events.schema["ts"].dataType)})
+    last.write.mode("append").parquet(f"{folder}/events.parquet")
+    return _event_stream(spark, folder)
+
+
 def _to_end(df: DataFrame, folder: str) -> DataFrame:
     """Run a stream over everything available and read what it wrote."""
     jobs.write_stream(df, f"{folder}/out", f"{folder}/checkpoint", **NOW).awaitTermination()
@@ -44,16 +53,15 @@ from (select *, case when score >= 0.6 then 'HIGH' when score >= 0.35 then 'MEDI
 
 
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that the watermark (one day behind the newest row) has closed."""
-    daily = jobs.daily_volume(_event_stream(spark, sf_dir), "ts", "label", "1 day", stable(rule_score(RULES, EFT)) >= 0.5)
+    """All days, closed by the end of the stream."""
+    daily = jobs.daily_volume(_closing_stream(spark, sf_dir), "ts", "label", "1 day", stable(rule_score(RULES, EFT)) >= 0.5)
     return _to_end(daily, scratch_folder(spark, "daily")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 DAILY_SQL = scored_sql("""
 select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*)::bigint as n, sum(label)::bigint as n_positives,
   round(sum(label) / count(*) * 100, 4) as rate_pct, count(*) filter (score >= 0.5)::bigint as n_alerts
-from s group by date_trunc('day', ts)
-having date_trunc('day', ts) + interval 1 day <= (select max(ts) from s) - interval 1 day""")
+from s group by date_trunc('day', ts)""")
 
 STREAMED = (
     Entity("device", "device", True, (1, 7), (("receivers", "receiver"),), True, True, True, True, (LabelRate(7),)),
@@ -81,17 +89,17 @@ def stream_pit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_late_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels arrive 0 to 9 days after their row; only those within 7 days count."""
     folder = scratch_folder(spark, "labels")
-    rows = _event_stream(spark, sf_dir).select("tx_id", "ts")
+    stream = _closing_stream(spark, sf_dir)
+    rows = stream.select("tx_id", "ts")
     known = F.timestamp_micros(F.unix_micros("ts") + (F.col("tx_id") % 10) * DAY_US)
-    labels = _event_stream(spark, sf_dir).select("tx_id", known.alias("known_at"), "label")
+    labels = stream.select("tx_id", known.alias("known_at"), "label")
     joined = jobs.join_late_labels(rows, labels, "tx_id", "ts", "known_at", "label")
     out = _to_end(joined.select("tx_id", "ts", "late_label"), folder)
-    # later rows may still be waiting for their label
-    return out.where("ts < timestamp '2024-01-22'").select("tx_id", F.col("late_label").cast("bigint").alias("late_label"))
+    return out.where("tx_id >= 0").select("tx_id", F.col("late_label").cast("bigint").alias("late_label"))
 
 
 LATE_SQL = over("tx_events", """
-select tx_id, case when tx_id % 10 <= 7 then label end::bigint as late_label from tx where ts < timestamp '2024-01-22'""")
+select tx_id, case when tx_id % 10 <= 7 then label end::bigint as late_label from tx""")
 
 QUERIES = {f.__name__: f for f in (stream_score, stream_daily, stream_pit, stream_late_labels)}
 ORACLES = {
