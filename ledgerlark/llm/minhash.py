@@ -1,16 +1,17 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Texts become sets of five-word shingles. Of 200 minima per set only the low four bits are kept, packed
-into 13 longs; the full minima live just long enough to make 40 band keys of five. Sets that share a
+Texts become sets of five-word shingles. Of 512 minima per set only the low four bits are kept, packed
+into 32 longs; the first 200 live just long enough to make 40 band keys of five. Sets that share a
 band key are candidates. Equal nibbles are counted on the packed longs, corrected for the one in 16
 that agree by chance, and pairs well below the wanted similarity go; the others are confirmed on their
 full sets.
 
-No bucket is expanded into all its pairs. Equal sets are one class with one representative. In a first
-round every member of a bucket meets only the smallest id of its bucket. In a second round members of
-a bucket meet only members that are in another component by then. Every two sets with a common band
-key are thus either compared or already known to be connected, so no link that matters is lost; a pair
-at the limit shares no band key with a chance of about 2 in 100,000.
+No bucket is expanded into all its pairs. Equal sets are one class with one representative. First each
+set meets the smallest id that it shares any bucket with; then the smallest id of each of its buckets,
+if that is still in another component; last, members of a bucket meet those members that are in
+another component by then, in the first bucket they share, and go on only if their packed bits allow. Every two sets with a common band key are thus either compared or already
+known to be connected, so no link that matters is lost; a pair at the limit shares no band key with a
+chance of about 2 in 100,000.
 
 Defined cases: A to Z count as lower case; a text with one to four words is one shingle, one without
 words has none and is linked with nothing, as is null; rows with a null id take the component of their
@@ -34,11 +35,11 @@ from ledgerlark.session import pin
 
 SHINGLE = 5
 BANDS, BAND_ROWS, BITS = 40, 5, 4
-MINIMA = BANDS * BAND_ROWS
+MINIMA = 512
 LONGS = -(-MINIMA * BITS // 64)
 SIMILARITY_PERCENT = 75
 #: Standard deviations below the wanted similarity at which an estimate rules a pair out.
-MARGIN = 5.0
+MARGIN = 4.5
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,13 +162,13 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     classes = pin(rows.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id")))
     chosen = classes.where(F.col("id").isNotNull()).select(F.col("id").alias("_chosen"))
     heads = signed.join(chosen, F.col("doc_id") == F.col("_chosen"), "left_semi").where("n_shingles > 0")
-    heads = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "packed")
+    heads = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "packed").dropDuplicates(["id"])
 
-    buckets = heads.select("id", "n", F.explode("bands").alias("bucket")).distinct()
+    buckets = heads.select("id", "n", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = pin(buckets.join(sizes, "bucket"))
 
-    bits = heads.select("id", "n", "packed").dropDuplicates(["id"])
+    bits = heads.select("id", "n", "packed")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         one = bits.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("packed").alias("_pa"))
@@ -176,21 +177,39 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
         fits = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
         return met.where(fits & (estimated_similarity(equal_minima(F.col("_pa"), F.col("_pb"))) >= _least_estimate(percent / 100))).select("a", "b")
 
-    tried = pin(plausible(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+    star = shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    tried = pin(plausible(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
     links = pin(confirmed(tried, docs, percent))
     found = components(links)
 
-    # second round: buckets that still hold several components
+    # second round: smallest ids of buckets, where they are in another component
+    of_a = found.select(F.col("id").alias("a"), F.col("component").alias("_c"))
+    of_b = found.select(F.col("id").alias("b"), F.col("component").alias("_d"))
+    parted = star.join(of_b, "b", "left").join(of_a, "a", "left").where(F.coalesce("_c", "a") != F.coalesce("_d", "b"))
+    again = pin(plausible(parted.select("a", "b").distinct()).join(tried, ["a", "b"], "left_anti"))
+    links = pin(links.unionByName(confirmed(again, docs, percent)))
+    tried, found = tried.unionByName(again), components(links)
+
+    # third round: buckets that still hold several components
     named = shared.where("members > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n"))
     mixed = parts.groupBy("bucket").agg(F.max_by("component", F.struct("_n", "component")).alias("largest"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     open_rows = pin(named.join(mixed, "bucket").select("bucket", "id", "n", "component", "largest"))
-    left = open_rows.where("component != largest").select("bucket", F.col("id").alias("a"), F.col("n").alias("_n_a"), F.col("component").alias("_c"))
-    right = open_rows.select("bucket", F.col("id").alias("b"), F.col("n").alias("_n_b"), F.col("component").alias("_d"), (F.col("component") == F.col("largest")).alias("_big"))
+    signed_rows = open_rows.join(heads.select(F.col("id").alias("_head"), "bands", "packed"), F.col("id") == F.col("_head")).drop("_head")
+    left = signed_rows.where("component != largest").select(
+        "bucket", F.col("id").alias("a"), F.col("n").alias("_n_a"), F.col("component").alias("_c"), F.col("bands").alias("_b_a"), F.col("packed").alias("_p_a")
+    )
+    right = signed_rows.select(
+        "bucket", F.col("id").alias("b"), F.col("n").alias("_n_b"), F.col("component").alias("_d"), (F.col("component") == F.col("largest")).alias("_big"),
+        F.col("bands").alias("_b_b"), F.col("packed").alias("_p_b"),
+    )
+    # all of this belongs to the join, so that a pair becomes a row once, and only if it may be a link
     apart = (F.col("_c") != F.col("_d")) & (F.col("_big") | (F.col("a") < F.col("b")))
     apart = apart & (100 * F.least("_n_a", "_n_b") >= percent * F.greatest("_n_a", "_n_b"))
-    met = left.join(right, "bucket").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(pin(plausible(met).join(tried, ["a", "b"], "left_anti")), docs, percent)
+    apart = apart & (estimated_similarity(equal_minima(F.col("_p_a"), F.col("_p_b"))) >= _least_estimate(percent / 100))
+    apart = apart & (F.array_min(F.array_intersect("_b_a", "_b_b")) == left["bucket"])
+    met = left.join(right, (left["bucket"] == right["bucket"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = confirmed(pin(met.join(tried, ["a", "b"], "left_anti")), docs, percent)
     found = components(pin(links.unionByName(more)))
 
     named_classes = classes.join(found, "id", "left").select("key_a", "key_b", F.coalesce("component", "id").alias("_component"))
