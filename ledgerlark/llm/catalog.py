@@ -115,7 +115,32 @@ with page as (
     select *, host || case when path = '' then '/' else path end || case when query = '' then '' else '?' || query end as url_key from keyed
 )"""
 
+_COMPONENTS = r"""
+with recursive worded as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+    from documents
+), shingle as (
+    select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s
+    from worded
+), size as (
+    select doc_id, count(*) as n from shingle group by doc_id
+), common as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all
+), link as (
+    select x, y from common join size p on p.doc_id = x join size q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)
+), edge as (
+    select x, y from link union all select y, x from link
+), reach as (
+    select doc_id, doc_id as seen from documents union select reach.doc_id, edge.y from reach join edge on edge.x = reach.seen
+), lowest as (
+    select doc_id, min(seen) as component_id from reach group by doc_id
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join lowest using (doc_id) left join size using (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op4_bbit_minhash": _COMPONENTS,
     "op5_revisits": _CAPTURES + """, latest as (
     select r.record_id, r.url_key, r.etag as r_etag, r.last_modified as r_mod, r.cache_control as r_cache, r.date_header as r_date,
            b.record_id as base, b.etag as b_etag, b.last_modified as b_mod, b.payload as b_payload
