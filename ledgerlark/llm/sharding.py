@@ -63,13 +63,8 @@ class Ring:
     def arc(self, place: Column) -> Column:
         """Number of the arc that a place lies in; places after the last point belong to the first arc."""
         bounds = F.from_json(F.lit(json.dumps(self.ends)), "array<int>")
-        step = 1 << (len(self.ends) - 1).bit_length()
-        low = F.lit(0)
-        while step := step // 2:  # how many points lie before the place, by halving
-            probe = low + step
-            inside = F.coalesce(F.get(bounds, probe - 1) < place, F.lit(False))
-            low = F.when(inside, probe).otherwise(low)
-        return F.when(low >= len(self.ends), 0).otherwise(low).cast("int")
+        before = F.size(F.filter(bounds, lambda end: end < place))
+        return F.pmod(before, F.lit(len(self.ends))).cast("int")
 
 
 def quotas(rows: int, shards: int) -> list[int]:
