@@ -15,11 +15,15 @@ itself; a null doc_id is carried as it is.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,9 @@ from ledgerlark.llm.words import slices
 
 CAPACITY, END_ID = 1024, 2
 POOL = 16_384
-_CACHED_CHUNKS = 300_000
-_WHITE = tuple(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")
+_CACHED_CHUNKS = 500_000
+#: White space that would meet a chunk's own space, or has none before it.
+_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 class Encoder:
@@ -54,7 +59,8 @@ class Encoder:
         file = file or public_tokenizers.path("byte_bpe_50k.json")
         self._tokenizer = Tokenizer.from_file(file)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
+        self._first: dict[str, bytes] = {}
+        self._inner: dict[str, bytes] = {}
         # the same vocabulary as ranks is three times as fast for chunks without special tokens
         ranks = Path(file).with_suffix(".tiktoken")
         self._plain = None
@@ -77,25 +83,26 @@ class Encoder:
                 yield c, array("I", encode(c)).tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        cut: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        known = self._known
-        if len(known) > _CACHED_CHUNKS:
-            known.clear()
-        for text in texts:
-            chunks = text.split(" ")
-            chunks[1:] = [" " + c for c in chunks[1:]]
-            # white space at a chunk's end would meet the next chunk's space
-            plain = not any(c[-1:].isspace() or c[1:2].isspace() for c in chunks) and not text[:1].isspace()
-            cut.append(chunks if plain else None)
-            if plain:
-                for c in chunks:
-                    if c not in known:
-                        missing[c] = None
-        known.update(self._chunks(list(missing)))
+        first, inner = self._first, self._inner
+        if len(first) + len(inner) > _CACHED_CHUNKS:
+            first.clear()
+            inner.clear()
+        cut = [None if _RUNS.search(t) else t.split(" ") for t in texts]
+        heads = {c[0] for c in cut if c is not None}.difference(first)
+        tails = set(chain.from_iterable(c[1:] for c in cut if c is not None)).difference(inner)
+        first.update(self._chunks(list(heads)))
+        inner.update((c[1:], ids) for c, ids in self._chunks([" " + c for c in tails]))
         whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
         for chunks in cut:
-            yield next(whole) if chunks is None else b"".join(map(known.__getitem__, chunks))
+            yield next(whole) if chunks is None else first[chunks[0]] + b"".join(map(inner.__getitem__, chunks[1:]))
+
+
+def worker_encoder(file: str | None) -> Encoder:
+    """One encoder for each file and Python worker, so that later tasks find its cache filled."""
+    kept = sys.modules.setdefault("_token_encoders", ModuleType("_token_encoders")).__dict__
+    if file not in kept:
+        kept[file] = Encoder(file)
+    return kept[file]
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: str | None = None) -> DataFrame:
@@ -105,7 +112,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: str
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder, end = Encoder(tokenizer_file), np.array([END_ID], "<u4").tobytes()
+        encoder, end = worker_encoder(tokenizer_file), np.array([END_ID], "<u4").tobytes()
         for part in slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             texts = [t or "" for t in part.column("text").to_pylist()]
@@ -263,7 +270,6 @@ def bin_completion(lengths: list[int], capacity: int = CAPACITY, extra_nodes: in
                 break
             continue
         counts[largest] -= 1
-        # the last sequence may waste all that is affordable, the others should keep to their share
         choices = fillings(counts, capacity - largest, 0)
         counts[largest] += 1
         place(largest, choices, waste)
