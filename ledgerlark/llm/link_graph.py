@@ -3,7 +3,9 @@
 Trust starts at hosts with allowed pages and follows links; distrust starts at hosts with blocked pages
 and runs against them, to those that link there. Both are personalised PageRanks on the same join: an
 edge list that holds each direction with its own shares. A host is blocked if distrust is more than a
-given share of what reached it, and allowed otherwise, also if nothing reached it.
+given share of what reached it, and allowed otherwise, also if nothing reached it. The share does not
+depend on the size of a rank, and the ranks go on until no host is reached anew and none changes by more
+than a relative tolerance, so neither the size of the table nor the distance from a seed decides.
 
 Edges are links between hosts, counted once per page and target, and both directions between a host and
 the domain above it with at least two labels. Links are folded to one row per pair of hosts before they
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 from ledgerlark.session import pin
 
 DAMPING, ROUNDS, BLOCK_SHARE = 0.85, 24, 0.5
+TOLERANCE = 1e-6
 _PIN_EVERY = 3
+#: Far from all seeds a rank would become 0 in a double; a host that was reached keeps this much.
+_LEAST = 1e-290
 
 
 @dataclass(frozen=True)
@@ -91,8 +97,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from ``edges`` and ``seeds`` (host, trust, distrust), each summing to 1 or 0."""
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) from ``edges`` and ``seeds`` (host, trust, distrust), each summing to 1 or 0.
+
+    Without ``rounds`` it goes on until a few rounds reach no new host and add to no rank more than
+    ``tolerance`` of it. Ranks only grow, and from then on no round adds more than that share.
+    """
     total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     share = lambda c, of: F.lit(0.0) if not of else F.col(c) / F.lit(float(of))
     start = seeds.select("host", F.explode(F.array(
@@ -104,13 +114,19 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     along = edges.join(out, "src").select(F.col("src").alias("from_host"), F.col("dst").alias("to_host"), F.lit(True).alias("good"), (F.col("weight") / F.col("_out") * damping).alias("part"))
     against = edges.join(into, "dst").select(F.col("dst").alias("from_host"), F.col("src").alias("to_host"), F.lit(False).alias("good"), (F.col("weight") / F.col("_in") * damping).alias("part"))
     ways = pin(along.unionByName(against))
-    ranks = start
-    for i in range(rounds):
+    ranks, pinned = start, start
+    for i in count(1):
         held = ranks.select(F.col("host").alias("from_host"), "good", "rank")
         moved = ways.join(held, ["from_host", "good"]).select(F.col("to_host").alias("host"), "good", (F.col("rank") * F.col("part")).alias("rank"))
-        ranks = moved.unionByName(start).groupBy("host", "good").agg(F.sum("rank").alias("rank"))
-        if i % _PIN_EVERY == _PIN_EVERY - 1 or i == rounds - 1:
-            ranks = pin(ranks)
+        stop = i % _PIN_EVERY == 0 or i == rounds
+        rows = moved.unionByName(start).withColumn("before", F.lit(0.0))
+        if stop:
+            rows = rows.unionByName(pinned.select("host", "good", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
+        ranks = rows.groupBy("host", "good").agg(F.greatest(F.sum("rank"), F.lit(_LEAST)).alias("rank"), F.sum("before").alias("before"))
+        if stop:
+            ranks = pinned = pin(ranks)
+            if i == rounds or rounds is None and ranks.where(F.col("rank") - F.col("before") > F.col("rank") * tolerance).isEmpty():
+                break
     sums = ranks.groupBy().agg(F.sum(F.when(F.col("good"), F.col("rank"))).alias("t"), F.sum(F.when(~F.col("good"), F.col("rank"))).alias("d")).first()
     part = lambda good, of: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("rank"))), F.lit(0.0)) / F.lit(of or 1.0)
     return ranks.groupBy("host").agg(part(True, sums["t"]).alias("trust"), part(False, sums["d"]).alias("distrust"))
@@ -124,10 +140,10 @@ def judged(pages: DataFrame, rules: Sequence[UrlRule] = RULES, block_share: floa
     seeds = pin(ruled.where("_ruled is not null").groupBy("host").agg(
         F.count_if(F.col("_ruled") == "allow").alias("trust"), F.count_if(F.col("_ruled") == "block").alias("distrust")
     ))
-    # rounded, so that the order of additions decides nothing
-    hosts = pin(spread(pin(host_edges(split)), seeds).select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust")))
-    blocked = F.col("distrust") > block_share * (F.col("trust") + F.col("distrust"))
-    hosts = hosts.withColumn("_blocked", blocked)
+    # digits are rounded, never the place after the point, so that the order of additions decides nothing and small ranks stay
+    digits = lambda c: F.format_string("%.8e", c).cast("double").alias(c)
+    share = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9)
+    hosts = pin(spread(pin(host_edges(split)), seeds, rounds=None).select("host", (share > block_share).alias("_blocked"), digits("trust"), digits("distrust")))
     return ruled.join(hosts, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("_ruled", F.when(F.col("_blocked"), "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),

@@ -97,3 +97,43 @@ def test_empty_table_and_own_rules(spark):
     assert judged(pages(spark, [])).count() == 0
     only = judged(pages(spark, [("http://q.zz/a", None)]), (UrlRule("block", "zz/a"),)).collect()
     assert [(r["rule"], r["verdict"]) for r in only] == [("zz/a", "block")]
+
+
+def test_small_ranks_and_far_hosts_are_judged_like_others(spark):
+    from ledgerlark.llm.link_graph import TOLERANCE
+
+    # 2,000 hosts link to bad, one page among 1,000,000 blocked ones
+    edges = [(f"in{i}", "bad", 1.0) for i in range(2000)] + [("far0", "bad2", 1.0)] + [(f"far{i + 1}", f"far{i}", 1.0) for i in range(30)]
+    seeds = [("bad", 0, 1), ("bad2", 0, 1), ("big", 0, 1_000_000)]
+    found = {r["host"]: r for r in spread(
+        spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(seeds, "host string, trust bigint, distrust bigint"), rounds=None).collect()}
+    assert 0 < found["in7"]["distrust"] < 5e-10 and found["in7"]["trust"] == 0
+    assert found["far30"]["distrust"] == pytest.approx(found["far0"]["distrust"] * DAMPING**30, rel=10 * TOLERANCE)
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_rank_or_the_distance(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    chain = [(f"http://c{i}.net/", link(f"c{i - 1}.net" if i else "bad.com")) for i in range(30)]
+    # 31 hosts link to each of w0 to w6, so that the rank falls by as much at each level
+    wide = [(f"http://w{k}.net/", link(f"w{k - 1}.net" if k else "bad.com")) for k in range(8)]
+    wide += [(f"http://x{k}-{j}.net/", link(f"w{k}.net")) for k in range(8) for j in range(30)]
+    rows = [("http://bad.com/de/1", None), *chain, *wide, ("http://lone.net/", None)]
+    found = {r["host"]: r for r in judged(pages(spark, rows)).collect()}
+    assert found["lone.net"]["verdict"] == "allow" and found["lone.net"]["distrust"] == 0
+    assert {r["verdict"] for h, r in found.items() if h != "lone.net"} == {"block"}
+    assert 0 < found["w7.net"]["distrust"] < 5e-10
+
+
+def test_mixed_trust_and_distrust_follow_their_share(spark):
+    # m links to bad and is linked from good: distrust of one seed page against trust of many
+    edges = spark.createDataFrame([("m", "bad", 1.0), ("good", "m", 1.0), ("m", "good", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("good", 3, 0), ("bad", 0, 2)], "host string, trust bigint, distrust bigint")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in spread(edges, seeds, rounds=None).collect()}
+    # m = d * good, good = (1 - d) + d * m / 2 (and bad the other half); distrust: bad -> m -> good -> m
+    d = DAMPING
+    good = (1 - d) / (1 - d * d / 2)
+    trust = {"good": good, "m": d * good, "bad": d * d * good / 2}
+    m = d * (1 - d) / (1 - d * d)
+    distrust = {"bad": 1 - d, "m": m, "good": d * m}
+    for h in ("good", "m", "bad"):
+        assert got[h] == pytest.approx((trust[h] / sum(trust.values()), distrust[h] / sum(distrust.values())), rel=1e-4)
