@@ -3,11 +3,10 @@
 Texts are tokenised where they lie; only (id, length, checksum) rows go on. Documents longer than a
 sequence are cut, the first piece taking what is left over. Full pieces are sequences of their own.
 The others are dealt by hash into pools of bounded size, and each pool is packed in one task: around
-the largest piece left, the fillings that no other filling dominates are listed, those with least
-waste tried first; a branch ends where its waste exceeds what the best solution so far could afford.
-The first best solution is best-fit decreasing, and the search stops at a lower bound or after a fixed
-number of nodes. A pool costs at most a sequence or two
-against the bound, so the share lost falls with the pool size and does not grow with the data.
+the largest piece left, for each largest partner the fullest filling of any number of pieces is found by
+exact sums over the counts of lengths, those with least waste tried first; a branch ends where its waste
+exceeds what the best solution so far could afford. The first best solution is best-fit decreasing, and
+the search stops at a lower bound or its node limit (two a sequence and 2,000), with four fillings a node.
 
 Defined cases: null and empty texts are one token, the end mark; repeated rows are packed each for
 itself; a null doc_id is carried as it is.
@@ -159,11 +158,12 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def fillings(counts: np.ndarray, room: int, afford: int, width: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from ``counts`` (pieces by length), least waste first.
+    """The ``width`` fillings of ``room`` from ``counts`` (pieces by length) with least waste.
 
     One piece that fits exactly dominates all else. Of one piece only the largest counts, of two the
-    largest partner of each; a pair must beat the single piece and every pair with a larger partner,
-    a triple must waste less than every pair. The emptiest is the largest single piece.
+    largest partner of each; a pair must beat the single piece and every pair with a larger partner.
+    Where these waste more than ``afford``, fillings of any number of pieces are compared, the fullest
+    for each largest piece. The emptiest is the largest single piece.
     """
     have = np.flatnonzero(counts[: room + 1])
     if not len(have):
@@ -184,32 +184,49 @@ def fillings(counts: np.ndarray, room: int, afford: int, width: int = 4) -> list
         better = rising & (a + b > single)
         found += [(room - int(x) - int(y), (int(x), int(y))) for x, y in zip(a[better], b[better])]
     best = min(found)[0]
-    if best > afford and len(have) > 2:  # three pieces, only where two waste too much
-        some = have[-64:]
-        for x in some[::-1].tolist():
-            rest = have[have <= min(x, room - x)]
-            if not len(rest):
-                continue
-            place = np.searchsorted(rest, room - x - rest, "right") - 1
-            fits = (place >= 0) & (rest[place] <= rest)
-            if not fits.any():
-                continue
-            y, z = rest[fits], rest[place[fits]]
-            waste = room - x - y - z
-            i = int(np.argmin(waste))
-            triple = (x, int(y[i]), int(z[i]))
-            if waste[i] < best and all(triple.count(v) <= counts[v] for v in triple):
-                best = int(waste[i])
-                found.append((best, triple))
-                if not best:
-                    break
+    if best > afford:  # more pieces, only where two waste too much
+        found += [f for f in fullest(have.tolist(), counts[have].tolist(), room, width) if f[0] < best]
     found.sort(key=lambda f: (f[0], -f[1][0]))
     return [f for _, f in found[:width]]
 
 
+def fullest(have: list[int], counts: list[int], room: int, width: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, pieces) of the fullest filling for each largest piece, the ``width`` of least waste.
+
+    ``have`` are lengths in rising order. The sums that the smallest lengths reach are the bits of one
+    number for each length, so that a sum is taken apart again from its largest piece down.
+    """
+    reach, sums, ends = 1, [1], []
+    for i, (n, c) in enumerate(zip(have, counts)):
+        more, step, left = reach, 1, min(c, room // n) - 1
+        while left > 0:
+            step = min(step, left)
+            more |= more << step * n
+            left -= step
+            step *= 2
+        more &= (2 << room - n) - 1
+        ends.append((room - n - (more.bit_length() - 1), -n, i))
+        reach |= more << n
+        sums.append(reach)
+    found = []
+    for waste, _, i in sorted(ends)[:width]:
+        pieces, left, own = [have[i]], room - waste - have[i], counts[i] - 1
+        while left:
+            n = have[i]
+            k = min(own, left // n)
+            while not sums[i] >> left - k * n & 1:
+                k -= 1
+            pieces += [n] * k
+            left -= k * n
+            i -= 1
+            own = counts[i]
+        found.append((waste, tuple(pieces)))
+    return found
+
+
 def least_sequences(lengths: list[int], capacity: int) -> int:
     """Lower bound: pieces above half a sequence never share one, and the room they leave for pieces of
-    at least k is limited; the best over all k."""
+    at least k is limited; nor do more pieces of at least k than fit share one; the best over all k."""
     counts = np.bincount(np.array(lengths, np.int64), minlength=capacity + 1)
     number, weight = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
     half, k = capacity // 2, np.arange(1, capacity // 2 + 1)
@@ -217,7 +234,9 @@ def least_sequences(lengths: list[int], capacity: int) -> int:
     middle, middle_weight = number[capacity - k] - number[half], weight[capacity - k] - weight[half]
     small_weight = weight[half] - weight[k - 1]
     over = np.maximum(0, -(-(small_weight - (middle * capacity - middle_weight)) // capacity))
-    return int(max(-(-weight[-1] // capacity), large + over.max()))
+    sizes = np.arange(1, capacity + 1)
+    crowd = -(-(number[-1] - number[sizes - 1]) // (capacity // sizes))
+    return int(max(-(-weight[-1] // capacity), large + over.max(), crowd.max()))
 
 
 def bin_completion(lengths: list[int], capacity: int = CAPACITY, extra_nodes: int = 2_000) -> list[list[int]]:
