@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import chat_repair, classifier, decontamination, language_model, link_graph, minhash, packing, revisits, rules, sharding
+from ledgerlark.llm import chat_repair, classifier, decontamination, language_model, link_graph, minhash, packing, revisits, rules, sharding, substrings
 from ledgerlark.llm.tables import table
 
 
@@ -80,6 +80,10 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_link_graph": op1_link_graph,
     "op2_decision_list": op2_decision_list,
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_role_repair": op8_role_repair,
     "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_bin_completion": op10_bin_completion,
+    "op11_fm_index": op11_fm_index,
 }
 
 _CAPTURES = """
@@ -139,7 +144,26 @@ with recursive worded as (
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d join lowest using (doc_id) left join size using (doc_id)"""
 
+_REPEATS = r"""
+with worded as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), place as (
+    select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from worded
+), spot as (
+    select doc_id, i, array_to_string(ws[i:i + 12], ' ') as w from place
+), least as (
+    select w, min(doc_id) as low from spot group by w
+), gone as (
+    select distinct doc_id, unnest(range(i, i + 13)) as i from spot join least using (w) where low < doc_id
+), cut as (
+    select doc_id, list(i) as removed from gone group by doc_id
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(len(removed), 0)::bigint as n_removed,
+       sha256(array_to_string([w for w, i in ws if not list_contains(coalesce(removed, []), i)], ' ')) as kept_sha256
+from worded left join cut using (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op11_fm_index": _REPEATS,
     "op4_bbit_minhash": _COMPONENTS,
     "op5_revisits": _CAPTURES + """, latest as (
     select r.record_id, r.url_key, r.etag as r_etag, r.last_modified as r_mod, r.cache_control as r_cache, r.date_header as r_date,
