@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import chat_repair, classifier, decontamination, language_model, link_graph, minhash, packing, revisits, rules, sharding, substrings
+from ledgerlark.llm import alignment, chat_repair, classifier, decontamination, language_model, link_graph, minhash, packing, revisits, rules, sharding, structure_repair, substrings
 from ledgerlark.llm.tables import table
 
 
@@ -84,6 +84,14 @@ def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_gallop_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_coalescent_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_link_graph": op1_link_graph,
     "op2_decision_list": op2_decision_list,
@@ -96,6 +104,8 @@ QUERIES = {
     "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_bin_completion": op10_bin_completion,
     "op11_fm_index": op11_fm_index,
+    "op12_gallop_alignment": op12_gallop_alignment,
+    "op13_coalescent_repair": op13_coalescent_repair,
 }
 
 _CAPTURES = """
