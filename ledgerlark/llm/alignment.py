@@ -8,8 +8,8 @@ found. The places of common ends slice both lists into groups, and the ranks of
 group give the tokens it is linked with.
 
 Both vocabularies have the property (checked when they are loaded) that no token goes on over a single
-space between two other characters. So a text is cut at these spaces into chunks, each chunk's ends
-include its own end, and equal chunks are encoded and aligned once per worker.
+space between two characters that are not white space. So a text is cut at these spaces into chunks, each
+chunk's ends include its own end, and equal chunks are encoded and aligned once per worker.
 
 How many documents hold a pair of ids linked is counted over the whole corpus: each slice of some 8 MB of
 text names each of its pairs once, with its number of documents; counts are added by pair and go back to
@@ -187,8 +187,8 @@ class Pieces:
 
 
 def _goes_on(token: bytes) -> bool:
-    """Whether a token holds a space after another character."""
-    return b" " in token.lstrip(b" ")
+    """Whether a token holds a space after a character that is no white space."""
+    return re.search(r"\S ", token.decode(errors="replace")) is not None
 
 
 class Aligner:
