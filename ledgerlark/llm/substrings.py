@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.fm_index import FMIndex
@@ -288,9 +288,10 @@ _SPANS = "doc_id bigint, row bigint, begin bigint, end bigint"
 def _with_spans(docs: DataFrame, size: int, block_bytes: int, busy: int, finish, schema: str) -> DataFrame:
     """Apply ``finish(block, gone)`` to each block of documents and the verdicts on its words."""
     dealt, blocks = _blocks(docs, block_bytes)
-    marks = _marks(dealt, size).repartition("mark")
-    shared = marks.groupBy("mark").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("n").alias("all")).where("least < most")
-    shared = marks.select("block", "mark").join(shared.select("mark", (F.col("all") > busy).alias("busy")), "mark")
+    # one row per mark and block, so a window has no more rows than there are blocks
+    of = Window.partitionBy("mark")
+    marks = _marks(dealt, size).select("block", "mark", F.min("low").over(of).alias("least"), F.max("high").over(of).alias("most"), F.sum("n").over(of).alias("all"))
+    shared = marks.where("least < most").select("block", "mark", (F.col("all") > busy).alias("busy"))
     found = _found(_sent(dealt, shared, size, blocks), size)
 
     def end(key, table: pa.Table, found: pa.Table) -> pa.Table:
