@@ -34,8 +34,13 @@ GATED = (
     Entity("device", "device", True, (1, 7), (("receivers", "receiver"),), True, True, True, rates=(LabelRate(7),)),
     Entity("receiver", "receiver", True, (7,), rates=(LabelRate(3),)),
 )
+TIED = (
+    Entity("device", "device", True, (1, 7), (("receivers", "receiver"),), True, True, True, True, (LabelRate(3), LabelRate(1, window_days=5, suffix="_w5"))),
+    Entity("receiver", "receiver", True, (7,), (("devices", "device"),), rates=(LabelRate(3),)),
+)
 PRIOR = 0.0732
-SMALL_HOT, SMALL_SLICE = 50, 12 * 3_600_000_000
+# so many rows make a key heavy, and so many events fill a piece of it
+SMALL_HOT, SMALL_PIECE = 50, 64
 
 FLOATS = ("_first_seen_days_ago", "_prev", "_ratio_to_mean", "_seconds_since_prev")
 
@@ -79,6 +84,14 @@ def _with_bad_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return tx_events(spark, sf_dir).withColumns({c: F.expr(e) for c, e in BAD_ROWS[kind].items()})
 
 
+# every time falls on a midnight, and one device has half of all rows: its ties span many pieces
+ONE_DAY = {"ts": "date_trunc('day', ts)", "device": "case when tx_id % 2 = 0 then 1 else device end"}
+
+
+def _one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx_events(spark, sf_dir).withColumns({c: F.expr(e) for c, e in ONE_DAY.items()})
+
+
 def _gated(kind: str, entities: Sequence[Entity], **kw):
     """History of the rows that pass the gate."""
 
@@ -109,7 +122,8 @@ def _rejected_sql() -> str:
     return " union all ".join(f"select * from ({p})" for p in parts)
 
 
-def history_sql(view: str, entities: Sequence[Entity], prior: float | str = PRIOR, places: int = 4, bad: str | None = None) -> str:
+def history_sql(view: str, entities: Sequence[Entity], prior: float | str = PRIOR, places: int = 4, bad: str | None = None,
+                changed: dict[str, str] | None = None) -> str:
     """The same columns from plain window frames, of the good rows only if some are made ``bad``."""
     cols = ["tx_id"]
     p = f"(select avg(label) from tx where split = '{prior}')" if isinstance(prior, str) else str(prior)
@@ -157,6 +171,8 @@ def history_sql(view: str, entities: Sequence[Entity], prior: float | str = PRIO
             cols.append(f"({seen})::bigint as {e.name}_label_n{r.suffix}")
     rows = "tx" if bad is None else "(select * from reasoned where reason is null)"
     before = "" if bad is None else bad_rows_sql(bad) + "\n"
+    if changed:
+        rows = f"(select * replace ({', '.join(f'{e} as {c}' for c, e in changed.items())}) from tx)"
     return over(view, before + "select " + ",\n  ".join(cols) + f"\nfrom (select *, epoch_us(ts) us from {rows}) t")
 
 
@@ -177,18 +193,19 @@ QUERIES = {
     "features_label_free": _query(tx_events, ENTITIES),
     "features_all": _query(tx_events, ALL, "train"),
     # the same tables with every key of 50 rows or more treated as heavy
-    "pit_heavy_keys": _query(tx_events, ALL, "train", hot_rows=SMALL_HOT, slice_us=SMALL_SLICE),
+    "pit_heavy_keys": _query(tx_events, ALL, "train", hot_rows=SMALL_HOT, block_rows=SMALL_PIECE),
     "pit_heavy_keys_ties": _query(
-        tx_orders, with_label_rates(ORDER_ENTITIES), places=3, hot_rows=SMALL_HOT, slice_us=30 * DAY_US
+        tx_orders, with_label_rates(ORDER_ENTITIES), places=3, hot_rows=SMALL_HOT, block_rows=SMALL_PIECE
     ),
+    "pit_heavy_ties_one_day": _query(_one_day, TIED, hot_rows=SMALL_HOT, block_rows=SMALL_PIECE),
     # rows that history cannot order are set aside first, on both paths and for one entity and two
     "rejected_rows": rejected_rows,
     "pit_bad_times": _gated("times", GATED),
-    "pit_bad_times_heavy": _gated("times", GATED, hot_rows=SMALL_HOT, slice_us=SMALL_SLICE),
+    "pit_bad_times_heavy": _gated("times", GATED, hot_rows=SMALL_HOT, block_rows=SMALL_PIECE),
     "pit_bad_times_one": _gated("times", GATED[:1]),
     "pit_bad_ids": _gated("ids", GATED),
-    "pit_bad_ids_heavy": _gated("ids", GATED, hot_rows=SMALL_HOT, slice_us=SMALL_SLICE),
-    "pit_bad_ids_one": _gated("ids", GATED[:1], hot_rows=SMALL_HOT, slice_us=SMALL_SLICE),
+    "pit_bad_ids_heavy": _gated("ids", GATED, hot_rows=SMALL_HOT, block_rows=SMALL_PIECE),
+    "pit_bad_ids_one": _gated("ids", GATED[:1], hot_rows=SMALL_HOT, block_rows=SMALL_PIECE),
 }
 
 ORACLES = {
@@ -207,6 +224,7 @@ ORACLES = {
     "features_all": history_sql("tx_events", ALL, "train"),
     "pit_heavy_keys": history_sql("tx_events", ALL, "train"),
     "pit_heavy_keys_ties": history_sql("tx_orders", with_label_rates(ORDER_ENTITIES), places=3),
+    "pit_heavy_ties_one_day": history_sql("tx_events", TIED, changed=ONE_DAY),
     "rejected_rows": _rejected_sql(),
     **{f"pit_bad_{k}{s}": history_sql("tx_events", GATED, bad=k) for k in BAD_ROWS for s in ("", "_heavy")},
     **{f"pit_bad_{k}_one": history_sql("tx_events", GATED[:1], bad=k) for k in BAD_ROWS},

@@ -8,8 +8,9 @@ Two notions of "before" are kept apart:
 Ordinary keys are served by window frames, with one exchange per entity. When some key has more rows
 than a task should sort, the same numbers come from an event form of the data: a row *arrives*,
 *leaves* each rolling window, and its label *becomes known* after the lag. Every statistic is then a
-running sum over strictly earlier events, which can be cut anywhere in time: heavy keys are cut into
-slices, and the totals of the earlier slices are added back. No row is dropped and no key is capped.
+running sum over earlier events, which can be cut anywhere: heavy keys are cut into pieces of a bounded
+number of events, even inside a run of equal times, and the totals of the earlier pieces are added back.
+No row is dropped and no key is capped.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators import skew
 from ledgerlark.operators.gate import refuse_unfit
-from ledgerlark.operators.history_events import sliced_statistics
+from ledgerlark.operators.history_events import piecewise_statistics
 from ledgerlark.operators.history_spec import DAY_US, Entity, LabelRate, Roles
 
 _UNBOUNDED = Window.unboundedPreceding
@@ -59,7 +60,7 @@ def add_history(
     roles: Roles = Roles(),
     prior: float | None = None,
     hot_rows: int | None = skew.HOT_ROWS,
-    slice_us: int = skew.SLICE_US,
+    block_rows: int = skew.BLOCK_ROWS,
     gated: bool = False,
 ) -> DataFrame:
     """Add the history columns of every entity to each row.
@@ -68,7 +69,7 @@ def add_history(
     and, with several entities, bring their columns together. One pass checks this at every size and
     raises with the counts; ``gated`` says that ``gate.set_aside`` has been applied. Each entity then
     moves only the few columns it reads, and the full rows are moved once; a single entity works on the
-    full rows directly.
+    full rows directly. Keys with ``hot_rows`` rows or more are cut into pieces of ``block_rows`` events.
     """
     n = df.count() if gated else refuse_unfit(df, roles, any(e.rates for e in entities))
     if prior is None and any(e.rates for e in entities):
@@ -76,7 +77,7 @@ def add_history(
     base = df.withColumn("_us", F.unix_micros(F.col(roles.ts).cast("timestamp")))
     if hot_rows is not None and n < hot_rows:
         hot_rows = None
-    hot = {e.key: skew.hot_keys(df, e.key, hot_rows) for e in entities}
+    hot = skew.hot_keys_of(df, [e.key for e in entities], hot_rows)
     if len(entities) == 1 and hot[entities[0].key] is None:
         return finish(window_statistics(base, entities[0], roles), entities[0], roles, prior).drop("_us")
     out = df
@@ -87,19 +88,19 @@ def add_history(
         if e.rates:
             needed[roles.label] = None
         narrow = base.select(*needed)
-        features = finish(_statistics(narrow, e, roles, hot[e.key], slice_us), e, roles, prior)
+        features = finish(_statistics(narrow, e, roles, hot[e.key], block_rows), e, roles, prior)
         out = out.join(features.select(roles.id, *[c for c in features.columns if c not in needed]), roles.id)
     new = [c for c in out.columns if c not in df.columns]
     return out.select(*df.columns, *new)
 
 
-def _statistics(narrow: DataFrame, e: Entity, roles: Roles, hot: DataFrame | None, slice_us: int) -> DataFrame:
+def _statistics(narrow: DataFrame, e: Entity, roles: Roles, hot: DataFrame | None, block_rows: int) -> DataFrame:
     """Raw statistics: window frames for ordinary keys, the event form for the rows of heavy keys."""
     if hot is None:
         return window_statistics(narrow, e, roles)
     marked = skew.mark_hot(narrow, e.key, hot)
     cold = window_statistics(marked.where(~F.col("_hot")).drop("_hot"), e, roles).drop("_h_slice")
-    heavy = sliced_statistics(marked.where("_hot").drop("_hot"), e, roles, slice_us)
+    heavy = piecewise_statistics(marked.where("_hot").drop("_hot"), e, roles, block_rows)
     return cold.unionByName(heavy, allowMissingColumns=True)
 
 

@@ -150,8 +150,36 @@ def merge_totals(per_slice: DataFrame, e: Entity) -> DataFrame:
     )
 
 
-def statistics_over(events: DataFrame, carry: DataFrame, e: Entity, keep: Sequence[str]) -> DataFrame:
-    """Raw statistics of the arrivals: sums inside the slice plus what is carried in."""
+def strict_carry(pieces: DataFrame, e: Entity) -> DataFrame:
+    """Per piece of a key: its first time, and the totals of all earlier events that are strictly older than that.
+
+    ``pieces`` has the first and last time of each piece and sums over its events at the last one (``t_``).
+    A run of equal times may span pieces: the earlier ones end at that time and the sums over their last
+    time are its part there, so the run up to a border is a running sum over pieces that end at one time.
+    """
+    names = timed_tallies(e)
+    upto = Window.partitionBy("_e_key", "_last").orderBy("_e_slice").rowsBetween(_UNBOUNDED, 0)
+    runs = pieces.withColumns({f"_run_{n}": F.sum(f"t_{n}").over(upto) for n in names})
+    order = Window.partitionBy("_e_key").orderBy("_e_slice")
+    earlier = order.rowsBetween(_UNBOUNDED, -1)
+    goes_on = F.lag("_last").over(order) == F.col("_begin")
+    return runs.select(
+        F.col("_e_key").alias("_s_key"), F.col("_e_slice").alias("_s_slice"), F.col("_begin").alias("_c_begin"),
+        *[(F.sum(f"s_{n}").over(earlier) - F.when(goes_on, F.lag(f"_run_{n}").over(order)).otherwise(F.lit(0))).alias(f"_s_{n}") for n in names],
+    )
+
+
+def timed_tallies(e: Entity) -> list[str]:
+    """Tallies that go by time alone; ``n`` is among them for the rolling counts."""
+    return ["n", *[name for name in _tallies(e) if name != "n" and not name.startswith("distinct_")]]
+
+
+def statistics_over(events: DataFrame, carry: DataFrame, e: Entity, keep: Sequence[str] | None) -> DataFrame:
+    """Raw statistics of the arrivals: sums inside the slice plus what is carried in.
+
+    With ``keep`` the arrivals' own rows come out of their struct; without, key, time and id stand for them.
+    Where the carry knows strictly older totals (``_s_``), rows at the first time of a slice use those.
+    """
     group = ["_e_key", "_e_slice"]
     arrived = F.col("_e_kind") == ARRIVE
     # at equal (time, id) the arrival comes first, so a row never meets its own target
@@ -178,8 +206,14 @@ def statistics_over(events: DataFrame, carry: DataFrame, e: Entity, keep: Sequen
     def both(name: str, carried: str | None = None) -> Column:
         return F.coalesce(F.col(f"_w_{name}"), F.lit(0)) + F.coalesce(F.col(f"_c_{carried or name}"), F.lit(0))
 
-    final = {"_h_n": both("n"), "_h_strict": both("strict", "n")}
-    final.update({f"_h_{name}": both(name) for name in tallies if name != "n"})
+    def older(name: str, carried: str) -> Column:
+        if "_c_begin" not in carry.columns:
+            return both(name, carried)
+        before = F.when(F.col("_e_us") == F.col("_c_begin"), F.col(f"_s_{carried}")).otherwise(F.col(f"_c_{carried}"))
+        return F.coalesce(F.col(f"_w_{name}"), F.lit(0)) + F.coalesce(before, F.lit(0))
+
+    final = {"_h_n": both("n"), "_h_strict": older("strict", "n")}
+    final.update({f"_h_{name}": both(name) if name in positional else older(name, name) for name in tallies if name != "n"})
     final["_h_first"] = F.least("_w_first", "_c_first")
     final["_h_last"] = F.greatest("_w_last", "_c_last")
     if e.amounts:
@@ -191,17 +225,42 @@ def statistics_over(events: DataFrame, carry: DataFrame, e: Entity, keep: Sequen
         final["_h_mean"] = F.when(n_all > 0, (sum_in + sum_before) / n_all)
         final["_h_std"] = F.when(n_all > 0, F.sqrt(F.greatest(spread, F.lit(0.0)) / n_all))
         final["_h_max"] = F.greatest("_w_max", "_c_max")
-    return out.select(*[F.col("_row")[c].alias(c) for c in keep], *[c.alias(name) for name, c in final.items()])
+    if keep is None:
+        own = [F.col("_e_key"), F.col("_e_us").alias("_us"), F.col("_e_id"), F.col("_e_amount")]
+    else:
+        own = [F.col("_row")[c].alias(c) for c in keep]
+    return out.select(*own, *[c.alias(name) for name, c in final.items()])
 
 
-def sliced_statistics(rows: DataFrame, e: Entity, roles: Roles, width: int) -> DataFrame:
-    """Raw statistics of rows whose keys are all heavy: every slice of time is a group of its own."""
-    events = events_of(rows, e, roles, rows.columns)
-    narrow = events_of(rows, e, roles)
+def pieces_of(rows: DataFrame, e: Entity, roles: Roles, block_rows: int) -> DataFrame:
+    """The events of ``rows``, narrow, in pieces of at most ``block_rows`` events of one key."""
+    events = events_of(rows, e, roles)
     for suffix, target in e.distinct:
-        met = first_meetings(rows, e, roles, suffix, target).drop("_target")
-        events = events.unionByName(met, allowMissingColumns=True)
-        narrow = narrow.unionByName(met, allowMissingColumns=True)
-    step = F.floor(F.col("_e_us") / F.lit(width)).cast("bigint")
-    events, narrow = events.withColumn("_e_slice", step), narrow.withColumn("_e_slice", step)
-    return statistics_over(events, carry_in(slice_totals(narrow, e), e), e, rows.columns)
+        events = events.unionByName(first_meetings(rows, e, roles, suffix, target).drop("_target"), allowMissingColumns=True)
+    # the kind parts events of one row that fall on one time
+    order = [F.col("_e_us"), F.col("_e_id"), F.col("_e_kind") != ARRIVE, F.col("_e_kind")]
+    return skew.in_pieces(events, "_e_key", order, block_rows, "_e_slice")
+
+
+def piecewise_statistics(rows: DataFrame, e: Entity, roles: Roles, block_rows: int) -> DataFrame:
+    """Raw statistics of rows whose keys are all heavy, with the columns that ``finish`` reads.
+
+    Two totals are carried over each border: of all earlier events, for what goes by position, and of the
+    strictly older ones, for what goes by time; so a border may fall into a run of equal times.
+    """
+    # windows and totals below read one shuffle of the events
+    events = pieces_of(rows, e, roles, block_rows).repartition("_e_key", "_e_slice")
+    ended = events.withColumn("_last", F.max("_e_us").over(Window.partitionBy("_e_key", "_e_slice")))
+    tallies = _tallies(e)
+    ends = ended.groupBy("_e_key", "_e_slice").agg(
+        F.min("_e_us").alias("_begin"), F.max("_last").alias("_last"), *[F.sum(tallies[n]).alias(f"s_{n}") for n in timed_tallies(e)],
+        *[F.sum(F.when(F.col("_e_us") == F.col("_last"), tallies[n]).otherwise(F.lit(0))).alias(f"t_{n}") for n in timed_tallies(e)],
+    )
+    carry = carry_in(slice_totals(events, e), e)
+    older = strict_carry(ends, e)
+    carry = carry.join(older, (F.col("_c_key") == F.col("_s_key")) & (F.col("_c_slice") == F.col("_s_slice"))).drop("_s_key", "_s_slice")
+    out = statistics_over(events, carry, e, None)
+    kept = [F.col("_e_key").cast(rows.schema[e.key].dataType).alias(e.key), F.col("_us"), F.col("_e_id").alias(roles.id)]
+    if e.amounts:
+        kept.append(F.col("_e_amount").cast(rows.schema[roles.amount].dataType).alias(roles.amount))
+    return out.select(*kept, *[c for c in out.columns if c.startswith("_h_")])

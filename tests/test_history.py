@@ -76,7 +76,7 @@ def gapped(entities):
 def test_events_match_definition(spark, hot_rows):
     entities = gapped(with_label_rates(ENTITIES, RATES))
     df = tx_events(spark, SMALL).where("tx_id % 2 = 0")
-    check(spark, df, entities, hot_rows=hot_rows, slice_us=7 * 3_600_000_000)
+    check(spark, df, entities, hot_rows=hot_rows, block_rows=13)
 
 
 @pytest.mark.parametrize("hot_rows", [None, 1, 20])
@@ -84,7 +84,28 @@ def test_ties_and_null_keys_match_definition(spark, hot_rows):
     entities = gapped(with_label_rates(ORDER_ENTITIES, RATES))
     df = tx_orders(spark, SMALL).where("tx_id % 3 = 0").withColumn("device", F.col("device") % 7)
     df = df.withColumn("ts", F.timestamp_micros(F.lit(0) + (F.unix_micros("ts") % (40 * DAY_US))))
-    check(spark, df, entities, hot_rows=hot_rows, slice_us=3 * DAY_US)
+    check(spark, df, entities, hot_rows=hot_rows, block_rows=7)
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 40])
+def test_a_tie_run_may_be_cut_anywhere(spark, block_rows):
+    """One key holds half of all rows, all of them on a few midnights."""
+    df = spark.createDataFrame(
+        [(i, 1 if i % 2 else i % 5, i % 7, 1.5 * (i % 11) + 1, int(i % 6 == 0), i // 45) for i in range(180)],
+        "tx_id bigint, device int, receiver int, amount double, label int, day int",
+    ).select("tx_id", "device", "receiver", "amount", "label", F.timestamp_seconds(F.col("day") * 86400 + 1_700_000_000).alias("ts"))
+    entities = (Entity("device", "device", True, (1, 2), (("receivers", "receiver"),), True, True, True, True, (LabelRate(1), LabelRate(1, 5.0, 2, "_w2"))),)
+    check(spark, df, entities, hot_rows=1, block_rows=block_rows)
+
+
+def test_no_window_group_is_above_the_bound(spark):
+    from ledgerlark.operators.history_events import pieces_of
+
+    df = tx_events(spark, SMALL).withColumns({"device": F.lit(1), "_us": F.unix_micros(F.date_trunc("day", "ts"))})
+    e = Entity("device", "device", True, (1, 7), (("receivers", "receiver"),), rates=(LabelRate(7),))
+    pieces = pieces_of(df, e, ROLES, 50)
+    sizes = [r["count"] for r in pieces.groupBy("_e_key", "_e_slice").count().collect()]
+    assert max(sizes) <= 50 and sum(sizes) > 4 * df.count() and len(sizes) < 2 * sum(sizes) / 50 + 16
 
 
 def test_lagged_rate_golden_rows(spark):
