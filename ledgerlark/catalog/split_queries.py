@@ -156,7 +156,7 @@ def asof_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asof_heavy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asof(spark, sf_dir, hot_rows=50, slice_us=6 * 3_600_000_000)
+    return _asof(spark, sf_dir, hot_rows=50, block_rows=64)
 
 
 ASOF_SQL = over("tx_events", """
@@ -169,7 +169,7 @@ def asof_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = tx_orders(spark, sf_dir)
     snaps = tx.where("tx_id % 3 <> 0").select("subnet", "ts", "tx_id", "amount")
     asks = tx.where("tx_id % 3 = 0").select("tx_id", "subnet", "ts")
-    return asof_join(asks, snaps, "subnet", "ts", ("tx_id", "amount"), "tx_id", hot_rows=50, slice_us=40 * 86_400_000_000).select("tx_id", "asof_tx_id", "asof_amount")
+    return asof_join(asks, snaps, "subnet", "ts", ("tx_id", "amount"), "tx_id", hot_rows=50, block_rows=64).select("tx_id", "asof_tx_id", "asof_amount")
 
 
 ASOF_TIES_SQL = over("tx_orders", """
@@ -178,9 +178,30 @@ ASOF_TIES_SQL = over("tx_orders", """
 select a.tx_id, s.tx_id as asof_tx_id, s.amount as asof_amount
 from (select * from tx where tx_id % 3 = 0) a asof left join s on a.subnet = s.subnet and a.ts >= s.ts""")
 
+# half of all rows belong to one device, and all its snapshots fall on one midnight
+_ONE_DAY = {
+    "device": "case when tx_id % 2 = 0 then 1 else device end",
+    "ts": "case when tx_id % 2 = 0 and tx_type = 'purchase' then timestamp '2024-01-15 00:00:00' when tx_id % 6 = 2 then date_trunc('day', ts) else ts end",
+}
+
+
+def asof_one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key with all its snapshots on one day: its run of equal times spans many pieces."""
+    tx = tx_events(spark, sf_dir).withColumns({c: F.expr(e) for c, e in _ONE_DAY.items()})
+    asks = tx.where("tx_type <> 'purchase'").select("tx_id", "device", "ts", "segment")
+    snaps = tx.where("tx_type = 'purchase'").select("device", "ts", "tx_id", "amount")
+    return asof_join(asks, snaps, "device", "ts", ("tx_id", "amount"), "tx_id", hot_rows=50, block_rows=64).select("tx_id", "segment", "asof_tx_id", "asof_amount")
+
+
+ASOF_ONE_DAY_SQL = over("tx_events", f"""
+, d as (select * replace ({", ".join(f"{e} as {c}" for c, e in _ONE_DAY.items())}) from tx)
+, s as (select * from d where tx_type = 'purchase' qualify row_number() over (partition by device, ts order by tx_id desc) = 1)
+select a.tx_id, a.segment, s.tx_id as asof_tx_id, s.amount as asof_amount
+from (select * from d where tx_type <> 'purchase') a asof left join s on a.device = s.device and a.ts >= s.ts""")
+
 QUERIES = {f.__name__: f for f in (
     split_counts, split_days, random_split, stratified_split, entity_overlap, seen_unseen, seen_rows, stacked, time_folds,
-    seeded_sample, permuted_labels, example_rows, asof_features, asof_heavy_keys, asof_ties)}
+    seeded_sample, permuted_labels, example_rows, asof_features, asof_heavy_keys, asof_ties, asof_one_day)}
 ORACLES = {
     "split_counts": SPLIT_SQL,
     "split_days": DAYS_SQL,
@@ -197,4 +218,5 @@ ORACLES = {
     "asof_features": ASOF_SQL,
     "asof_heavy_keys": ASOF_SQL,
     "asof_ties": ASOF_TIES_SQL,
+    "asof_one_day": ASOF_ONE_DAY_SQL,
 }
