@@ -13,6 +13,7 @@ from ledgerlark.functions.rows import feature_columns
 from ledgerlark.operators import encoding as E
 from ledgerlark.operators import graph as G
 from ledgerlark.plans import training as T
+from ledgerlark.plans.levels import RARE, RARE_BELOW
 
 NUMERIC, TEXT = ("amount", "account", "receiver"), ("os", "segment", "tx_type")
 
@@ -96,7 +97,7 @@ def _encoded(spark: SparkSession, sf_dir: str, with_rare: bool) -> DataFrame:
     tx = tx_orders(spark, sf_dir).withColumn("level", F.expr(LEVEL.format(odd=odd, text="string"))).select("split", "level", "label")
     f = T.Features((), ("level",))
     train = tx.where("split = 'train'")
-    stages = T.build_pipeline(train, f, T.Model("logreg", "logreg", T.LOGREG), T.fit_encoders(train, f)).getStages()[:3]
+    stages = T.build_pipeline(train, f, T.Model("logreg", "logreg", T.LOGREG), T.fit_encoders(train, f)).getStages()[:2]
     out = Pipeline(stages=stages).fit(train).transform(tx)
     hot = F.array_position(vector_to_array("level__h"), 1.0) - 1
     return out.groupBy("level", F.col("level__t").alias("filled"), F.col("level__i").cast("bigint").alias("place"), F.when(hot >= 0, hot).alias("hot")).agg(F.count(F.lit(1)).alias("n"))
@@ -112,7 +113,7 @@ def _encoded_sql(rare: bool) -> str:
     return over("tx_orders", f"""
 , t as (select split, {LEVEL.format(odd=odd, text='varchar')} as level from tx), c as (select level, count(*) n from t where split = 'train' and level is not null group by 1),
 m as (select level from c order by n desc, level limit 1),
-g as (select t.split, t.level, case when c.n < {T.RARE_BELOW} then '{T.RARE}' else coalesce(t.level, (select level from m)) end as filled
+g as (select t.split, t.level, case when c.n < {RARE_BELOW} then '{RARE}' else coalesce(t.level, (select level from m)) end as filled
       from t left join c on c.level = t.level),
 p as (select filled, row_number() over (order by count(*) desc, filled) - 1 as place from g where split = 'train' group by 1)
 select g.level, g.filled, coalesce(p.place, (select count(*) from p))::bigint as place, p.place::bigint as hot, count(*)::bigint as n, {str(rare).lower()} as rare

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +19,9 @@ from ledgerlark.operators import encoding
 from ledgerlark.operators.history import Entity, LabelRate, Roles, add_history
 from ledgerlark.operators.metrics import core_metrics, metrics_table, summary_rows
 from ledgerlark.operators.splits import split_days
+from ledgerlark.plans.levels import LevelEncoder, Levels, fit_levels_table
 from ledgerlark.session import pin
 
-RARE = "_RARE_"
-# text features with more values than this in all are keys, not categories
-MAX_LEVELS = 10_000
-
 # Parameters of the candidate models, and the tuned values of the boosted trees.
 LOGREG = {"maxIter": 200, "C": 1.0}
 FOREST = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 50, "seed": 42}
@@ -32,7 +29,6 @@ BOOSTED = {"stepSize": 0.05, "maxIter": 400, "maxDepth": 6, "minInstancesPerNode
 BOOSTED_TUNED = {"stepSize": 0.04120093878011314, "maxIter": 600, "minInstancesPerNode": 45, "featureSubsetStrategy": "0.6202487355945001"}
 BOOSTED_ORDERED = {"stepSize": 0.05, "maxIter": 600, "maxDepth": 8, "seed": 42}
 DRIFT = {"stepSize": 0.05, "maxIter": 200, "maxDepth": 5, "minInstancesPerNode": 200, "seed": 42}
-RARE_BELOW = 20
 
 
 @dataclass(frozen=True)
@@ -88,70 +84,43 @@ def add_category_rates(df: DataFrame, text: Sequence[str], roles: Roles, prior:
 # -- fitted encoders -----------------------------------------------------------------------------
 
 
-def _quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @dataclass(frozen=True)
 class Fitted:
-    """What the encoders learn from the training rows: a value per column, a list per category."""
+    """What the encoders learn from the training rows: a value per numeric column, a table of levels."""
 
     medians: Mapping[str, float]
-    modes: Mapping[str, str]
-    levels: Mapping[str, list[str]]
-    rare: Mapping[str, list[str]]
-    sizes: Mapping[str, int]
+    levels: Levels | None
 
     @property
     def neutral(self) -> dict[str, object]:
         """The usual value of every feature."""
-        return {**self.medians, **self.modes}
+        return {**self.medians, **(self.levels.modes if self.levels else {})}
 
 
 def fit_encoders(train: DataFrame, f: Features) -> Fitted:
-    """Medians, modes, frequent levels and level numbers, once for all models; all are small by nature."""
-    medians = encoding.fit_fills(train, f.numeric)
-    levels: dict[str, list[str]] = {c: [] for c in f.text}
-    rare: dict[str, list[str]] = {c: [] for c in f.text}
-    if not f.text:
-        return Fitted(medians, {}, levels, rare, {})
-    counts = pin(encoding.level_counts(train, f.text))
-    sizes = {r["feature"]: int(r["n"]) for r in counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(sizes.values()) > MAX_LEVELS:
-        raise ValueError(f"text features have too many values, bucket them first: {sizes}")
-    modes = {r["feature"]: r["mode"] for r in encoding.modes_of(counts).collect()}
-    for r in counts.collect():
-        (levels if r["n"] >= RARE_BELOW else rare)[r["feature"]].append(r["level"])
-    return Fitted(medians, modes, levels, rare, sizes)
-
-
-def _fill_statement(f: Features, known: Fitted, merge_rare: bool) -> str:
+    """Medians, modes and levels, once for all models."""
+    return Fitted(encoding.fit_fills(train, f.numeric), fit_levels_table(train, f.text) if f.text else None)
+
+
+def _fill_statement(f: Features, known: Fitted) -> str:
     cols = [f"coalesce(cast(`{c}` as double), {float(known.medians.get(c, 0.0))!r}D) as `{c}__n`" for c in f.numeric]
-    for c in f.text:
-        filled = f"coalesce(cast(`{c}` as string), {_quoted(known.modes.get(c) or 'NA')})"
-        if merge_rare:
-            # only values that training has seen as rare are merged; unseen ones stay unknown to the indexer
-            rare = ", ".join(_quoted(v) for v in sorted(known.rare.get(c, ())))
-            filled = f"case when {filled} in ({rare}) then '{RARE}' else {filled} end" if rare else filled
-        cols.append(f"{filled} as `{c}__t`")
     return f"select *, {', '.join(cols)} from __THIS__"
 
 
 def build_pipeline(train: DataFrame, f: Features, model: Model, known: Fitted, weight: str = "weight") -> Pipeline:
     """Imputing, encoding and the classifier as one persistable pipeline."""
     linear = model.kind == "logreg"
-    stages: list = [SQLTransformer(statement=_fill_statement(f, known, merge_rare=linear))]
-    numeric, text = [f"{c}__n" for c in f.numeric], [f"{c}__t" for c in f.text]
-    indexed = [f"{c}__i" for c in f.text]
-    if text:
-        stages.append(StringIndexer(inputCols=text, outputCols=indexed, handleInvalid="keep"))
+    stages: list = [SQLTransformer(statement=_fill_statement(f, known))] if f.numeric else []
+    numeric, indexed = [f"{c}__n" for c in f.numeric], [f"{c}__i" for c in f.text]
+    if f.text:
+        stages.append(LevelEncoder(f.text, known.levels, linear))
     if linear:
         parts = []
         if numeric:
             stages += [VectorAssembler(inputCols=numeric, outputCol="numeric"),
                        StandardScaler(inputCol="numeric", outputCol="scaled", withMean=False, withStd=True)]
             parts.append("scaled")
-        if text:
+        if f.text:
             # the index of unseen values comes last and is dropped: they are all zeros
             hot = [f"{c}__h" for c in f.text]
             stages.append(OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True))
@@ -159,11 +128,11 @@ def build_pipeline(train: DataFrame, f: Features, model: Model, known: Fitted, w
         stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     else:
         stages.append(VectorAssembler(inputCols=numeric + indexed, outputCol="features"))
-    stages.append(_classifier(train, f, model, known, weight))
+    stages.append(_classifier(train, f, model, weight))
     return Pipeline(stages=stages)
 
 
-def _classifier(train: DataFrame, f: Features, model: Model, known: Fitted, weight: str):
+def _classifier(train: DataFrame, f: Features, model: Model, weight: str):
     common = {"labelCol": f.label, "featuresCol": "features", "weightCol": weight}
     p = dict(model.params)
     if model.kind == "logreg":
@@ -171,9 +140,6 @@ def _classifier(train: DataFrame, f: Features, model: Model, known: Fitted, weig
         return LogisticRegression(
             **common, maxIter=int(p["maxIter"]), regParam=1.0 / (float(p["C"]) * max(n, 1)), standardization=False
         )
-    if f.text:
-        # a bin for every value of the widest category, the filled one and the unseen one
-        p.setdefault("maxBins", max(32, 2 + max(known.sizes.get(c, 0) for c in f.text)))
     make = RandomForestClassifier if model.kind == "forest" else GBTClassifier
     return make(**common, **p)
 

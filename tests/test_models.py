@@ -60,3 +60,47 @@ def test_search_is_ordered_and_repeatable(table, features):
 
     runs = [[tuple(map(str, r)) for r in T.search(table, features, TINY, space, trials=2).collect()] for _ in range(2)]
     assert runs[0] == runs[1] and runs[0][0][1] >= runs[0][1][1]
+
+
+def many_valued(spark, n=120_000, levels=50_000):
+    """A text feature with ``levels`` values, the first of them frequent, and one with three."""
+    rows = spark.range(n).selectExpr(
+        "id as tx_id", "timestamp_seconds(1700000000 + id) as ts", "cast(id % 7 as double) as x",
+        f"case when id % 50 = 1 then null when id % 3 = 0 then 'v' || id % 40 else concat('k', id % {levels}) end as wide",
+        "case when id % 11 = 0 then 'q\\'\\\\`uote' when id % 2 = 0 then 'b' else 'c' end as few",
+        "cast(id % 7 + id % 3 > 6 as int) as label", "'train' as split",
+    )
+    return pin(rows), T.Features(("x",), ("wide", "few"))
+
+
+def test_fifty_thousand_levels_fit_save_load_and_score(spark, tmp_path):
+    train, f = many_valued(spark)
+    known = T.fit_encoders(train, f)
+    assert known.levels.levels["wide"] > 30_000 and known.levels.levels["few"] == 3
+    odd = train.withColumn("wide", F.when(F.col("tx_id") % 5 == 0, "never seen").otherwise(F.col("wide")))
+    for m in (T.Model("logreg", "logreg", {"maxIter": 3, "C": 1.0}), T.Model("hist_gbm", "boosted", {"maxIter": 2, "maxDepth": 3, "seed": 1})):
+        fitted = T.fit(train, f, m, known)
+        path = str(tmp_path / m.name)
+        S.save_model(fitted, path)
+        scored = T.predict(fitted, odd).select("tx_id", F.round("score", 9).alias("s"))
+        again = T.predict(S.load_model(path), odd).select("tx_id", F.round("score", 9).alias("s"))
+        assert scored.count() == odd.count() and scored.where("s is null or isnan(s)").count() == 0
+        assert scored.exceptAll(again).count() == 0
+
+
+def test_levels_are_numbered_by_frequency_and_rare_ones_together(spark):
+    rows = [("a",)] * 30 + [("b",)] * 40 + [("c",)] * 3 + [("d",)] * 2 + [(None,)] * 15
+    train = spark.createDataFrame(rows, "t string").withColumn("u", F.lit(None).cast("string"))
+    found = T.fit_encoders(train, T.Features((), ("t", "u"))).levels
+    table = {(r["feature"], r["level"]): (r["n"], r["rare"], r["place"], r["rank"]) for r in found.table.collect()}
+    assert table == {
+        ("t", "b"): (55, False, 0, 0), ("t", "a"): (30, False, 1, 1), ("t", "c"): (3, True, 2, 2), ("t", "d"): (2, True, 2, 3), ("u", "NA"): (90, False, 0, 0),
+    }
+    assert found.modes == {"t": "b"} and found.names["t"] == ["b", "a", "_RARE_"]
+
+
+def test_no_level_stands_in_the_plan(spark, table, features):
+    known = T.fit_encoders(table.where("split = 'train'"), features)
+    plan = T.build_pipeline(table, features, T.Model("logreg", "logreg", {"maxIter": 3, "C": 1.0}), known).getStages()
+    assert [type(s).__name__ for s in plan][:2] == ["SQLTransformer", "LevelEncoder"]
+    assert not any(v in plan[0].getStatement() for v in known.levels.names[features.text[0]] if v)
