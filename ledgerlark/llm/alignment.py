@@ -201,6 +201,9 @@ class Aligner:
             raise ValueError("pairs of ids must fit into 32 bits")
         self._by_chunk = not any(map(_goes_on, (*self.a.tokens, *self.b.tokens)))
         self._length_a, self._length_b = (np.array([len(t) for t in side.tokens], np.int64) for side in (self.a, self.b))
+        # ids with each mark that may follow them
+        numbers = [[str(i) for i in range(side.size)] for side in (self.a, self.b)]
+        self._marked = pa.array([x + m for names, marks in zip(numbers, (",|", (",", ";", ""))) for m in marks for x in names])
         self._clear()
 
     def _clear(self) -> None:
@@ -228,10 +231,7 @@ class Aligner:
         ids_a, ids_b = self.a.encode(chunks), self.b.encode(chunks)
         a, b = (np.array([t for own in ids for t in own], np.int64) for ids in (ids_a, ids_b))
         n_a, n_b = (np.array([len(own) for own in ids], np.int64) for ids in (ids_a, ids_b))
-        true = [(" " + c).encode() for c in chunks]
-        whole = np.array([
-            b"".join(map(self.a.tokens.__getitem__, x)) == t and b"".join(map(self.b.tokens.__getitem__, y)) == t for x, y, t in zip(ids_a, ids_b, true)
-        ], bool)
+        whole = self._come_back(chunks, (ids_a, a, n_a), (ids_b, b, n_b))
         # a chunk that does not come back takes part in nothing
         a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
         n_a, n_b = np.where(whole, n_a, 0), np.where(whole, n_b, 0)
@@ -249,21 +249,45 @@ class Aligner:
         first = np.flatnonzero(np.append(True, joined[1:] != joined[:-1])) if len(joined) else np.zeros(0, np.int64)
         times = np.add.reduceat(times, first) if len(first) else times
         chunk, keys = np.divmod(joined[first], self.a.size * self.base)
-        # groups as text
-        names_a, names_b = a.astype(str).tolist(), b.astype(str).tolist()
-        parts: list[list[str]] = [[] for _ in chunks]
-        cuts_a, cuts_b = bounds_a.tolist(), bounds_b.tolist()
-        for g, c in enumerate(chunk_of.tolist()):
-            parts[c].append(",".join(names_a[cuts_a[g] : cuts_a[g + 1]]) + "|" + ",".join(names_b[cuts_b[g] : cuts_b[g + 1]]))
+        texts = self._written(a, b, bounds_a, bounds_b, chunk_of, len(chunks))
         start = len(self.text)
         self._chars += sum(map(len, chunks))
         self.place.update(zip(chunks, range(start, start + len(chunks))))
-        self.text.extend(";".join(p) if ok else None for p, ok in zip(parts, whole.tolist()))
+        self.text.extend(t if ok else None for t, ok in zip(texts, whole.tolist()))
         self.sizes = np.concatenate([self.sizes, sizes])
         ends = self.bounds[-1] + np.cumsum(np.bincount(chunk, minlength=len(chunks)))
         self.bounds = np.concatenate([self.bounds, ends])
         self.keys, self.times = np.concatenate([self.keys, keys]), np.concatenate([self.times, times])
 
+    def _come_back(self, chunks: list[str], *sides) -> np.ndarray:
+        """Whether both sides give back the bytes of each chunk with its space."""
+        true = [(" " + c).encode() for c in chunks]
+        lengths = np.array([len(t) for t in true], np.int64)
+        whole = np.ones(len(chunks), bool)
+        for side, of, (ids, flat, n) in zip((self.a, self.b), (self._length_a, self._length_b), sides):
+            sums = np.concatenate([[0], np.cumsum(of[flat])])
+            ends = np.cumsum(n)
+            same = sums[ends] - sums[ends - n] == lengths
+            # bytes of all chunks at once; one by one only if something differs
+            if not same.all() or b"".join(map(side.tokens.__getitem__, flat.tolist())) != b"".join(true):
+                same &= np.array([b"".join(map(side.tokens.__getitem__, own)) == t for own, t in zip(ids, true)], bool)
+            whole &= same
+        return whole
+
+    def _written(self, a: np.ndarray, b: np.ndarray, bounds_a: np.ndarray, bounds_b: np.ndarray, chunk_of: np.ndarray, n: int) -> list[str]:
+        """The groups of each chunk as text: ids and the mark after each, put in their order and joined."""
+        size_a, size_b = np.diff(bounds_a), np.diff(bounds_b)
+        group_a, group_b = np.repeat(np.arange(len(size_a)), size_a), np.repeat(np.arange(len(size_b)), size_b)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[bounds_a[1:] - 1] = last_b[bounds_b[1:] - 1] = True
+        ends_chunk = np.append(chunk_of[1:] != chunk_of[:-1], True) if len(chunk_of) else np.zeros(0, bool)
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + bounds_b[group_a]] = a + self.a.size * last_a
+        code[np.arange(len(b)) + bounds_a[group_b + 1]] = 2 * self.a.size + b + self.b.size * (last_b.astype(np.int64) + (last_b & ends_chunk[group_b]))
+        per = np.bincount(chunk_of, weights=size_a + size_b, minlength=n).astype(np.int64)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self._marked.take(pa.array(code))), "").to_pylist()
+
 
 def worker_aligner(file_a: str, file_b: str) -> Aligner:
     """One aligner for each pair of files and Python worker."""
