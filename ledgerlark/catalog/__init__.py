@@ -6,6 +6,7 @@ from ledgerlark.catalog import (
     history_queries,
     metric_queries,
     model_queries,
+    ordered_queries,
     profile_queries,
     row_queries,
     split_queries,
@@ -14,6 +15,6 @@ from ledgerlark.catalog import (
 
 FAMILIES = (
     flagship_queries, history_queries, row_queries, profile_queries, split_queries, metric_queries, encoding_queries,
-    stream_queries, model_queries,
+    ordered_queries, stream_queries, model_queries,
 )
 flagship = flagship_queries.budget_report

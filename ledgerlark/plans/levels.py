@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators.encoding import level_counts, modes_of
 from ledgerlark.operators.ordered import number_rows
+from ledgerlark.operators.target_statistics import settled_statistics
 from ledgerlark.session import pin
 
 RARE, RARE_BELOW = "_RARE_", 20
@@ -149,3 +150,42 @@ class _Reader(MLReader):
         s = json.loads(DefaultParamsReader.loadMetadata(path, spark)["settings"])
         table = spark.read.parquet(f"{path}/levels")
         return LevelEncoder(s["columns"], Levels(table, s["modes"], s["levels"], s["places"], s["names"]), s["linear"])
+
+
+class CategoryRates(Transformer, MLWritable):
+    """Adds the label statistics of categories that rows outside training get, from a saved table of sums."""
+
+    def __init__(self, columns: Sequence[str] = (), sums: DataFrame | None = None, prior: float = 0.0, size: int = 0) -> None:
+        super().__init__()
+        self.columns, self.sums, self.prior, self.size = list(columns), sums, prior, size
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return settled_statistics(df, self.columns, self.sums, self.prior, broadcast=self.size <= BROADCAST_LEVELS)
+
+    def write(self) -> MLWriter:
+        return _RatesWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _RatesReader()
+
+    @classmethod
+    def load(cls, path: str) -> CategoryRates:
+        return cls.read().load(path)
+
+
+class _RatesWriter(MLWriter):
+    def __init__(self, stage: CategoryRates) -> None:
+        super().__init__()
+        self._stage = stage
+
+    def saveImpl(self, path: str) -> None:
+        s = self._stage
+        DefaultParamsWriter.saveMetadata(s, path, self.sparkSession, extraMetadata={"settings": json.dumps({"columns": s.columns, "prior": s.prior, "size": s.size})})
+        s.sums.write.parquet(f"{path}/sums")
+
+
+class _RatesReader(MLReader):
+    def load(self, path: str) -> CategoryRates:
+        s = json.loads(DefaultParamsReader.loadMetadata(path, self.sparkSession)["settings"])
+        return CategoryRates(s["columns"], self.sparkSession.read.parquet(f"{path}/sums"), s["prior"], s["size"])

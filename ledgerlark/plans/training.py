@@ -10,17 +10,18 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import encoding
+from ledgerlark.operators import target_statistics as ordered
 from ledgerlark.operators.history import Entity, LabelRate, Roles, add_history
 from ledgerlark.operators.metrics import core_metrics, metrics_table, summary_rows
 from ledgerlark.operators.splits import split_days
-from ledgerlark.plans.levels import LevelEncoder, Levels, fit_levels_table
-from ledgerlark.session import pin
+from ledgerlark.plans.levels import CategoryRates, LevelEncoder, Levels, fit_levels_table
+from ledgerlark.session import pin, scratch_folder
 
 # Parameters of the candidate models, and the tuned values of the boosted trees.
 LOGREG = {"maxIter": 200, "C": 1.0}
@@ -59,7 +60,7 @@ class Model:
     """A kind of classifier with its parameters."""
 
     name: str
-    kind: str  # logreg, forest or boosted
+    kind: str  # logreg, forest, boosted, or ordered (boosted on ordered statistics of the categories)
     params: Mapping[str, object] = field(default_factory=dict)
 
 
@@ -68,7 +69,7 @@ def standard_models(tuned: Mapping[str, object] | None = None) -> tuple[Model, .
         Model("logreg", "logreg", LOGREG),
         Model("random_forest", "forest", FOREST),
         Model("hist_gbm", "boosted", {**BOOSTED, **(BOOSTED_TUNED if tuned is None else tuned)}),
-        Model("ordered_gbm", "boosted", BOOSTED_ORDERED),
+        Model("ordered_gbm", "ordered", BOOSTED_ORDERED),
     )
 
 
@@ -107,9 +108,8 @@ def _fill_statement(f: Features, known: Fitted) -> str:
     return f"select *, {', '.join(cols)} from __THIS__"
 
 
-def build_pipeline(train: DataFrame, f: Features, model: Model, known: Fitted, weight: str = "weight") -> Pipeline:
-    """Imputing, encoding and the classifier as one persistable pipeline."""
-    linear = model.kind == "logreg"
+def encoding_stages(f: Features, known: Fitted, linear: bool, output: str = "features") -> list:
+    """Imputing and encoding up to one vector; the vector of trees has one entry per feature."""
     stages: list = [SQLTransformer(statement=_fill_statement(f, known))] if f.numeric else []
     numeric, indexed = [f"{c}__n" for c in f.numeric], [f"{c}__i" for c in f.text]
     if f.text:
@@ -125,20 +125,25 @@ def build_pipeline(train: DataFrame, f: Features, model: Model, known: Fitted, w
             hot = [f"{c}__h" for c in f.text]
             stages.append(OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True))
             parts += hot
-        stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
+        stages.append(VectorAssembler(inputCols=parts, outputCol=output))
     else:
-        stages.append(VectorAssembler(inputCols=numeric + indexed, outputCol="features"))
-    stages.append(_classifier(train, f, model, weight))
-    return Pipeline(stages=stages)
+        stages.append(VectorAssembler(inputCols=numeric + indexed, outputCol=output))
+    return stages
 
 
-def _classifier(train: DataFrame, f: Features, model: Model, weight: str):
+def build_pipeline(train: DataFrame, f: Features, model: Model, known: Fitted, weight: str = "weight") -> Pipeline:
+    """Imputing, encoding and the classifier as one persistable pipeline."""
+    if model.kind == "ordered":
+        raise ValueError("an ordered model is fitted on a feature store")
+    return Pipeline(stages=[*encoding_stages(f, known, model.kind == "logreg"), classifier(f, model, lambda: train.count(), weight)])
+
+
+def classifier(f: Features, model: Model, n_train: Callable[[], int], weight: str = "weight"):
     common = {"labelCol": f.label, "featuresCol": "features", "weightCol": weight}
     p = dict(model.params)
     if model.kind == "logreg":
-        n = train.count()
         return LogisticRegression(
-            **common, maxIter=int(p["maxIter"]), regParam=1.0 / (float(p["C"]) * max(n, 1)), standardization=False
+            **common, maxIter=int(p["maxIter"]), regParam=1.0 / (float(p["C"]) * max(n_train(), 1)), standardization=False
         )
     make = RandomForestClassifier if model.kind == "forest" else GBTClassifier
     return make(**common, **p)
@@ -157,6 +162,93 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFra
     return out.select(*df.columns, name)
 
 
+# -- the feature store ----------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class FeatureStore:
+    """Encoded vectors of all features, written once as Parquet by split, from which every model reads one column.
+
+    ``vectors``: logreg, trees, ordered; a variant is a slice of such a vector. ``stages`` are the fitted
+    encoders that lead to each vector, for models that are to score raw rows.
+    """
+
+    rows: DataFrame
+    f: Features
+    known: Fitted
+    stages: Mapping[str, list]
+    n_train: int
+
+    def slots(self, vector: str, f: Features) -> list[int]:
+        """Places of the features of a variant in a vector."""
+        sizes = [(c, 1) for c in self.f.numeric]
+        if vector == "logreg":
+            sizes += [(c, self.known.levels.places[c]) for c in self.f.text]
+        else:
+            sizes += [(c, len(ordered.SEEDS) if vector == "ordered" else 1) for c in self.f.text]
+        out, at, wanted = [], 0, set(f.names)
+        for c, n in sizes:
+            out += range(at, at + n) if c in wanted else ()
+            at += n
+        return out
+
+
+def vector_of(model: Model) -> str:
+    return model.kind if model.kind in ("logreg", "ordered") else "trees"
+
+
+def build_store(table: DataFrame, f: Features, vectors: Sequence[str], known: Fitted | None = None) -> FeatureStore:
+    """Encode train, validation and test rows once for all models; class sizes are counted once."""
+    is_train = F.col(f.split) == "train"
+    slim = table.where(F.col(f.split).isin("train", "val", "test")).select(f.id, f.ts, f.label, f.split, *[c for c in f.names if c not in (f.id, f.ts, f.label)])
+    known = fit_encoders(slim.where(is_train), f) if known is None else known
+    sizes = {r["class"]: r for r in encoding.class_weights(slim.where(is_train), f.label).collect()}
+    n = sum(int(r["n"]) for r in sizes.values())
+    weight = F.lit(1.0)
+    for value, r in sizes.items():
+        weight = F.when(F.col(f.label) == value, float(r["weight"])).otherwise(weight)
+    rows, stages = slim.withColumn("weight", weight), {}
+    kept = [f.id, f.ts, f.label, f.split, "weight"]
+    for v in vectors:
+        if v == "ordered":
+            names = ordered.statistic_names(f.text)
+            prior = float(sum(int(value or 0) * int(r["n"]) for value, r in sizes.items()) / max(n, 1))
+            sums = pin(ordered.category_sums(slim.where(is_train), f.text, f.label)) if f.text else None
+            own = replace(f, numeric=f.numeric + names, text=())
+            filled = Fitted({**known.medians, **dict.fromkeys(names, prior)}, None)
+            # training rows get their ordered statistics, the others those that the stage for raw rows gives
+            settled = CategoryRates(f.text, sums, prior, sums.count() if sums is not None else 0)
+            source = rows
+            if f.text:
+                early = rows.where(is_train).join(ordered.ordered_statistics(slim.where(is_train), f.text, f.label, f.id, prior), f.id)
+                source = early.unionByName(settled.transform(rows.where(~is_train)))
+            fitted = Pipeline(stages=encoding_stages(own, filled, False, v)).fit(source).stages
+            rows, stages[v] = _only(PipelineModel(fitted).transform(source), [*kept, *f.names], [*stages, v]), [settled, *fitted] if f.text else fitted
+        else:
+            fitted = Pipeline(stages=encoding_stages(f, known, v == "logreg", v)).fit(rows.where(is_train)).stages
+            rows, stages[v] = _only(PipelineModel(fitted).transform(rows), [*kept, *f.names], [*stages, v]), fitted
+    path = scratch_folder(table.sparkSession, "features")
+    rows.select(*kept, *vectors).write.partitionBy(f.split).parquet(path)
+    return FeatureStore(table.sparkSession.read.parquet(path), f, known, stages, n)
+
+
+def _only(df: DataFrame, columns: Sequence[str], vectors: Sequence[str]) -> DataFrame:
+    return df.select(*dict.fromkeys([*columns, *vectors]))
+
+
+def fit_stored(store: FeatureStore, f: Features, model: Model) -> PipelineModel:
+    """Fit on the stored vectors; the result scores stored rows (``predict_stored``)."""
+    vector = vector_of(model)
+    cut = VectorSlicer(inputCol=vector, outputCol="features", indices=store.slots(vector, f))
+    train = store.rows.where(F.col(f.split) == "train").select(f.label, "weight", vector)
+    return Pipeline(stages=[cut, classifier(f, model, lambda: store.n_train)]).fit(train)
+
+
+def for_raw_rows(store: FeatureStore, fitted: PipelineModel, model: Model) -> PipelineModel:
+    """The same model with the encoders in front."""
+    return PipelineModel([*store.stages[vector_of(model)], *fitted.stages])
+
+
 # -- jobs over the feature table --------------------------------------------------------------------
 
 
@@ -169,19 +261,18 @@ def train_and_evaluate(
 ) -> DataFrame:
     """Every model on every variant, measured on validation and test: the long metrics table.
 
-    ``table`` should be the written (or pinned) feature table: it is read once per fit and score. The
-    scores of all models are written once, in narrow rows, and measured together.
+    Features are encoded and written once; a fit reads one vector of the training rows. The scores of all
+    models are written once, in narrow rows, and measured together.
     """
     any_f = next(iter(variants.values()))
     days = {r[any_f.split]: r["days"] for r in split_days(table, any_f.ts, any_f.split).collect()}
-    train = table.where(F.col(any_f.split) == "train")
-    later = table.where(F.col(any_f.split).isin("val", "test"))
     everything = replace(
         any_f,
         numeric=tuple(dict.fromkeys(c for f in variants.values() for c in f.numeric)),
         text=tuple(dict.fromkeys(c for f in variants.values() for c in f.text)),
     )
-    known = fit_encoders(train, everything)
+    store = build_store(table, everything, tuple(dict.fromkeys(map(vector_of, models))))
+    later = store.rows.where(F.col(any_f.split).isin("val", "test"))
     scored: list[DataFrame] = []
     names: list[tuple[str, str]] = []
 
@@ -194,11 +285,11 @@ def train_and_evaluate(
 
     for variant, f in variants.items():
         if rule is not None:
-            keep(later.withColumn("score", rule()), "rule_based", variant, f)
+            keep(table.where(F.col(f.split).isin("val", "test")).withColumn("score", rule()), "rule_based", variant, f)
         for m in models:
-            fitted = fit(train, f, m, known)
+            fitted = fit_stored(store, f, m)
             if on_fit:
-                on_fit(f"{m.name}__{variant}", fitted)
+                on_fit(f"{m.name}__{variant}", for_raw_rows(store, fitted, m))
             keep(predict(fitted, later), m.name, variant, f)
     rows = pin(reduce(DataFrame.unionByName, scored))
     per_group = {(n, v, s): d for n, v in names for s, d in days.items()}
