@@ -52,7 +52,8 @@ def _tune(spark, a) -> None:
     table = spark.read.parquet(f"{a.run}/features")
     f = X.model_features(table, True)
     base = training.Model("hist_gbm", "boosted", training.BOOSTED)
-    S.write_report(training.search(table, f, base, training.boosted_space, a.trials), f"{a.out}/trials")
+    found = training.search(table, f, base, training.boosted_space, a.trials, ledger=f"{a.out}/trials")
+    S.write_report(found, f"{a.out}/ranking")
 
 
 def main(argv=None) -> None:
@@ -71,12 +72,14 @@ def main(argv=None) -> None:
             job.add_argument("--trials", type=int, default=30)
         if name == "train":
             job.add_argument("--no-label-rates", action="store_true")
+            job.add_argument("--tuned", metavar="OUT", help="output folder of a tune job, whose best trial is used")
     a = parser.parse_args(argv)
     spark = build_session()
     if a.job == "profile":
         X.write_profile(S.read_table(spark, a.data), a.out)
     elif a.job == "train":
-        X.train(spark, a.data, a.out, X.FeatureOptions(rates=()) if a.no_label_rates else X.FeatureOptions())
+        options = X.FeatureOptions(rates=()) if a.no_label_rates else X.FeatureOptions()
+        X.train(spark, a.data, a.out, options, trials=f"{a.tuned}/trials" if a.tuned else None)
     elif a.job == "compare":
         X.compare(spark, a.base, a.improved).show(100, truncate=False)
     else:

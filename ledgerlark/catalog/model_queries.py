@@ -134,8 +134,7 @@ def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
     def space(rng: random.Random) -> dict:
         return {**T.boosted_space(rng), "maxIter": rng.randint(2, 5), "maxDepth": rng.randint(2, 4)}
 
-    found = T.search(table, f, BOOSTED, space, trials=3)
-    return found.withColumn("params", F.to_json("params"))
+    return T.search(table, f, BOOSTED, space, trials=3).select("trial", "val_pr_auc", "params", "status")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import encoding
@@ -297,30 +299,58 @@ def train_and_evaluate(
     return metrics_table(table.sparkSession, found)
 
 
+_LEDGER = "trial int, seed bigint, params string, status string, val_pr_auc double, error string"
+
+
+def read_trials(spark: SparkSession, ledger: str) -> DataFrame:
+    """The trials of a ledger as a table; empty where there is none yet."""
+    try:
+        return spark.read.schema(_LEDGER).option("recursiveFileLookup", "true").json(ledger)
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([], _LEDGER)
+
+
+def best_parameters(spark: SparkSession, ledger: str) -> dict[str, object] | None:
+    """Parameters of the best finished trial (the earliest of equal ones)."""
+    best = read_trials(spark, ledger).where("status = 'done'").orderBy(F.col("val_pr_auc").desc(), "seed", "trial").first()
+    return json.loads(best["params"]) if best else None
+
+
 def search(table: DataFrame, f: Features, base: Model, space: Callable[[random.Random], dict], trials: int = 30,
-           seed: int = 42, parallel: int = 2) -> DataFrame:
+           seed: int = 42, parallel: int = 2, ledger: str | None = None) -> DataFrame:
     """Seeded random search: fit on train, average precision on validation, best first.
 
-    Trials are independent Spark jobs, a few of which run at a time.
+    Trials are independent Spark jobs, a few of which run at a time, on one feature store. Each writes its
+    row to the ``ledger`` as it ends; a search that is started again goes on with the trials that have not
+    ended well under the same seed and parameters.
     """
     rng = random.Random(seed)
     draws = [space(rng) for _ in range(trials)]
-    train = table.where(F.col(f.split) == "train")
-    val = table.where(F.col(f.split) == "val").select(f.label, *f.names)
-    known = fit_encoders(train, f)
-
-    def one(params: dict) -> float:
-        fitted = fit(train, f, replace(base, params={**base.params, **params}), known)
-        got = core_metrics(predict(fitted, val), f.label, "score").first()
-        return float(got["pr_auc"]) if got and got["pr_auc"] is not None else 0.0
-
-    with ThreadPoolExecutor(parallel) as pool:
-        found = list(pool.map(one, draws))
-    rows = [(i, v, {k: str(x) for k, x in d.items()}) for i, (v, d) in enumerate(zip(found, draws))]
     spark = table.sparkSession
-    return spark.createDataFrame(rows, "trial int, val_pr_auc double, params map<string,string>").orderBy(
-        F.col("val_pr_auc").desc(), "trial"
-    )
+    ledger = ledger or scratch_folder(spark, "trials")
+    known = {(r["trial"], r["params"]) for r in read_trials(spark, ledger).where((F.col("status") == "done") & (F.col("seed") == seed)).collect()}
+    texts = [json.dumps(d, sort_keys=True) for d in draws]
+    todo = [i for i, t in enumerate(texts) if (i, t) not in known]
+    if todo:
+        store = build_store(table, f, (vector_of(base),))
+        val = store.rows.where(F.col(f.split) == "val")
+
+        def one(i: int) -> None:
+            found, error = None, None
+            try:
+                fitted = fit_stored(store, f, replace(base, params={**base.params, **draws[i]}))
+                got = core_metrics(predict(fitted, val), f.label, "score").first()
+                found = float(got["pr_auc"]) if got and got["pr_auc"] is not None else 0.0
+            except Exception as problem:  # noqa: BLE001  the ledger keeps it, and the search goes on
+                error = str(problem)[:500]
+            row = (i, seed, texts[i], "failed" if error else "done", found, error)
+            # a folder for each trial, so that trials that end together do not meet
+            spark.createDataFrame([row], _LEDGER).coalesce(1).write.mode("overwrite").json(f"{ledger}/seed-{seed}/trial-{i}")
+
+        with ThreadPoolExecutor(parallel) as pool:
+            list(pool.map(one, todo))
+    rows = read_trials(spark, ledger).where(F.col("seed") == seed)
+    return rows.where(F.col("trial") < trials).orderBy(F.col("val_pr_auc").desc_nulls_last(), "trial")
 
 
 def boosted_space(rng: random.Random) -> dict:

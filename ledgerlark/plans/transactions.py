@@ -15,7 +15,7 @@ from ledgerlark.operators.history import TRANSACTION_ENTITIES, LabelRate, Roles,
 from ledgerlark.operators.overlap import compare_runs, entity_overlap
 from ledgerlark.operators.splits import TimeSplit, time_split
 from ledgerlark.plans import reports
-from ledgerlark.plans.training import Features, Model, standard_models, train_and_evaluate
+from ledgerlark.plans.training import Features, Model, best_parameters, standard_models, train_and_evaluate
 from ledgerlark.session import pin
 from ledgerlark.sources import transactions as S
 
@@ -84,9 +84,11 @@ def train(
     folder: str,
     options: FeatureOptions = FeatureOptions(),
     models: Sequence[Model] | None = None,
+    trials: str | None = None,
 ) -> DataFrame:
     """Load, build and write the feature table, fit and measure every model, write models and reports.
 
+    The best parameters of the search whose ledger is ``trials`` take the place of the stored tuned ones.
     Returns the long metrics table as read back from ``folder``.
     """
     tx, rejected = set_aside(S.load_validated(spark, data), ROLES)
@@ -100,7 +102,7 @@ def train(
 
     variants = {"full": model_features(table, False), "demographic_free": model_features(table, True)}
     metrics = train_and_evaluate(
-        table, variants, standard_models() if models is None else models, rule_score,
+        table, variants, standard_models(best_parameters(spark, trials) if trials else None) if models is None else models, rule_score,
         on_fit=lambda name, fitted: S.save_model(fitted, f"{folder}/models/{name}"),
     )
     S.write_report(metrics, f"{folder}/metrics", "parquet")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,12 +56,37 @@ def test_cascade_and_importance_shapes(table, features):
     assert len(imp) == 5 and imp[0].importance >= imp[-1].importance
 
 
-def test_search_is_ordered_and_repeatable(table, features):
-    def space(rng):
-        return {"maxIter": rng.randint(1, 2), "maxDepth": rng.randint(1, 2)}
+def space(rng):
+    return {"maxIter": rng.randint(1, 2), "maxDepth": rng.randint(1, 2), "stepSize": rng.random()}
 
+
+def test_search_is_ordered_and_repeatable(table, features):
     runs = [[tuple(map(str, r)) for r in T.search(table, features, TINY, space, trials=2).collect()] for _ in range(2)]
-    assert runs[0] == runs[1] and runs[0][0][1] >= runs[0][1][1]
+    assert runs[0] == runs[1] and float(runs[0][0][4]) >= float(runs[0][1][4])
+
+
+def test_a_search_goes_on_from_its_ledger(spark, table, features, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "trials")
+    assert T.best_parameters(spark, ledger) is None
+    fitted, real = [], T.fit_stored
+
+    def watched(store, f, model):
+        fitted.append(dict(model.params))
+        if len(fitted) == 2:
+            raise ValueError("lost")
+        return real(store, f, model)
+
+    monkeypatch.setattr(T, "fit_stored", watched)
+    first = {r["trial"]: r for r in T.search(table, features, TINY, space, trials=3, parallel=1, ledger=ledger).collect()}
+    assert [first[i]["status"] for i in range(3)] == ["done", "failed", "done"] and "lost" in first[1]["error"]
+    again = T.search(table, features, TINY, space, trials=4, parallel=1, ledger=ledger).collect()
+    assert len(fitted) == 5 and [r["status"] for r in again] == ["done"] * 4  # trial 1 once more, and trial 3
+    assert {r["trial"]: r["params"] for r in again if r["trial"] < 3} == {i: r["params"] for i, r in first.items()}
+    assert T.search(table, features, TINY, space, trials=4, ledger=ledger).count() == 4 and len(fitted) == 5
+    best = T.best_parameters(spark, ledger)
+    assert best == json.loads(again[0]["params"]) and set(best) == {"maxIter", "maxDepth", "stepSize"}
+    tuned = {m.name: m for m in T.standard_models(best)}["hist_gbm"]
+    assert tuned.params["stepSize"] == best["stepSize"] and tuned.params["minInstancesPerNode"] == T.BOOSTED["minInstancesPerNode"]
 
 
 def many_valued(spark, n=120_000, levels=50_000):

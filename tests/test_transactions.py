@@ -128,3 +128,17 @@ def test_command_line(spark, run):
     assert spark.read.parquet(str(run / "scored" / "scores")).where("size(reason_codes) > 0").count() == 49
     assert spark.read.parquet(str(run / "scored" / "rejected")).first().violations == ["CustomerAge_range"]
     main(["compare", out, out])
+
+
+def test_train_uses_the_best_trial_of_a_search(spark, run, tmp_path, monkeypatch):
+    rows = [(0, 42, '{"maxIter": 3, "stepSize": 0.25}', "done", 0.5, None), (1, 42, '{"maxIter": 9}', "failed", None, "x"), (2, 42, '{"maxIter": 2}', "done", 0.4, None)]
+    spark.createDataFrame(rows, T._LEDGER).write.json(str(tmp_path / "tuned" / "trials"))
+    seen = []
+
+    def models(tuned=None):
+        seen.append(tuned)
+        return MODELS[1:]
+
+    monkeypatch.setattr(X, "standard_models", models)
+    X.train(spark, str(run / "tx"), str(tmp_path / "out"), X.FeatureOptions(BOUNDS), trials=str(tmp_path / "tuned" / "trials"))
+    assert seen == [{"maxIter": 3, "stepSize": 0.25}]
