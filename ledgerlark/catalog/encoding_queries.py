@@ -73,6 +73,21 @@ select receiver, count(*)::bigint as degree, sum(n)::bigint as rows, {stable_sql
   max(deg)::bigint as neighbour_degree_max, sum(deg - 1)::bigint as two_step_paths
 from e join d using (account) group by 1""")
 
+_HUB = "case when tx_id % 3 = 0 then 1 else account end"
+
+
+def shared_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receivers that share a sender with each receiver; one sender has a third of all rows."""
+    tx = tx_orders(spark, sf_dir).withColumn("account", F.expr(_HUB))
+    return G.shared_neighbours(tx, "receiver", "account")
+
+
+SHARED_SQL = over("tx_orders", f"""
+, e as (select distinct receiver, {_HUB} as account from tx where receiver is not null and account is not null)
+select a.receiver, count(distinct b.receiver) filter (b.receiver <> a.receiver)::bigint as shared_neighbours
+from e a join e b using (account) group by 1""")
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neutral values of numeric columns without holes, with holes, and without any value."""
     train = tx_orders(spark, sf_dir).where("split = 'train'").select(
@@ -140,13 +155,14 @@ COLUMNS_SQL = over("tx_orders", " union all ".join(
     f"select {d} as demographic_free, '{k}' as kind, '{c}' as feature, count({c})::bigint as n from tx"
     for d in ("false", "true") for k, c in (("number", "amount"), ("text", "tx_type"), ("text", "os"), ("text", "segment")) if not (d == "true" and c == "segment")))
 
-QUERIES = {f.__name__: f for f in (fills, encoded_linear, model_columns, impute_stats, common_levels, class_weights, freq_encode, graph_features)}
+QUERIES = {f.__name__: f for f in (fills, encoded_linear, model_columns, impute_stats, common_levels, class_weights, freq_encode, graph_features, shared_neighbours)}
 ORACLES = {
     "fills": FILLS_SQL,
     "encoded_linear": ENCODED_SQL,
     "model_columns": COLUMNS_SQL,
     "impute_stats": IMPUTE_SQL,
     "common_levels": LEVELS_SQL,
+    "shared_neighbours": SHARED_SQL,
     "class_weights": WEIGHTS_SQL.replace("$$train$$", "'train'"),
     "freq_encode": FREQ_SQL,
     "graph_features": GRAPH_SQL,

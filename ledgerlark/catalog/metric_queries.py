@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.catalog.common import scored_events, scored_sql, stable, stable_sql
+from ledgerlark.catalog.common import over, scored_events, scored_sql, stable, stable_sql
+from ledgerlark.catalog.views import tx_events
 from ledgerlark.functions.rows import RISKY_SEGMENTS, add_bands
 from ledgerlark.operators import drift as D
 from ledgerlark.operators import metrics as M
@@ -289,6 +290,22 @@ def _psi_sql(c: str, lo: float, hi: float) -> str:
   group by case when {c} < {lo} then 0 when {c} >= {hi} then 11 else floor(({c} - {lo}) / ({hi} - {lo}) * 10) + 1 end)"""
 
 
+def rate_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily label rate of each segment against its training rate, with cumulative sums and alarms."""
+    out = D.rate_trend(tx_events(spark, sf_dir), "ts", "label", "segment", F.col("split") == "train")
+    return _rounded(out.withColumn("period", F.date_format("period", "yyyy-MM-dd")), "rate", "expected", "up", "down")
+
+
+TREND_SQL = over("tx_events", f"""
+, d as (select coalesce(segment, 'missing') as "group", date_trunc('day', ts) as day, count(*) n, sum(label) hits,
+    count(*) filter (split = 'train') tn, coalesce(sum(label) filter (split = 'train'), 0) tk from tx group by 1, 2),
+b as (select *, sum(tk) over (partition by "group") / nullif(sum(tn) over (partition by "group"), 0) as p, avg(n) over (partition by "group") as nm from d),
+t as (select *, sum(hits - n * p * 1.1) over w as u, sum(n * p * 0.9 - hits) over w as l from b window w as (partition by "group" order by day)),
+m as (select *, u - least(min(u) over w, 0) as up, l - least(min(l) over w, 0) as down from t window w as (partition by "group" order by day))
+select "group", strftime(day, '%Y-%m-%d') as period, n::bigint as n, hits::bigint as hits, {stable_sql('hits / n')} as rate, {stable_sql('p')} as expected,
+  {stable_sql('up')} as up, {stable_sql('down')} as down,
+  case when up > 3 * sqrt(nm * p * (1 - p)) then 'up' when down > 3 * sqrt(nm * p * (1 - p)) then 'down' end as alarm from m""")
+
 PSI_SQL = scored_sql(" union all ".join(_psi_sql(*r) for r in (("score", 0.0, 1.0), ("amount", 0.0, 300.0), ("subnet", 0.0, 53.0))))
 
 
@@ -302,7 +319,7 @@ select tx_id, {stable_sql('(percent_rank() over (order by score) + percent_rank(
 
 QUERIES = {f.__name__: f for f in (
     roc_pr, metrics_by_group, metrics_seen_unseen, topk_metrics, topk_metrics_ties, alerts_per_day, threshold_metrics, top_alerts,
-    model_comparison, ablation_pivot, threshold_table, recall_by_alerts, score_cutoffs, saved_cutoffs, compare_runs, cost_threshold, psi,
+    model_comparison, ablation_pivot, threshold_table, recall_by_alerts, score_cutoffs, saved_cutoffs, compare_runs, cost_threshold, psi, rate_trend,
     rank_average)}
 ORACLES = {
     "roc_pr": scored_sql(_core_sql("s")),
@@ -322,5 +339,6 @@ ORACLES = {
     "compare_runs": COMPARE_SQL,
     "cost_threshold": COST_SQL,
     "psi": PSI_SQL,
+    "rate_trend": TREND_SQL,
     "rank_average": RANK_SQL,
 }

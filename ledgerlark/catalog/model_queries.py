@@ -7,13 +7,15 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.catalog.common import EFT, RULES
+from ledgerlark.catalog.common import EFT, RULES, over
 from ledgerlark.catalog.views import ENTITIES, ROLES, tx_events
 from ledgerlark.functions import rows as R
 from ledgerlark.operators.history import add_history, label_prior, with_label_rates
 from ledgerlark.plans import audits, reports, scoring
 from ledgerlark.plans import training as T
-from ledgerlark.session import pin
+from ledgerlark.session import pin, scratch_folder
+from ledgerlark.sources.transactions import save_parameters
+from ledgerlark.streaming import jobs
 
 COLUMN_ROLES = {
     "tx_id": "id", "ts": "time", "label": "label", "split": "split", "day_type": "raw", "tx_type": "raw", "segment": "demographic",
@@ -65,6 +67,22 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("score_calculated_at").withColumn("reason_codes", F.to_json("reason_codes"))
 
 
+def stream_score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows scored in micro-batches by a fitted model, counted, and how many equal the batch scores."""
+    table, f = _table(spark, sf_dir)
+    fitted = T.fit(table.where("split = 'train'"), f, LOGREG)
+    folder, test = scratch_folder(spark, "model-stream"), table.where("split = 'test'")
+    test.repartition(4, "tx_id").write.parquet(f"{folder}/in")
+    save_parameters(spark, {"HIGH": 0.9, "MEDIUM": 0.6}, f"{folder}/cutoffs")
+    rows = spark.readStream.schema(test.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.score_micro_batches(rows, fitted, f, f"{folder}/cutoffs", f"{folder}/out", f"{folder}/checkpoint", "logreg").awaitTermination()
+    columns = ("tx_id", "fraud_score", "risk_band", "is_fraud", "action", "threshold_used")
+    streamed = spark.read.parquet(f"{folder}/out").select(*columns, F.lit(True).alias("streamed"))
+    batch = scoring.score(test, fitted, f, {"HIGH": 0.9, "MEDIUM": 0.6}).select(*columns)
+    same = streamed.join(batch, list(columns), "left_semi")
+    return streamed.agg(F.count(F.lit(1)).alias("n_streamed")).crossJoin(same.agg(F.count(F.lit(1)).alias("n_equal")))  # one row each
+
+
 def score_explain_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occlusion reasons of a boosted model for every test row."""
     table, f = _table(spark, sf_dir)
@@ -139,5 +157,7 @@ def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     train_eval, ordered_rates_model, score_batch, score_explain_trees, drift_classifier, drift_importance, test_like_rows,
-    perm_importance, leakage_permutation, lag_sensitivity, rate_ablation, seen_unseen_model, cascade, tune)}
-ORACLES: dict[str, str] = {}
+    stream_score_model, perm_importance, leakage_permutation, lag_sensitivity, rate_ablation, seen_unseen_model, cascade, tune)}
+ORACLES: dict[str, str] = {
+    "stream_score_model": over("tx_events", "select count(*)::bigint as n_streamed, count(*)::bigint as n_equal from tx where split = 'test'"),
+}

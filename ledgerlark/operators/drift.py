@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.ordered import running_totals
@@ -58,3 +58,31 @@ def rank_average(df: DataFrame, scores: Sequence[str], row_id: str, name: str =
     """Mean percent rank over the score columns."""
     ranks = percent_ranks(df, scores, row_id).groupBy(row_id).agg(F.avg("pct_rank").alias(name))
     return df.join(ranks, row_id)
+
+
+def rate_trend(df: DataFrame, ts: str, label: str, group: str, expected: Column, period: str = "day", slack: float = 0.1, alarm: float = 3.0) -> DataFrame:
+    """Label rate of each period and group against the rate of the ``expected`` rows, with cumulative-sum statistics.
+
+    ``up`` sums what each period has above the expected number by more than the slack, starting again where
+    the sum falls below zero, and ``down`` likewise for too few; both are written as running totals less
+    their lowest value so far. An alarm is a sum above ``alarm`` standard deviations of an average period.
+    Rows are counted per period and group first; what is ordered has one row for each.
+    """
+    counted = df.where(F.col(ts).isNotNull() & F.col(label).isNotNull())
+    sums = counted.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("missing")).alias("group"), F.date_trunc(period, F.col(ts)).alias("period")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("hits"),
+        F.count_if(expected).alias("_n"), F.coalesce(F.sum(F.when(expected, F.col(label).cast("bigint"))), F.lit(0)).alias("_hits"),
+    )
+    whole = Window.partitionBy("group")
+    base = F.sum("_hits").over(whole) / F.nullif(F.sum("_n").over(whole), F.lit(0))
+    rated = sums.withColumn("expected", base).withColumn("_n_mean", F.avg("n").over(whole))
+    so_far = whole.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    own = {
+        "_up": F.col("hits") - F.col("n") * F.col("expected") * (1 + slack),
+        "_down": F.col("n") * F.col("expected") * (1 - slack) - F.col("hits"),
+    }
+    totals = rated.withColumns({c: F.sum(v).over(so_far) for c, v in own.items()})
+    above = {c[1:]: F.col(c) - F.least(F.min(c).over(so_far), F.lit(0.0)) for c in own}
+    limit = F.lit(alarm) * F.sqrt(F.col("_n_mean") * F.col("expected") * (1 - F.col("expected")))
+    out = totals.withColumns(above).withColumn("alarm", F.when(F.col("up") > limit, "up").when(F.col("down") > limit, "down"))
+    return out.select("group", "period", "n", "hits", (F.col("hits") / F.col("n")).alias("rate"), "expected", "up", "down", "alarm")

@@ -47,7 +47,7 @@ class Levels:
 def _numbered(counts: DataFrame, level: str, name: str) -> DataFrame:
     """Add the place of each level of a feature: most rows first, ties by value; no task holds a feature."""
     order = [F.col("feature"), F.col("n").desc(), F.col(level)]
-    ranked = pin(number_rows(counts, order, "_rn"))
+    ranked = number_rows(counts, order, "_rn")
     starts = ranked.groupBy("feature").agg(F.min("_rn").alias("_from"))  # one row per feature
     return ranked.join(F.broadcast(starts), "feature").withColumn(name, F.col("_rn") - F.col("_from")).drop("_rn", "_from")
 

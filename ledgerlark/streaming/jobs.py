@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlark.functions.rows import add_bands
-from ledgerlark.plans.training import predict
+from ledgerlark.plans.scoring import score
+from ledgerlark.plans.training import Features, predict
+from ledgerlark.sources.transactions import load_parameters
 
 
 def score_stream(stream: DataFrame, scorer: Column | PipelineModel, cutoffs: Mapping[str, float] | None = None,
@@ -56,3 +58,18 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
     """Append to files; exactly once with the checkpoint."""
     writer = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start(path)
+
+
+def score_micro_batches(stream: DataFrame, model: PipelineModel, f: Features, cutoffs: str, path: str, checkpoint: str, model_version: str = "", **trigger) -> StreamingQuery:
+    """Score each micro-batch with a fitted model and the cut-offs that ``cutoffs`` holds at that moment.
+
+    A batch is written into a folder of its own, which a repeated batch overwrites.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        stored = load_parameters(rows.sparkSession, cutoffs)
+        known = {k: float(stored[k]) for k in ("HIGH", "MEDIUM") if stored.get(k) is not None}
+        score(rows, model, f, known, model_version).drop("reason_codes").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
