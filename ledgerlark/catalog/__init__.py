@@ -8,6 +8,7 @@ from ledgerlark.catalog import (
     model_queries,
     ordered_queries,
     profile_queries,
+    request_queries,
     row_queries,
     split_queries,
     stream_queries,
@@ -15,6 +16,6 @@ from ledgerlark.catalog import (
 
 FAMILIES = (
     flagship_queries, history_queries, row_queries, profile_queries, split_queries, metric_queries, encoding_queries,
-    ordered_queries, stream_queries, model_queries,
+    ordered_queries, request_queries, stream_queries, model_queries,
 )
 flagship = flagship_queries.budget_report
