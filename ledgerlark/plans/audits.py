@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from ledgerlark.operators.drift import drift_grade
 from ledgerlark.operators.history import Entity, LabelRate, Roles, add_history, label_prior, with_label_rates
 from ledgerlark.operators.metrics import Budget, budget_rows, core_metrics
 from ledgerlark.operators.ordered import number_rows
+from ledgerlark.plans.scoring import slot_groups
 from ledgerlark.plans.training import Features, Model, fit, predict
+from ledgerlark.plans.tree_index import TreeIndex, encoded, is_tree_model
 from ledgerlark.session import pin
 
 RESULT = "case string, n_features int, pr_auc double, roc_auc double, recall_1pct double, precision_1pct double"
@@ -106,25 +109,35 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, f: Features, m
                            sample: int | None = None, top: int | None = None, seed: int = 0) -> DataFrame:
     """Mean loss of the metric when one feature is shuffled; of all rows and features unless limited.
 
-    All features share one seeded pairing of rows per repeat, so a repeat is one scoring pass over
-    (feature, row) and one grouped metric.
+    All features share one seeded pairing of rows per repeat. A tree model scores each row for all features
+    in place (``plans.tree_index``), and only (feature, label, score) go on to the metric; other models score
+    a copy of the row for each feature.
     """
     narrow = rows.select(f.id, f.label, *f.names)
     picked = pin(narrow if sample is None else splits.seeded_sample(narrow, f.id, sample, seed))
     base = core_metrics(predict(model, picked), f.label, "score").first()[metric]
-    takers = number_rows(picked, [f.id], "_rn")
+    trees = is_tree_model(model)
+    kept = pin(encoded(model, picked).select(f.id, f.label, "features")) if trees else picked
+    carried = ["features"] if trees else list(f.names)
+    takers = number_rows(kept, [f.id], "_rn")
     shuffled = None
     for r in range(repeats):
-        given = picked.select(f.id, *f.names).withColumn("_h", splits.seeded_hash(f.id, seed + 1 + r))
-        donors = number_rows(given, ["_h", f.id], "_rn").select("_rn", *[F.col(c).alias(f"_d_{c}") for c in f.names])
+        given = kept.select(f.id, *carried).withColumn("_h", splits.seeded_hash(f.id, seed + 1 + r))
+        donors = number_rows(given, ["_h", f.id], "_rn").select("_rn", *[F.col(c).alias(f"_d_{c}") for c in carried])
         part = takers.join(donors, "_rn").withColumn("_repeat", F.lit(r))
         shuffled = part if shuffled is None else shuffled.unionByName(part)
-    each = shuffled.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in f.names])))
-    swapped = each.select(
-        "feature", "_repeat", f.label,
-        *[F.when(F.col("feature") == c, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in f.names],
-    )
-    scores = core_metrics(predict(model, swapped), f.label, "score", ["feature", "_repeat"])
+    if trees:
+        index = TreeIndex.of(rows.sparkSession, model.stages[-1], slot_groups(model, f))
+        swapped = shuffled.select("_repeat", f.label, index.rescored("features", vector_to_array("_d_features")).alias("_again"))
+        long = swapped.select("_repeat", f.label, F.posexplode("_again").alias("_at", "score"))
+        scored = long.withColumn("feature", F.element_at(F.array(*[F.lit(c) for c in f.names]), F.col("_at") + 1))
+    else:
+        each = shuffled.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in f.names])))
+        scored = predict(model, each.select(
+            "feature", "_repeat", f.label,
+            *[F.when(F.col("feature") == c, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in f.names],
+        ))
+    scores = core_metrics(scored, f.label, "score", ["feature", "_repeat"])
     loss = scores.groupBy("feature").agg(F.avg(F.lit(float(base)) - F.col(metric)).alias("importance"))
     ranked = loss.orderBy(F.col("importance").desc(), "feature")
     return ranked if top is None else ranked.limit(top)

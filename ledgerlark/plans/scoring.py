@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.rows import RowColumns, add_bands, add_row_features, expand_history
 from ledgerlark.operators.encoding import apply_top_levels
 from ledgerlark.operators.history import TRANSACTION_ENTITIES, Entity, LabelRate, with_label_rates
+from ledgerlark.operators.target_statistics import SEEDS
+from ledgerlark.plans.levels import CategoryRates
 from ledgerlark.plans.training import Features, predict
+from ledgerlark.plans.tree_index import TreeIndex, encoded
 
 TOP_REASONS = 5
 REASON = "array<struct<feature string, contribution double, direction string>>"
@@ -78,23 +81,35 @@ def linear_reasons(model: PipelineModel, df: DataFrame, n: int = TOP_REASONS, na
     return encoded.withColumn(name, _top_reasons(parts, n)).select(*df.columns, name)
 
 
+def slot_groups(model: PipelineModel, f: Features) -> list[list[int]]:
+    """Slots of each feature in the vector of a tree model."""
+    wide = any(isinstance(stage, CategoryRates) for stage in model.stages)
+    out, at = [], 0
+    for c in f.names:
+        n = len(SEEDS) if wide and c in f.text else 1
+        out.append(list(range(at, at + n)))
+        at += n
+    return out
+
+
 def occlusion_reasons(model: PipelineModel, df: DataFrame, f: Features, neutral: Mapping[str, object],
                       n: int = TOP_REASONS, name: str = "reason_codes", score: str = "score") -> DataFrame:
-    """How much the score falls when one feature is set to its usual value; works for any model.
-
-    Rows are multiplied by the number of features, so this is for the rows to be explained.
-    """
-    which = F.explode(F.array(*[F.lit(c) for c in f.names])).alias("_which")
-    numbers = [F.col(c).cast("double").alias(c) for c in f.numeric]
-    each = df.select(F.col(f.id), F.col(score).alias("_was"), *numbers, *f.text, which)
-    swapped = each.withColumns(
-        {c: F.when(F.col("_which") == c, F.lit(neutral.get(c))).otherwise(F.col(c)) for c in f.names}
+    """How much the score of a tree model falls when one feature is set to its usual value, on the row itself."""
+    parts = [F.struct(F.lit(c).alias("feature"), (F.col(score) - F.col("_again")[i]).alias("drop")) for i, c in enumerate(f.names)]
+    reasons = F.transform(F.array(*parts), lambda p: F.struct(F.abs(p["drop"]).alias("size"), p["feature"].alias("feature"), p["drop"].alias("contribution")))
+    return occluded(model, df, f, neutral).withColumn(name, _top_reasons(reasons, n)).drop("_again")
+
+
+def occluded(model: PipelineModel, df: DataFrame, f: Features, neutral: Mapping[str, object]) -> DataFrame:
+    """Add ``_again``: the score of each row with each feature in turn at its usual value."""
+    kinds = {c: "double" for c in f.numeric} | {c: "string" for c in f.text}
+    usual = df.sparkSession.createDataFrame(
+        [tuple(float(neutral[c]) if k == "double" and neutral.get(c) is not None else neutral.get(c) for c, k in kinds.items())],
+        ", ".join(f"`{c}` {k}" for c, k in kinds.items()),
     )
-    drop = F.col("_was") - F.col("_now")
-    part = F.struct(F.abs(drop).alias("size"), F.col("_which").alias("feature"), drop.alias("contribution"))
-    # at most one entry per feature is gathered for a row
-    reasons = predict(model, swapped, "_now").groupBy(f.id).agg(F.collect_list(part).alias("_parts"))
-    return df.join(reasons.select(f.id, _top_reasons(F.col("_parts"), n).alias(name)), f.id, "left")
+    vector = encoded(model, usual).first()["features"].toArray()  # one row
+    index = TreeIndex.of(df.sparkSession, model.stages[-1], slot_groups(model, f))
+    return encoded(model, df).withColumn("_again", index.rescored("features", neutral=vector)).drop("features")
 
 
 def score(
