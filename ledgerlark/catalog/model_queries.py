@@ -14,7 +14,7 @@ from ledgerlark.operators.history import add_history, label_prior, with_label_ra
 from ledgerlark.plans import audits, reports, scoring
 from ledgerlark.plans import training as T
 from ledgerlark.session import pin, scratch_folder
-from ledgerlark.sources.transactions import save_parameters
+from ledgerlark.sources.transactions import load_model, save_model, save_parameters
 from ledgerlark.streaming import jobs
 
 COLUMN_ROLES = {
@@ -69,6 +69,18 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("score_calculated_at").withColumn("reason_codes", F.to_json("reason_codes"))
 
 
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows scored by a fitted pipeline, counted, and how many the saved and loaded pipeline scores alike."""
+    table, f = _table(spark, sf_dir)
+    fitted = T.fit(table.where("split = 'train'"), f, LOGREG)
+    folder, test = scratch_folder(spark, "model"), table.where("split = 'test'")
+    save_model(fitted, f"{folder}/logreg")
+    first = T.predict(fitted, test).select("tx_id", F.round("score", 12).alias("score"))
+    again = T.predict(load_model(f"{folder}/logreg"), test).select("tx_id", F.round("score", 12).alias("score"))
+    same = first.join(again, ["tx_id", "score"], "left_semi")
+    return first.agg(F.count(F.lit(1)).alias("n_scored")).crossJoin(same.agg(F.count(F.lit(1)).alias("n_equal")))  # one row each
+
+
 def stream_score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows scored in micro-batches by a fitted model, counted, and how many equal the batch scores."""
     table, f = _table(spark, sf_dir)
@@ -159,7 +171,8 @@ def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     train_eval, ordered_rates_model, score_batch, score_explain_trees, drift_classifier, drift_importance, test_like_rows,
-    stream_score_model, perm_importance, leakage_permutation, lag_sensitivity, rate_ablation, seen_unseen_model, cascade, tune)}
+    model_round_trip, stream_score_model, perm_importance, leakage_permutation, lag_sensitivity, rate_ablation, seen_unseen_model, cascade, tune)}
 ORACLES: dict[str, str] = {
+    "model_round_trip": over("tx_events", "select count(*)::bigint as n_scored, count(*)::bigint as n_equal from tx where split = 'test'"),
     "stream_score_model": over("tx_events", "select count(*)::bigint as n_streamed, count(*)::bigint as n_equal from tx where split = 'test'"),
 }
