@@ -9,7 +9,9 @@ Counts of word pairs are about as many as the words of the corpus, so they are n
 broadcast. Documents are hashed into blocks of some 8 MB of text. Each block sends every distinct word
 and word pair once, as sorted 64-bit keys with its own counts, to the range of keys it belongs to;
 there the counts of all blocks are added, and go back to the block in the order it asked. A frequent
-word is one entry per block, so no key is hot. The documents themselves are moved once.
+word is one entry per block, so no key is hot. Scores need one count per key, of all training documents;
+weights need the counts for counting, of the keys in a block's documents for weights alone. Which words
+make up a pair of those is sent once per distinct pair. Texts are moved twice, to count and to score.
 
 Keys are hashes, of 64 bits for words and 56 for pairs; a pair is taken for another with a chance of one
 in ten million per five billion distinct pairs. Defined cases: a null or empty text is one end token; without training documents every
@@ -75,9 +77,14 @@ class Block:
         return cls(doc, words[order], at[: len(doc)], at[len(doc) :], pairs[pair_order], pair_rank[pair_at])
 
     def references(self, fold: np.ndarray) -> bytes:
-        """Places of token, context and pair of the documents that weights are learned from."""
+        """Distinct pairs of the documents that weights are learned from, in key order: how often each is
+        there, and the places of its context and word among the words of those documents."""
         own = fold[self.doc] == WEIGHT_FOLD
-        return np.concatenate([at[own] for at in (self.word_at, self.context_at, self.pair_at)]).astype("<i4").tobytes()
+        pairs, first, n = np.unique(self.pair_at[own], return_index=True, return_counts=True)
+        words = np.unique(np.concatenate([self.context_at[own], self.word_at[own]]))
+        places = [np.searchsorted(words, at[own][first]) for at in (self.context_at, self.word_at)]
+        width = "<u2" if len(words) <= 1 << 16 else "<u4"
+        return np.array([len(pairs), int(width[2:])], "<i8").tobytes() + b"".join(p.astype(width).tobytes() for p in places) + _small(n)
 
     def counts(self, fold: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(kind, keys, counts in documents for counting, counts in documents for weights)."""
@@ -127,6 +134,13 @@ def _from_small(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def _referred(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of context and word, and count, of each pair in ``Block.references``."""
+    n, width = (int(x) for x in np.frombuffer(data, "<i8", 2))
+    context_at, word_at = np.frombuffer(data, f"<u{width}", 2 * n, 16).reshape(2, n).astype(np.int64)
+    return context_at, word_at, _from_small(data[16 + 2 * n * width :], n)
+
+
 def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
     """Documents by block: by id and text, so that neither a repeated id nor a repeated text fills a block
     (rows that repeat both do share one) and both passes over the documents agree."""
@@ -153,7 +167,7 @@ def _asked(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 _ASKED = "kind int, key_range int, block int, n int, keys binary, main binary, weight binary"
-_ANSWER = "block int, kind int, key_range int, n int, main binary, weight binary, tokens bigint, tokens_main bigint, types bigint, types_main bigint"
+_ANSWER = "block int, kind int, key_range int, n int, n_learn int, counts binary, learn binary, tokens bigint, tokens_main bigint, types bigint, types_main bigint"
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
@@ -177,27 +191,33 @@ def _folds(table: pa.Table) -> np.ndarray:
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """Counts over all blocks for each key a block asked for, and totals of each key range (block -1)."""
+    """Counts over all blocks for each key a block asked for, and totals of each key range (block -1).
+
+    ``counts`` are of all training documents; ``learn`` are of the documents for counting, for keys that the
+    block has in its documents for weights. References ride in ``learn``.
+    """
 
     def answer(table: pa.Table) -> pa.Table:
         kind, key_range = table.column("kind")[0].as_py(), table.column("key_range")[0].as_py()
         sizes = table.column("n").to_pylist()
         if kind == _REFERENCES:  # pass on
             rows = zip(table.column("block").to_pylist(), table.column("keys").to_pylist())
-            return _rows([(block, kind, key_range, 0, own, b"", None, None, None, None) for block, own in rows], _ANSWER)
+            return _rows([(block, kind, key_range, 0, 0, b"", own, None, None, None, None) for block, own in rows], _ANSWER)
         keys = np.concatenate([_unpacked_keys(k.as_py(), n) for k, n in zip(table.column("keys"), sizes)])
         at, distinct = pd.factorize(keys)
         totals = []
         for name in ("main", "weight"):
-            own = np.concatenate([_from_small(c.as_py(), n) for c, n in zip(table.column(name), sizes)])
-            totals.append(np.bincount(at, weights=own, minlength=len(distinct)).astype(np.int64))
+            asked_counts = np.concatenate([_from_small(c.as_py(), n) for c, n in zip(table.column(name), sizes)])
+            totals.append(np.bincount(at, weights=asked_counts, minlength=len(distinct)).astype(np.int64))
+        learned = asked_counts > 0
         real = distinct != _BEGIN if kind == _WORD else np.ones(len(distinct), bool)
         both = totals[0] + totals[1]
-        rows = [(-1, kind, key_range, 0, b"", b"", int(both[real].sum()), int(totals[0][real].sum()), int((both[real] > 0).sum()), int((totals[0][real] > 0).sum()))]
+        rows = [(-1, kind, key_range, 0, 0, b"", b"", int(both[real].sum()), int(totals[0][real].sum()), int((both[real] > 0).sum()), int((totals[0][real] > 0).sum()))]
         start = 0
         for block, n in zip(table.column("block").to_pylist(), sizes):
             own = at[start : start + n]
-            rows.append((block, kind, key_range, n, _small(totals[0][own]), _small(totals[1][own]), None, None, None, None))
+            learn = own[learned[start : start + n]]
+            rows.append((block, kind, key_range, n, len(learn), _small(both[own]), _small(totals[0][learn]), None, None, None, None))
             start += n
         return _rows(rows, _ANSWER)
 
@@ -206,10 +226,10 @@ def _answered(asked: DataFrame) -> DataFrame:
     return asked.groupBy("kind", "key_range", group).applyInArrow(answer, _ANSWER)
 
 
-def _counts_of(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+def _counts_of(answers: pa.Table, kind: int, n: str = "n", counts: str = "counts") -> np.ndarray:
     """Counts in key order, as asked by the block."""
-    own = sorted((r for r in answers.select(["kind", "key_range", "n", "main", "weight"]).to_pylist() if r["kind"] == kind), key=lambda r: r["key_range"])
-    return tuple(np.concatenate([_from_small(r[c], r["n"]) for r in own] or [np.zeros(0, np.int64)]) for c in ("main", "weight"))  # type: ignore[return-value]
+    own = sorted((r for r in answers.select(["kind", "key_range", n, counts]).to_pylist() if r["kind"] == kind), key=lambda r: r["key_range"])
+    return np.concatenate([_from_small(r[counts], r[n]) for r in own] or [np.zeros(0, np.int64)])
 
 
 def context_level(count: np.ndarray) -> np.ndarray:
@@ -266,15 +286,16 @@ def language_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     tokens_main, types_main = sums["tokens_main"], sums["types_main"]
 
     def learn(table: pa.Table) -> pa.Table:
-        own = [r["main"] for r in table.select(["kind", "main"]).to_pylist() if r["kind"] == _REFERENCES]
-        token_at, context_at, pair_at = np.frombuffer(b"".join(own), "<i4").reshape(3, -1)
-        word, pair = _counts_of(table, _WORD)[0], _counts_of(table, _PAIR)[0]
-        context, both = word[context_at], pair[pair_at]
-        cells = np.column_stack([context_level(context), _cell(both / np.maximum(context, 1)), _cell(word[token_at] / max(tokens_main, 1))])
-        found, n = np.unique(cells, axis=0, return_counts=True)
+        own = [r["learn"] for r in table.select(["kind", "learn"]).to_pylist() if r["kind"] == _REFERENCES]
+        context_at, word_at, times = _referred(b"".join(own))
+        word, both = _counts_of(table, _WORD, "n_learn", "learn"), _counts_of(table, _PAIR, "n_learn", "learn")
+        context = word[context_at]
+        cells = np.column_stack([context_level(context), _cell(both / np.maximum(context, 1)), _cell(word[word_at] / max(tokens_main, 1))])
+        found, at = np.unique(cells, axis=0, return_inverse=True)
+        n = np.bincount(at.reshape(-1), weights=times, minlength=len(found)).astype(np.int64)
         return _rows([(*map(int, c), int(k)) for c, k in zip(found, n)], "level int, pair int, word int, n bigint")
 
-    events = own.groupBy("block").applyInArrow(learn, "level int, pair int, word int, n bigint")
+    events = own.select("block", "kind", "key_range", "n_learn", "learn").groupBy("block").applyInArrow(learn, "level int, pair int, word int, n bigint")
     # levels x pair cells x word cells at most, whatever the corpus
     gathered = events.groupBy("level", "pair", "word").agg(F.sum("n").alias("n")).orderBy("level", "pair", "word").collect()
     weights = fit_weights(np.array([tuple(r) for r in gathered], np.int64).reshape(-1, 4), types_main)
@@ -284,7 +305,7 @@ def language_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     def score(key, table: pa.Table, answered: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         block = Block.of(_texts(table))
-        word, pair = (sum(_counts_of(answered, k)) for k in (_WORD, _PAIR))
+        word, pair = _counts_of(answered, _WORD), _counts_of(answered, _PAIR)
         seen, context, both = word[block.word_at], word[block.context_at], pair[block.pair_at]
         w = weights[context_level(context)]
         p = w[:, 0] * both / np.maximum(context, 1) + w[:, 1] * seen / max(total, 1) + w[:, 2] / (types + 1)
@@ -297,5 +318,5 @@ def language_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
             "base_score": pa.array(per(np.log10((seen + 0.1) / (total + 0.1 * (types + 1))))), "score": pa.array(per(np.log10(p))),
         })
 
-    counts = own.where(F.col("kind") != _REFERENCES)
+    counts = own.where(F.col("kind") != _REFERENCES).select("block", "kind", "key_range", "n", "counts")
     return dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, schema)
