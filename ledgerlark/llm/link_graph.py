@@ -7,6 +7,11 @@ given share of what reached it, and allowed otherwise, also if nothing reached i
 depend on the size of a rank, and the ranks go on until no host is reached anew and none changes by more
 than a relative tolerance, so neither the size of the table nor the distance from a seed decides.
 
+Most links stay within a domain, so ranks settle there first: hosts are dealt by domain to cells of a bounded
+number of edges (a domain with more is dealt by host), each cell is solved by itself in a task, and ranks
+over the borders of cells are exchanged by a join until nothing grows. Ranks only grow, whatever the cells, and
+reach the same values in no more rounds than by exchanging all edges each time.
+
 Edges are links between hosts, counted once per page and target, and both directions between a host and
 the domain above it with at least two labels. Links are folded to one row per pair of hosts before they
 are joined. The rank that leaves hosts without links is not dealt out again; this scales all ranks
@@ -21,16 +26,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import count
 from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.tables import stored
 from ledgerlark.session import pin
 
 DAMPING, ROUNDS, BLOCK_SHARE = 0.85, 24, 0.5
 TOLERANCE = 1e-6
+#: Edges of both directions that a cell holds on average; 100 bytes each in its task.
+CELL_EDGES = 500_000
 _PIN_EVERY = 3
 #: Far from all seeds a rank would become 0 in a double; a host that was reached keeps this much.
 _LEAST = 1e-290
@@ -74,7 +84,7 @@ def url_path(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[Column, Column]:
-    """(text, verdict) of the longest rule that fits, null if none does."""
+    """(text, verdict) of the longest rule that fits, of equally long ones the last listed; null if none does."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: len(r.text)):
         fits = rule.fits(host, path)
@@ -85,7 +95,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[Colum
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight) between different hosts: links of pages with (host, html), and domain ties."""
     link = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("""(?i)href\\s*=\\s*["']?\\s*(?:https?:)?//([^/?#"'\\s>]+)"""), F.lit(1))
-    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(link)).alias("dst")).withColumn("dst", lower_ascii(F.col("dst")))
+    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(link, lower_ascii))).alias("dst"))
     links = links.where((F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     hosts = pages.select(F.col("host").alias("h")).where("h != ''").unionByName(links.select(F.col("dst").alias("h"))).distinct()
     labels = F.split("h", "\\.")
@@ -97,11 +107,84 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def _in_cells(ways: DataFrame, start: DataFrame, cell_edges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranks, inner edges, border edges): all with cells, and the ranks with what starts at each host."""
+    cells = max(1, -(-ways.count() // cell_edges))
+    domain = lambda host: F.substring_index(host, ".", -2)
+    wide = ways.groupBy(domain("to_host").alias("wide")).count().where(F.col("count") > cell_edges).select("wide")
+    wide = pin(wide)
+
+    def dealt(df: DataFrame, host: str, cell: str) -> DataFrame:
+        found = df.join(wide, domain(host) == F.col("wide"), "left")
+        key = F.when(F.col("wide").isNull(), domain(host)).otherwise(F.col(host))
+        return found.withColumn(cell, F.pmod(F.xxhash64(key), F.lit(cells)).cast("int")).drop("wide")
+
+    placed = stored(dealt(dealt(ways, "from_host", "from_cell"), "to_host", "cell"), "edges")
+    reached = start.select("host", "good", "rank").unionByName(ways.select(F.col("to_host").alias("host"), "good", F.lit(0.0).alias("rank")))
+    hosts = reached.groupBy("host", "good").agg(F.sum("rank").alias("start"))
+    ranks = dealt(hosts, "host", "cell").select("cell", "good", "host", "start", F.lit(0.0).alias("rank"))
+    inside = F.col("from_cell") == F.col("cell")
+    return ranks, placed.where(inside).drop("from_cell"), placed.where(~inside).drop("from_cell")
+
+
+def _settled(ways: DataFrame, start: DataFrame, tolerance: float, cell_edges: int) -> DataFrame:
+    """(host, good, rank) of all hosts reached."""
+    ranks, inner, border = _in_cells(ways, start, cell_edges)
+    schema = "cell int, good boolean, host string, start double, rank double, grew boolean"
+    closed = border.isEmpty()
+
+    def solve(key, rows: pa.Table, edges: pa.Table) -> pa.Table:
+        # rows repeat nothing; an edge from a host that nothing reaches moves nothing
+        at = pd.Index(rows.column("host").to_pandas())
+        from_at, to_at = (at.get_indexer(edges.column(c).to_pandas()) for c in ("from_host", "to_host"))
+        known = (from_at >= 0) & (to_at >= 0)
+        from_at, to_at, part = from_at[known], to_at[known], edges.column("part").to_numpy()[known]
+        given = rows.column("start").to_numpy() + rows.column("inflow").to_numpy()
+        before = rows.column("rank").to_numpy()
+        rank, growing = before, True
+        while growing:
+            after = given + np.bincount(to_at, weights=part * rank[from_at], minlength=len(at))
+            after = np.where(after > 0, np.maximum(after, _LEAST), 0.0)
+            # each cell is solved closer than all of them together
+            growing = bool((after - rank > after * (tolerance / 10)).any())
+            rank = after
+        return pa.table({
+            "cell": rows.column("cell"), "good": rows.column("good"), "host": rows.column("host"), "start": rows.column("start"),
+            "rank": pa.array(rank), "grew": pa.array(rank - before > rank * tolerance),
+        })
+
+    inflow = None
+    while True:
+        rows = ranks.withColumn("inflow", F.lit(0.0)) if inflow is None else ranks.join(inflow, ["host", "good"], "left").fillna(0.0, ["inflow"])
+        rows = rows.select("cell", "good", "host", "start", "rank", "inflow")
+        solved = stored(rows.groupBy("cell", "good").cogroup(inner.groupBy("cell", "good")).applyInArrow(solve, schema), "ranks")
+        if closed or solved.where("grew").isEmpty():
+            return solved.where("rank > 0").select("host", "good", "rank")
+        ranks = solved.drop("grew")
+        held = ranks.where("rank > 0").select(F.col("host").alias("from_host"), "good", "rank")
+        moved = border.join(held, ["from_host", "good"]).select(F.col("to_host").alias("host"), "good", (F.col("rank") * F.col("part")).alias("rank"))
+        inflow = moved.groupBy("host", "good").agg(F.sum("rank").alias("inflow"))
+
+
+def _after_rounds(ways: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
+    """(host, good, rank) after a fixed number of rounds."""
+    ranks = start
+    for i in range(1, rounds + 1):
+        held = ranks.select(F.col("host").alias("from_host"), "good", "rank")
+        moved = ways.join(held, ["from_host", "good"]).select(F.col("to_host").alias("host"), "good", (F.col("rank") * F.col("part")).alias("rank"))
+        ranks = moved.unionByName(start).groupBy("host", "good").agg(F.greatest(F.sum("rank"), F.lit(_LEAST)).alias("rank"))
+        if i % _PIN_EVERY == 0 or i == rounds:
+            ranks = pin(ranks)
+    return ranks
+
+
+def spread(
+    edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE, cell_edges: int = CELL_EDGES
+) -> DataFrame:
     """(host, trust, distrust) from ``edges`` and ``seeds`` (host, trust, distrust), each summing to 1 or 0.
 
-    Without ``rounds`` it goes on until a few rounds reach no new host and add to no rank more than
-    ``tolerance`` of it. Ranks only grow, and from then on no round adds more than that share.
+    Without ``rounds`` it goes on until no new host is reached and no exchange between cells adds to any
+    rank more than ``tolerance`` of it.
     """
     total = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     share = lambda c, of: F.lit(0.0) if not of else F.col(c) / F.lit(float(of))
@@ -114,19 +197,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     along = edges.join(out, "src").select(F.col("src").alias("from_host"), F.col("dst").alias("to_host"), F.lit(True).alias("good"), (F.col("weight") / F.col("_out") * damping).alias("part"))
     against = edges.join(into, "dst").select(F.col("dst").alias("from_host"), F.col("src").alias("to_host"), F.lit(False).alias("good"), (F.col("weight") / F.col("_in") * damping).alias("part"))
     ways = pin(along.unionByName(against))
-    ranks, pinned = start, start
-    for i in count(1):
-        held = ranks.select(F.col("host").alias("from_host"), "good", "rank")
-        moved = ways.join(held, ["from_host", "good"]).select(F.col("to_host").alias("host"), "good", (F.col("rank") * F.col("part")).alias("rank"))
-        stop = i % _PIN_EVERY == 0 or i == rounds
-        rows = moved.unionByName(start).withColumn("before", F.lit(0.0))
-        if stop:
-            rows = rows.unionByName(pinned.select("host", "good", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
-        ranks = rows.groupBy("host", "good").agg(F.greatest(F.sum("rank"), F.lit(_LEAST)).alias("rank"), F.sum("before").alias("before"))
-        if stop:
-            ranks = pinned = pin(ranks)
-            if i == rounds or rounds is None and ranks.where(F.col("rank") - F.col("before") > F.col("rank") * tolerance).isEmpty():
-                break
+    ranks = _settled(ways, start, tolerance, cell_edges) if rounds is None else _after_rounds(ways, start, rounds)
     sums = ranks.groupBy().agg(F.sum(F.when(F.col("good"), F.col("rank"))).alias("t"), F.sum(F.when(~F.col("good"), F.col("rank"))).alias("d")).first()
     part = lambda good, of: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("rank"))), F.lit(0.0)) / F.lit(of or 1.0)
     return ranks.groupBy("host").agg(part(True, sums["t"]).alias("trust"), part(False, sums["d"]).alias("distrust"))
