@@ -14,7 +14,8 @@ response with those that a 304 may change replaced.
 Defined cases: revisits with no earlier response, no common validator, or validators that differ, are
 returned with the outcome that says so and without a base; of responses at one time the largest id
 counts; a null time or URL never finds a base and is no base; header names count without case; repeated
-rows are resolved each for itself.
+rows are resolved each for itself, and of responses that repeat an id one is read; a revisit without an id
+is resolved like others, a response without one is no base.
 """
 
 from __future__ import annotations
@@ -42,13 +43,15 @@ def canonical_url(url: Column) -> Column:
 
 
 def latest_response(captures: DataFrame) -> DataFrame:
-    """record_id of each revisit with ``base`` (record_id, etag, last_modified of the response), null if none.
+    """url_key and captured_at of revisits, once each, with ``base`` (record_id, etag, last_modified of the
+    response), null if none: what a revisit looks back on depends on nothing else.
 
     ``captures`` has record_id, url_key, captured_at, kind, etag and last_modified.
     """
     narrow = captures.where(F.col("url_key").isNotNull() & F.col("captured_at").isNotNull()).select(
         "record_id", "url_key", "captured_at", (F.col("kind") == RESPONSE).alias("_full"), "etag", "last_modified"
     )
+    narrow = narrow.where(F.col("record_id").isNotNull() | ~F.col("_full"))
     # at one time revisits come first, so that a response is strictly earlier than what it answers
     tie = F.xxhash64(F.monotonically_increasing_id())
     order = [F.col(c) for c in ("url_key", "captured_at", "_full", "record_id", "_tie")]
@@ -66,7 +69,7 @@ def latest_response(captures: DataFrame) -> DataFrame:
     before = Window.partitionBy("url_key").orderBy("_block", "_when").rowsBetween(Window.unboundedPreceding, -1)
     carried = line.withColumn("_before", F.last("_carry", ignorenulls=True).over(before)).where("_when = 0").select("_block", "url_key", "_before")
     found = seen.where(~F.col("_full")).join(F.broadcast(pin(carried)), ["_block", "url_key"], "left")
-    return found.select("record_id", F.coalesce("_inside", "_before").alias("base"))
+    return found.groupBy("url_key", "captured_at").agg(F.max(F.coalesce("_inside", "_before")).alias("base"))
 
 
 def outcome(base: Column, etag: Column, last_modified: Column) -> Column:
@@ -91,21 +94,21 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
 def resolved_revisits(captures: DataFrame) -> DataFrame:
     """For each revisit: record_id, outcome, base_id, and status, headers and payload of the resolved response.
 
-    ``captures`` has record_id (unique), url, captured_at, kind, status, headers (map) and payload; other
+    ``captures`` has record_id (of one capture, whose row may repeat), url, captured_at, kind, status, headers (map) and payload; other
     columns are left alone.
     """
     header = lambda name: F.element_at(F.map_filter("headers", lambda k, v: F.lower(k) == name), F.lit(name))
     headers = F.transform_keys("headers", lambda k, v: F.lower(k))
     known = captures.select("record_id", "kind", "captured_at", "status", headers.alias("headers"), "payload", canonical_url(F.col("url")).alias("url_key"))
     known = known.withColumns({"etag": header("etag"), "last_modified": header("last-modified")})
-    found = latest_response(known).withColumnRenamed("record_id", "_id")
+    found = latest_response(known)
     asked = known.where(F.col("kind") == REVISIT).select("record_id", "url_key", "captured_at", "headers", "etag", "last_modified")
-    asked = asked.join(found, asked["record_id"] == found["_id"], "left").drop("_id")
+    asked = asked.join(found, ["url_key", "captured_at"], "left")
     asked = asked.withColumn("outcome", outcome(F.col("base"), F.col("etag"), F.col("last_modified")))
     asked = asked.withColumn("base_id", F.when(F.col("outcome") == "resolved", F.col("base.record_id")))
     full = known.where(F.col("kind") == RESPONSE).select(
         F.col("record_id").alias("_base"), F.col("status"), F.col("headers").alias("_headers"), F.col("payload")
-    )
+    ).dropDuplicates(["_base"])
     joined = asked.join(full, asked["base_id"] == full["_base"], "left")
     return joined.select(
         "record_id", "url_key", "captured_at", "outcome", "base_id", "status",

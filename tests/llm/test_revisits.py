@@ -83,3 +83,24 @@ def test_empty_table_and_null_headers(spark):
     assert resolved_revisits(captures(spark, [])).count() == 0
     rows = [(1, "http://a/b", 1, "response", 200, None, "x"), (2, "http://a/b", 2, "revisit", 304, None, None), (3, "http://a/b", 3, None, None, {}, None)]
     assert [(r["record_id"], r["outcome"]) for r in resolved_revisits(captures(spark, rows)).collect()] == [(2, "no_validator")]
+
+
+def test_repeated_rows_are_resolved_each_for_itself(spark):
+    one = (1, "http://a/b", 1, "response", 200, {"ETag": "x"}, "body")
+    two = (2, "http://a/b", 2, "revisit", 304, {"ETag": "x"}, None)
+    for rows, n in (([one, two, two], 2), ([one, one, two], 1), ([one, one, two, two], 2)):
+        found = [(r["record_id"], r["outcome"], r["base_id"], r["payload"]) for r in resolved_revisits(captures(spark, rows)).collect()]
+        assert found == [(2, "resolved", 1, "body")] * n
+    # without ids: a revisit is resolved, a response is no base
+    bare = [one, (None, *one[1:2], 3, *one[3:]), (None, *two[1:]), (None, two[1], 5, *two[3:])]
+    found = resolved_revisits(captures(spark, bare)).collect()
+    assert [(r["record_id"], r["outcome"], r["base_id"]) for r in found] == [(None, "resolved", 1)] * 2
+
+
+def test_pages_given_twice_have_twice_the_rows(spark):
+    from ledgerlark.llm.catalog import page_captures
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20)
+    once = sorted(str(tuple(r)) for r in resolved_revisits(page_captures(pages)).drop("headers").collect())
+    twice = sorted(str(tuple(r)) for r in resolved_revisits(page_captures(pages.unionByName(pages))).drop("headers").collect())
+    assert len(once) == 40 and twice == sorted(once * 2)
