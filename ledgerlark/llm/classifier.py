@@ -119,13 +119,13 @@ def _raw_scores(rows: DataFrame, features: Features, weights: np.ndarray, extra:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, count: int = 192, width: float = 3.0, ridge: float = 1e-3) -> DataFrame:
-    """doc_id, held_out, score and predicted for each document; ``labels.quality`` is what is learned.
+    """doc_id, held_out, score, predicted and text_key for each document; ``labels.quality`` is what is learned.
 
     Rows whose id has a CRC-32 divisible by 5 teach nothing; remainder 1 calibrates, the others fit.
     """
     counted = stored(text_statistics(docs), "statistics")
-    rows = counted.select("doc_id", (id_crc() % FOLDS).alias("fold"), *[c.alias(n) for n, c in shares().items()])
-    known = pin(rows.where(F.col("fold") != HELD_OUT).join(one_label(labels, "quality"), "doc_id").drop("doc_id"))
+    rows = counted.select("doc_id", "text_key", (id_crc() % FOLDS).alias("fold"), *[c.alias(n) for n, c in shares().items()])
+    known = pin(rows.where(F.col("fold") != HELD_OUT).join(one_label(labels, "quality"), "doc_id").drop("doc_id", "text_key"))
     fit, later = known.where(F.col("fold") != CALIBRATION_FOLD), known.where(F.col("fold") == CALIBRATION_FOLD)
     spread = fit.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share"), *[f(n).alias(f"{k}_{n}") for n in STATISTICS for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     share = 0.5 if not spread["n"] else spread["share"]
@@ -140,12 +140,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, count: int = 192, width:
         found = [(r["raw"], float(r["ones"]), float(r["n"])) for r in sorted(steps.collect(), key=lambda r: r["step"])]
         model = (features, weights, isotonic(found)) if found else None
     if model is None:
-        scored = rows.select("doc_id", "fold", F.lit(float(share)).alias("score"))
+        scored = rows.select("doc_id", "text_key", "fold", F.lit(float(share)).alias("score"))
     else:
         features, weights, calibration = model
-        raw = _raw_scores(rows, features, weights, ["doc_id", "fold"])
-        scored = raw.select("doc_id", "fold", _interpolated(F.col("raw"), calibration).alias("score"))
-    return scored.select("doc_id", held, "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+        raw = _raw_scores(rows, features, weights, ["doc_id", "text_key", "fold"])
+        scored = raw.select("doc_id", "text_key", "fold", _interpolated(F.col("raw"), calibration).alias("score"))
+    return scored.select("doc_id", held, "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "text_key")
 
 
 def _interpolated(raw, calibration: Calibration):

@@ -178,5 +178,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[R
     known = pin(known.select(*STEPS, (id_crc() % 3 == 0).alias("pruning"), (F.col("label") == 0).cast("int").alias("reject")))
     rules = learn_rules(known)
     return derived.withColumn("rule", F.when(~F.col("base_failed"), decision(rules))).select(
-        "doc_id", *BASE_COLUMNS, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule",
+        "doc_id", *BASE_COLUMNS, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule", "text_key",
     ), rules

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import classifier, decontamination, minhash, packing, rules
-from ledgerlark.llm.tables import table
+from ledgerlark.llm.tables import table, text_key
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose id has a row in ``verdicts``; null counts as an id of its own."""
-    ids = verdicts.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+    """Rows whose id and text have a row in ``verdicts`` (doc_id, text_key); null counts as an id of its own."""
+    keys = verdicts.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
+    same = docs["doc_id"].cast("bigint").eqNullSafe(keys["_kept_id"]) & (text_key(docs["text"]) == keys["_kept_key"])
+    return docs.join(keys, same, "left_semi")
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,16 @@ def keep_by_score(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return _kept(docs, minhash.near_duplicates(docs).where("kept"))
+    """The document with the smallest id of each group of near duplicates, once if its row repeats.
+
+    A row repeats another if id and text are equal; which of such rows stays is open. Rows without an id are
+    linked with nothing, so of them only repeats go.
+    """
+    ids = minhash.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    ids = ids.select(F.col("doc_id").alias("_kept_id"), "_rows")
+    found = docs.join(ids, docs["doc_id"].cast("bigint").eqNullSafe(ids["_kept_id"])).drop("_kept_id")
+    once, often = found.where("_rows = 1"), found.where("_rows > 1").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(often).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

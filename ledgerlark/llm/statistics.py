@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.tables import text_key
 from ledgerlark.llm.words import chain, compact, run_hashes, slices, split_words
 
 _CLASSES = {"n_symbols": "#*$%&|<>", "n_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "n_digits": "0123456789", "n_marks": "!?.,;:"}
@@ -89,15 +90,18 @@ def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``COUNTS`` for each row of ``docs``; reads only doc_id and text, moves no row."""
+    """doc_id, text_key and ``COUNTS`` for each row of ``docs``; reads only doc_id and text, moves no row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = count_texts(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text_key"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["doc_id", "text_key", *COUNTS]
+            )
 
-    schema = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS)])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+    schema = ", ".join(["doc_id bigint", "text_key bigint", *(f"{c} bigint" for c in COUNTS)])
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
+    return read.mapInArrow(count, schema)
 
 
 #: Names of ``shares``.

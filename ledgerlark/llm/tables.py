@@ -30,3 +30,8 @@ def id_crc(column: str = "doc_id") -> Column:
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; one light pass that sizes groups of rows by data volume."""
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+
+
+def text_key(text: Column) -> Column:
+    """64-bit hash that names a text among the rows of one id; null and empty texts differ."""
+    return F.xxhash64(text.cast("string"), text.isNull())

@@ -4,10 +4,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlark.llm import catalog, classifier, minhash, rules
+from ledgerlark.llm import catalog, classifier, minhash, rules, stages
 from ledgerlark.llm.decontamination import find_passages
+from ledgerlark.llm.tables import text_key
 from tests.llm.helpers import ODD, SMALL, documents
 from tests.llm.test_packing import check
 
@@ -40,6 +42,23 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path):
     assert sorted(map(tuple, whole)) == sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
 
 
+def test_rows_are_judged_and_not_ids(spark):
+    good, other = (spark.read.parquet(f"{SMALL}/documents.parquet").where(F.length("text") > 900).select("text").limit(2).collect())
+    bad = "bad " * 200
+    rows = [(1, good[0]), (1, bad), (None, bad), (None, other[0]), (None, None), (2, good[0]), (2, good[0]), (2, good[0])]
+    by_rules = stages.keep_by_rules(spark, documents(spark, rows), SMALL)
+    left = sorted(((r["doc_id"], r["text"]) for r in by_rules.collect()), key=str)
+    assert left and not {t for _, t in left} & {bad, None} and by_rules.columns == documents(spark, rows).columns
+    by_score = stages.keep_by_score(spark, documents(spark, rows), SMALL)
+    scores = {(r["doc_id"], r["text_key"]): r["predicted"] for r in classifier.quality_scores(documents(spark, rows), spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
+    keyed = [(r["doc_id"], r["text"], r["k"]) for r in documents(spark, rows).withColumn("k", text_key(F.col("text"))).collect()]
+    wanted = sorted(((i, t) for i, t, k in keyed if scores[i, k] == 1), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in by_score.collect()), key=str) == wanted
+    repeated = [(5, good[0]), (5, good[0]), (5, good[0]), (6, good[0]), (7, other[0]), (None, "a b"), (None, "a b"), (None, "c d"), (None, None), (None, None)]
+    one = stages.keep_one_of_each_group(spark, documents(spark, repeated), SMALL)
+    assert sorted(((r["doc_id"], r["text"]) for r in one.collect()), key=str) == sorted([(5, good[0]), (7, other[0]), (None, "a b"), (None, "c d"), (None, None)], key=str)
+
+
 @pytest.mark.parametrize("rows", [[], ODD], ids=["empty", "odd"])
 def test_stages_stand_odd_documents(spark, rows):
     for name, stage in corpus_pipeline.STAGES:
