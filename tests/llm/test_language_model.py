@@ -102,3 +102,52 @@ def test_packed_columns_come_back():
 def test_blocks_keep_documents_apart():
     block = Block.of(pa.array(["a b", None, "a"]))
     assert block.doc.tolist() == [0, 0, 0, 1, 2, 2] and len(block.pairs) == 5  # begin a, a b, b end, begin end, a end
+
+
+def test_weights_from_cells_lose_next_to_nothing_against_plain_em():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    by_fold = collections.defaultdict(list)
+    for row in table:
+        own = tokens(row["text"])
+        by_fold[min(fold(row["doc_id"]), 2)] += list(zip(["<begin>", *own[:-1]], own))
+
+    def counted(pairs):
+        return collections.Counter(w for _, w in pairs), collections.Counter(pairs), collections.Counter(v for v, _ in pairs)
+
+    def level(c):  # 0 unseen, 1 for one, 2 for two or three, 3 for four to seven, ...
+        return min(int(c).bit_length(), CONTEXT_LEVELS - 1)
+
+    uni, pairs, contexts = counted(by_fold[2])
+    total, flat = sum(uni.values()), 1 / (len(uni) + 1)
+    events = [(level(contexts[v]), pairs[v, w] / max(contexts[v], 1), uni[w] / total) for v, w in by_fold[1]]
+
+    def climb(rows, start, prior):
+        weights, parts = np.array(start), np.array([(a, b, flat) for _, a, b in rows])
+        for _ in range(100):
+            shares = parts * weights
+            weights = (shares / shares.sum(1, keepdims=True)).sum(0) + prior
+            weights /= weights.sum()
+        return weights
+
+    everything = climb(events, [1 / 3] * 3, np.ones(3))
+    plain = {k: climb([e for e in events if e[0] == k], everything, everything * 10) for k in {e[0] for e in events}}
+    cells = collections.Counter((k, int(_cell(np.array([a]))[0]), int(_cell(np.array([b]))[0])) for k, a, b in events)
+    fitted = fit_weights(np.array([(*k, n) for k, n in sorted(cells.items())], np.int64), len(uni))
+    for k, own in plain.items():
+        if k:
+            assert fitted[k] == pytest.approx(own, abs=0.01)
+    uni, pairs, contexts = counted(by_fold[2] + by_fold[1])
+    total, flat = sum(uni.values()), 1 / (len(uni) + 1)
+
+    def held_out(weights):
+        out = 0.0
+        for v, w in by_fold[0]:
+            a, b, c = weights(level(contexts[v]))
+            out += math.log10(a * pairs[v, w] / max(contexts[v], 1) + b * uni[w] / total + c * flat)
+        return out / len(by_fold[0])
+
+    unseen = np.array([0, *(everything[1:] / everything[1:].sum())])
+    exact, rounded = held_out(lambda k: plain.get(k, everything) if k else unseen), held_out(lambda k: fitted[k] if k else unseen)
+    assert abs(exact - rounded) < 1e-3
