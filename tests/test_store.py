@@ -104,3 +104,12 @@ def test_later_rows_get_all_training_rows(spark):
     got = {r["id"]: r["a__o1"] for r in O.settled_statistics(new, ("a",), sums, 0.3).collect()}
     own = lambda v: [y for _, a, _, y in drawn(80) if a == v]
     assert got == {1: pytest.approx((sum(own("x")) + 0.3) / (len(own("x")) + 1)), 2: pytest.approx((sum(own(None)) + 0.3) / (len(own(None)) + 1)), 3: pytest.approx(0.3)}
+
+
+def test_a_row_is_cut_into_pieces_once_per_order_whatever_the_columns(spark, monkeypatch):
+    cut = []
+    in_pieces = O.skew.in_pieces
+    monkeypatch.setattr(O.skew, "in_pieces", lambda df, *a, **k: cut.append(df.count()) or in_pieces(df, *a, **k))
+    train = spark.createDataFrame(drawn(30), "id bigint, a string, b string, y int")
+    assert O.ordered_statistics(train, ("a", "b"), "y", "id", 0.3, (0, 4), 2.0, 7).count() == 30
+    assert cut == [60]
