@@ -131,3 +131,9 @@ def test_no_level_stands_in_the_plan(spark, table, features):
     plan = T.build_pipeline(table, features, T.Model("logreg", "logreg", {"maxIter": 3, "C": 1.0}), known).getStages()
     assert [type(s).__name__ for s in plan][:2] == ["SQLTransformer", "LevelEncoder"]
     assert not any(v in plan[0].getStatement() for v in known.levels.names[features.text[0]] if v)
+
+
+def test_forest_keeps_the_nodes_of_rows_between_passes(features):
+    forest = T.classifier(features, T.Model("random_forest", "forest", T.FOREST), lambda: 1)
+    assert forest.getCacheNodeIds()
+    assert {p: forest.getOrDefault(p) for p in T.FOREST} == T.FOREST
