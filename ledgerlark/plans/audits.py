@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from ledgerlark.operators import overlap, splits
 from ledgerlark.operators.drift import drift_grade
 from ledgerlark.operators.history import Entity, LabelRate, Roles, add_history, label_prior, with_label_rates
-from ledgerlark.operators.metrics import Budget, budget_rows, core_metrics
+from ledgerlark.operators.metrics import Budget, budget_rows, core_from_curve, core_metrics, score_curve
 from ledgerlark.operators.ordered import number_rows
 from ledgerlark.plans.scoring import slot_groups
-from ledgerlark.plans.training import Features, Model, fit, predict
+from ledgerlark.plans.training import Features, Model, build_store, fit, fit_stored, predict, vector_of
 from ledgerlark.plans.tree_index import TreeIndex, encoded, is_tree_model
 from ledgerlark.session import pin
 
@@ -27,16 +28,28 @@ def _parts(table: DataFrame, f: Features) -> tuple[DataFrame, DataFrame]:
 
 
 def _result(scored: DataFrame, f: Features, case: str) -> tuple:
-    core = core_metrics(scored, f.label, "score").first()
-    top = budget_rows(scored, f.label, "score", (f.ts, f.id), [Budget("percentile", 0.01)])[0]
+    curve = pin(score_curve(scored, f.label, "score"))
+    core = core_from_curve(curve).first()
+    top = budget_rows(scored, f.label, "score", (f.ts, f.id), [Budget("percentile", 0.01)], curve=curve)[0]
     return case, len(f.names), core["pr_auc"], core["roc_auc"], top["recall"], top["precision"]
 
 
-def _fit_and_test(table: DataFrame, f: Features, model: Model, case: str) -> tuple:
-    train, test = _parts(table, f)
-    # scores are pinned because the curve and the budget both read them
-    scored = pin(predict(fit(train, f, model), test).select(f.id, f.ts, f.label, "score"))
-    return _result(scored, f, case)
+def _fit_and_test(table: DataFrame, variants: Mapping[str, Features], model: Model) -> list[tuple]:
+    """The result of each case. Rows are encoded once for all of them; a case is fitted on a slice of the vectors."""
+    f = next(iter(variants.values()))
+    everything = replace(
+        f,
+        numeric=tuple(dict.fromkeys(c for v in variants.values() for c in v.numeric)),
+        text=tuple(dict.fromkeys(c for v in variants.values() for c in v.text)),
+    )
+    store = build_store(table.where(F.col(f.split).isin("train", "test")), everything, (vector_of(model),))
+    test = store.rows.where(F.col(f.split) == "test")
+    out = []
+    for case, v in variants.items():
+        # scores are pinned because the curve and the budget both read them
+        scored = pin(predict(fit_stored(store, v, model), test).select(f.id, f.ts, f.label, "score"))
+        out.append(_result(scored, v, case))
+    return out
 
 
 def lag_sensitivity(base: DataFrame, f: Features, entities: Sequence[Entity], roles: Roles, model: Model,
@@ -46,19 +59,17 @@ def lag_sensitivity(base: DataFrame, f: Features, entities: Sequence[Entity], ro
     rated = [e for e in with_label_rates(entities, rates) if e.rates]
     bare = [Entity(e.name, e.key, rates=e.rates) for e in rated]
     table = pin(add_history(base, bare, roles, label_prior(base, roles.label, "train")))
-    out = []
+    variants = {}
     for d in lags:
         mine = tuple(f"{e.name}_{n}_lag{d}" for e in bare for n in ("fraud_rate_smoothed", "label_n"))
-        fs = Features(f.numeric + mine, f.text, f.label, f.id, f.ts, f.split)
-        out.append(_fit_and_test(table, fs, model, f"lag_{d}d"))
-    return base.sparkSession.createDataFrame(out, RESULT)
+        variants[f"lag_{d}d"] = Features(f.numeric + mine, f.text, f.label, f.id, f.ts, f.split)
+    return base.sparkSession.createDataFrame(_fit_and_test(table, variants, model), RESULT)
 
 
 def rate_ablation(table: DataFrame, f: Features, model: Model) -> DataFrame:
     """With and without the label-rate features, and the difference."""
     rate = [c for c in f.names if "fraud_rate" in c or c.endswith("_label_n")]
-    a = _fit_and_test(table, f, model, "with_rates")
-    b = _fit_and_test(table, f.without(rate), model, "without_rates")
+    a, b = _fit_and_test(table, {"with_rates": f, "without_rates": f.without(rate)}, model)
     delta = ("difference", a[1] - b[1], *[x - y for x, y in zip(a[2:], b[2:])])
     return table.sparkSession.createDataFrame([a, b, delta], RESULT)
 
@@ -70,7 +81,9 @@ def permutation_test(base: DataFrame, f: Features, entities: Sequence[Entity], r
     mixed = splits.reshuffle(base, [roles.label], roles.ts, roles.id, seed, F.col(f.split) != "test")
     rated = [Entity(e.name, e.key, rates=e.rates) for e in entities if e.rates]
     table = pin(add_history(mixed, rated, roles, label_prior(mixed, roles.label, "train")))
-    got = _fit_and_test(table, f, model, "permuted")
+    train, test = _parts(table, f)
+    scored = pin(predict(fit(train, f, model), test).select(f.id, f.ts, f.label, "score"))
+    got = _result(scored, f, "permuted")
     real = table.where(F.col(f.split) == "test").agg(F.avg(f.label)).first()[0]
     rows = [got, ("base_rate", len(f.names), real, 0.5, None, None)]
     return base.sparkSession.createDataFrame(rows, RESULT)

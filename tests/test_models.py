@@ -137,3 +137,17 @@ def test_forest_keeps_the_nodes_of_rows_between_passes(features):
     forest = T.classifier(features, T.Model("random_forest", "forest", T.FOREST), lambda: 1)
     assert forest.getCacheNodeIds()
     assert {p: forest.getOrDefault(p) for p in T.FOREST} == T.FOREST
+
+
+def test_cases_of_an_audit_share_one_encoding(table, features, monkeypatch):
+    fits = []
+    fit_encoders = T.fit_encoders
+    monkeypatch.setattr(T, "fit_encoders", lambda *a: fits.append(a) or fit_encoders(*a))
+    got = audits.rate_ablation(table, features, TINY).collect()
+    assert len(fits) == 1
+    monkeypatch.undo()
+    part = features.without([c for c in features.names if "fraud_rate" in c or c.endswith("_label_n")])
+    train, test = table.where("split = 'train'"), table.where("split = 'test'")
+    for row, f in zip(got, (features, part)):
+        alone = audits._result(T.predict(T.fit(train, f, TINY), test), f, row.case)
+        assert tuple(row) == pytest.approx(alone)
