@@ -165,7 +165,14 @@ def out_of_fold(table: DataFrame, f: Features, model: Model, shares: Sequence[fl
     The first fold has nothing before it and keeps score 0, so it never enters the candidate pool.
     """
     train, _ = _parts(table, f)
-    folds = pin(splits.time_folds(train, f.ts, f.id, shares))
+    # (time, id) alone is numbered; full rows find their fold by the last place of each
+    place = F.struct(f.ts, f.id)
+    narrow = splits.time_folds(train.select(f.ts, f.id), f.ts, f.id, shares)
+    ends = narrow.agg(*[F.max(F.when(F.col("fold") == i, place)).alias(f"_end{i}") for i in range(len(shares))])  # one row
+    fold = F.lit(None).cast("int")
+    for i in reversed(range(len(shares))):
+        fold = F.when(place <= F.col(f"_end{i}"), i).otherwise(fold)
+    folds = pin(train.crossJoin(F.broadcast(ends)).withColumn("fold", fold).drop(*[f"_end{i}" for i in range(len(shares))]))
     out = folds.where("fold = 0").withColumn("score", F.lit(0.0))
     for i in range(1, len(shares)):
         fitted = fit(folds.where(F.col("fold") < i), f, model)
@@ -175,8 +182,11 @@ def out_of_fold(table: DataFrame, f: Features, model: Model, shares: Sequence[fl
 
 def _top_share(df: DataFrame, f: Features, k: int) -> DataFrame:
     """Exactly the k best rows by score, earliest first on ties, without collecting them."""
-    placed = number_rows(df, [F.col("score").desc(), f.ts, f.id], "_place")
-    return placed.where(F.col("_place") <= k).drop("_place")
+    placed = number_rows(df.select("score", f.ts, f.id), [F.col("score").desc(), f.ts, f.id], "_place")
+    # one row, the last that is in; full rows are compared with it and not sorted
+    last = F.broadcast(placed.where(F.col("_place") == k).select(F.col("score").alias("_score"), F.struct(f.ts, f.id).alias("_last")))
+    inside = (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.struct(f.ts, f.id) <= F.col("_last")))
+    return df.crossJoin(last).where(inside).drop("_score", "_last")
 
 
 def cascade(table: DataFrame, f: Features, model: Model, share: float = 0.05) -> DataFrame:
@@ -188,8 +198,8 @@ def cascade(table: DataFrame, f: Features, model: Model, share: float = 0.05) ->
     first = pin(predict(fit(train, f, model), test))
     chosen = _top_share(first, f, int(share * first.count())).drop("score")
     again = predict(second, chosen, "second").select(F.col(f.id).alias("_id"), "second")
-    both = first.join(again, F.col(f.id) == F.col("_id"), "left").drop("_id")
-    both = pin(both.select(f.id, f.ts, f.label, "score", "second"))
+    narrow = first.select(f.id, f.ts, f.label, "score")
+    both = pin(narrow.join(again, F.col(f.id) == F.col("_id"), "left").drop("_id"))
     single = _result(both, f, "single")
     two = _result(both.withColumn("score", F.coalesce("second", "score")), f, "cascade")
     return table.sparkSession.createDataFrame([single, two], RESULT)

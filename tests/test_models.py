@@ -151,3 +151,24 @@ def test_cases_of_an_audit_share_one_encoding(table, features, monkeypatch):
     for row, f in zip(got, (features, part)):
         alone = audits._result(T.predict(T.fit(train, f, TINY), test), f, row.case)
         assert tuple(row) == pytest.approx(alone)
+
+
+def test_folds_and_top_rows_number_narrow_rows(spark, monkeypatch):
+    widths = []
+    for module in (audits, audits.splits):
+        number_rows = module.number_rows
+        monkeypatch.setattr(module, "number_rows", lambda df, *a, _f=number_rows: widths.append(len(df.columns)) or _f(df, *a))
+    monkeypatch.setattr(audits, "fit", lambda *a: None)
+    monkeypatch.setattr(audits, "predict", lambda model, df: df.withColumn("score", F.lit(0.5)))
+    rows = [(i, 100 - i // 2, "train", i % 2, float(i % 5), "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "tx_id bigint, ts bigint, split string, label int, a double, b string")
+    f = T.Features(("a",), ("b",))
+    oof = audits.out_of_fold(df, f, TINY).collect()
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert {r.tx_id: r.fold for r in oof} == {r[0]: i // 10 for i, r in enumerate(order)}
+    scored = df.withColumn("score", F.col("a"))
+    best = sorted(rows, key=lambda r: (-r[4], r[1], r[0]))
+    for k in (0, 1, 11, 40):
+        got = audits._top_share(scored, f, k)
+        assert got.columns == scored.columns and {r.tx_id for r in got.collect()} == {r[0] for r in best[:k]}
+    assert max(widths) <= 3
