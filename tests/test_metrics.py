@@ -86,3 +86,26 @@ def test_splits(spark):
 def test_null_scores_are_refused(spark):
     with pytest.raises(ValueError, match="1 rows have no score"):
         M.budget_rows(frame(spark, [(1, 0.5), (0, 0.1)]).withColumn("s", F.when(F.col("y") == 1, F.col("s"))), "y", "s", ("id",), [M.Budget("percentile", 0.5)])
+
+
+def test_quantiles_of_larger_tables_sort_only_what_is_between_bounds(spark, monkeypatch):
+    i = F.col("id")
+    df = spark.range(120_000).select(
+        (F.xxhash64(i) / 1e15).alias("a"), (i % 7).cast("int").alias("b"), F.when(i % 3 == 0, i).alias("c"), F.lit(0).alias("d"), F.when(i % 2 == 0, -1.5).otherwise(2.5).alias("e"),
+    )
+    names, probs = df.columns, [0.25, 0.5, 0.99]
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    wanted = sorted(map(tuple, O.group_percentiles(doubles.unpivot([], names, "feature", "v"), "feature", "v", probs).collect()))
+
+    def whole(*_, **__):
+        raise AssertionError("all values of a column were sorted")
+
+    monkeypatch.setattr(O, "group_percentiles", whole)
+    assert sorted(map(tuple, O.exact_percentiles(df, names, probs).collect())) == wanted
+
+
+def test_quantiles_outside_their_bounds_are_taken_from_all_values(spark, monkeypatch):
+    df = spark.range(1_000).select(F.col("id").cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    monkeypatch.setattr(O, "_bounds", lambda *_: {("a", 0.5): (100.0, 200.0), ("a", 0.25): (200.0, 300.0)})
+    got = {(r["feature"], r["prob"]): r["value"] for r in O.exact_percentiles(df, ["a", "b"], [0.25, 0.5]).collect()}
+    assert got == {("a", 0.25): 249.75, ("a", 0.5): 499.5}
