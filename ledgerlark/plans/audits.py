@@ -122,8 +122,8 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, f: Features, m
                            sample: int | None = None, top: int | None = None, seed: int = 0) -> DataFrame:
     """Mean loss of the metric when one feature is shuffled; of all rows and features unless limited.
 
-    All features share one seeded pairing of rows per repeat. A tree model scores each row for all features
-    in place (``plans.tree_index``), and only (feature, label, score) go on to the metric; other models score
+    All features share one seeded pairing of rows per repeat. A tree model scores each row for all features that
+    its trees test in place (``plans.tree_index``), and only (feature, label, score) go on to the metric; other models score
     a copy of the row for each feature.
     """
     narrow = rows.select(f.id, f.label, *f.names)
@@ -139,19 +139,29 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, f: Features, m
         donors = number_rows(given, ["_h", f.id], "_rn").select("_rn", *[F.col(c).alias(f"_d_{c}") for c in carried])
         part = takers.join(donors, "_rn").withColumn("_repeat", F.lit(r))
         shuffled = part if shuffled is None else shuffled.unionByName(part)
+    names = list(f.names)
     if trees:
-        index = TreeIndex.of(rows.sparkSession, model.stages[-1], slot_groups(model, f))
+        groups = slot_groups(model, f)
+        index = TreeIndex.of(rows.sparkSession, model.stages[-1], groups)
+        # a feature that no tree tests leaves every score as it is: its loss is 0 and its rows are not made
+        at = [i for i, tested in enumerate(index.tested()) if tested]
+        names = [f.names[i] for i in at]
+        index = replace(index, groups=tuple(tuple(groups[i]) for i in at))
         swapped = shuffled.select("_repeat", f.label, index.rescored("features", vector_to_array("_d_features")).alias("_again"))
         long = swapped.select("_repeat", f.label, F.posexplode("_again").alias("_at", "score"))
-        scored = long.withColumn("feature", F.element_at(F.array(*[F.lit(c) for c in f.names]), F.col("_at") + 1))
+        # rows are folded by the number of the feature; its name comes after the fold
+        scores = core_metrics(long, f.label, "score", ["_at", "_repeat"])
+        scores = scores.withColumn("feature", F.element_at(F.array(*[F.lit(c) for c in names]).cast("array<string>"), F.col("_at") + 1))
     else:
         each = shuffled.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in f.names])))
         scored = predict(model, each.select(
             "feature", "_repeat", f.label,
             *[F.when(F.col("feature") == c, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in f.names],
         ))
-    scores = core_metrics(scored, f.label, "score", ["feature", "_repeat"])
+        scores = core_metrics(scored, f.label, "score", ["feature", "_repeat"])
     loss = scores.groupBy("feature").agg(F.avg(F.lit(float(base)) - F.col(metric)).alias("importance"))
+    if len(names) < len(f.names):
+        loss = loss.unionByName(rows.sparkSession.createDataFrame([(c, 0.0) for c in f.names if c not in names], "feature string, importance double"))
     ranked = loss.orderBy(F.col("importance").desc(), "feature")
     return ranked if top is None else ranked.limit(top)
 

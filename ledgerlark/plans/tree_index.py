@@ -91,6 +91,11 @@ class TreeIndex:
         weights = np.array(model.treeWeights) if boosted else np.full(len(trees), 1 / len(trees))
         return cls(trees, weights, boosted, tuple(tuple(g) for g in groups))
 
+    def tested(self) -> list[bool]:
+        """Whether any tree tests a slot of each group."""
+        used = {int(i) for tree in self.trees for i in tree.feature if i >= 0}
+        return [not used.isdisjoint(slots) for slots in self.groups]
+
     def rescored(self, name: str, other: Column | None = None, neutral: Sequence[float] | None = None) -> Column:
         """Array of the scores of a row, one per group, with the values of the group taken from ``other`` or ``neutral``."""
         trees, weights, boosted, groups = self.trees, self.weights, self.boosted, self.groups
@@ -117,9 +122,11 @@ class TreeIndex:
             leaves *= weights
             # sums are taken over all trees in one order, so that rows with the same leaves keep the same score
             out = np.repeat(leaves.sum(1)[:, None], len(groups), 1)
+            changed = x.copy()
             for g, slots in enumerate(groups):
+                if not tests[g]:
+                    continue
                 slots = list(slots)
-                changed = x.copy()
                 changed[:, slots] = given[:, slots]
                 own, touched = leaves.copy(), np.zeros(len(x), bool)
                 for t in tests[g]:
@@ -128,6 +135,7 @@ class TreeIndex:
                         own[rows_met, t] = weights[t] * trees[t].walk(changed[rows_met])[0]
                         touched[rows_met] = True
                 out[touched, g] = own[touched].sum(1)
+                changed[:, slots] = x[:, slots]
             return pd.Series(list(probability(out)))
 
         if fixed is None:

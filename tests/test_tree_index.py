@@ -6,6 +6,7 @@ from ledgerlark.catalog import model_queries as Q
 from ledgerlark.operators.metrics import core_metrics
 from ledgerlark.plans import audits, scoring
 from ledgerlark.plans import training as T
+from ledgerlark.plans.tree_index import TreeIndex
 from ledgerlark.session import pin
 
 MODELS = {
@@ -63,3 +64,19 @@ def test_swapped_scores_equal_full_rescoring(table):
         swapped = test.join(pairs, test["tx_id"] == pairs["_i"]).withColumn(c, F.col("_v")).drop("_i", "_v")
         loss = base - core_metrics(T.predict(model, swapped), f.label, "score").first()["pr_auc"]
         assert found[c] == pytest.approx(loss, abs=1e-9)
+
+
+def test_only_features_that_a_tree_tests_are_swapped(table, monkeypatch):
+    f, train, test = Q.features_of(table, True), table.where("split = 'train'"), table.where("split = 'test'")
+    model = T.fit(train, f, T.Model("hist_gbm", "boosted", {"maxIter": 2, "maxDepth": 2, "seed": 1}))
+    sizes, rescored = [], TreeIndex.rescored
+
+    def counted(self, *args, **kw):
+        sizes.append(len(self.groups))
+        return rescored(self, *args, **kw)
+
+    monkeypatch.setattr(TreeIndex, "rescored", counted)
+    found = {r["feature"]: r["importance"] for r in audits.permutation_importance(model, test, f, repeats=1).collect()}
+    trees = TreeIndex.of(test.sparkSession, model.stages[-1], scoring.slot_groups(model, f))
+    assert sizes == [sum(trees.tested())] and sizes[0] <= 6
+    assert set(found) == set(f.names) and all(found[c] == 0.0 for c, tested in zip(f.names, trees.tested()) if not tested)
