@@ -93,8 +93,8 @@ def _tallies(e: Entity) -> dict[str, Column]:
     return out
 
 
-def slice_totals(events: DataFrame, e: Entity) -> DataFrame:
-    """Sums, extremes and the spread of amounts for each (key, slice)."""
+def slice_totals(events: DataFrame, e: Entity, also: Sequence[Column] = ()) -> DataFrame:
+    """Sums, extremes and the spread of amounts for each (key, slice), and what else is asked for."""
     arrived = F.col("_e_kind") == ARRIVE
     amount, us = F.when(arrived, F.col("_e_amount")), F.when(arrived, F.col("_e_us"))
     return events.groupBy("_e_key", "_e_slice").agg(
@@ -104,6 +104,7 @@ def slice_totals(events: DataFrame, e: Entity) -> DataFrame:
         F.max(amount).alias("s_max"),
         F.coalesce(F.sum(amount), F.lit(0.0)).alias("s_sum"),
         F.coalesce(F.var_pop(amount) * F.count(amount), F.lit(0.0)).alias("s_spread"),
+        *also,
     )
 
 
@@ -115,9 +116,14 @@ def _centred(per_slice: DataFrame) -> DataFrame:
     return per_slice.withColumn("_centre", centre).withColumn("_off", off)
 
 
-def carry_in(per_slice: DataFrame, e: Entity) -> DataFrame:
-    """Totals of all earlier slices for each slice of a key (a key has span / width slices at most)."""
+def carry_in(per_slice: DataFrame, e: Entity, strict: bool = False) -> DataFrame:
+    """Totals of all earlier slices for each slice of a key (a key has span / width slices at most).
+
+    With ``strict`` also those of the earlier events that are strictly older than the slice's first time, from
+    its first and last time and the sums over its events at the last one (``t_``).
+    """
     earlier = Window.partitionBy("_e_key").orderBy("_e_slice").rowsBetween(_UNBOUNDED, -1)
+    centred = _centred(per_slice)
 
     def total(c: Column | str) -> Column:
         return F.sum(c).over(earlier)
@@ -125,7 +131,9 @@ def carry_in(per_slice: DataFrame, e: Entity) -> DataFrame:
     n = total("s_n")
     spread = total(F.col("s_spread") + F.col("s_n") * F.col("_off") * F.col("_off"))
     shift = total(F.col("s_n") * F.col("_off"))
-    return _centred(per_slice).select(
+    if strict:
+        centred = _with_runs(centred, e)
+    return centred.select(
         F.col("_e_key").alias("_c_key"),
         F.col("_e_slice").alias("_c_slice"),
         *[total(f"s_{name}").alias(f"_c_{name}") for name in _tallies(e)],
@@ -134,6 +142,7 @@ def carry_in(per_slice: DataFrame, e: Entity) -> DataFrame:
         F.max("s_max").over(earlier).alias("_c_max"),
         total("s_sum").alias("_c_sum"),
         F.when(n > 0, spread - shift * shift / n).alias("_c_spread"),
+        *(_strict_totals(e) if strict else ()),
     )
 
 
@@ -150,23 +159,25 @@ def merge_totals(per_slice: DataFrame, e: Entity) -> DataFrame:
     )
 
 
-def strict_carry(pieces: DataFrame, e: Entity) -> DataFrame:
-    """Per piece of a key: its first time, and the totals of all earlier events that are strictly older than that.
+def _with_runs(pieces: DataFrame, e: Entity) -> DataFrame:
+    """Add ``_run_``: sums at the last time of a piece, over it and the pieces before that end at the same time.
 
-    ``pieces`` has the first and last time of each piece and sums over its events at the last one (``t_``).
     A run of equal times may span pieces: the earlier ones end at that time and the sums over their last
     time are its part there, so the run up to a border is a running sum over pieces that end at one time.
     """
-    names = timed_tallies(e)
     upto = Window.partitionBy("_e_key", "_last").orderBy("_e_slice").rowsBetween(_UNBOUNDED, 0)
-    runs = pieces.withColumns({f"_run_{n}": F.sum(f"t_{n}").over(upto) for n in names})
+    return pieces.withColumns({f"_run_{n}": F.sum(f"t_{n}").over(upto) for n in timed_tallies(e)})
+
+
+def _strict_totals(e: Entity) -> list[Column]:
+    """The first time of a piece, and the totals of all earlier events that are strictly older than that."""
     order = Window.partitionBy("_e_key").orderBy("_e_slice")
     earlier = order.rowsBetween(_UNBOUNDED, -1)
     goes_on = F.lag("_last").over(order) == F.col("_begin")
-    return runs.select(
-        F.col("_e_key").alias("_s_key"), F.col("_e_slice").alias("_s_slice"), F.col("_begin").alias("_c_begin"),
-        *[(F.sum(f"s_{n}").over(earlier) - F.when(goes_on, F.lag(f"_run_{n}").over(order)).otherwise(F.lit(0))).alias(f"_s_{n}") for n in names],
-    )
+    return [
+        F.col("_begin").alias("_c_begin"),
+        *[(F.sum(f"s_{n}").over(earlier) - F.when(goes_on, F.lag(f"_run_{n}").over(order)).otherwise(F.lit(0))).alias(f"_s_{n}") for n in timed_tallies(e)],
+    ]
 
 
 def timed_tallies(e: Entity) -> list[str]:
@@ -252,13 +263,12 @@ def piecewise_statistics(rows: DataFrame, e: Entity, roles: Roles, block_rows: i
     events = pieces_of(rows, e, roles, block_rows).repartition("_e_key", "_e_slice")
     ended = events.withColumn("_last", F.max("_e_us").over(Window.partitionBy("_e_key", "_e_slice")))
     tallies = _tallies(e)
-    ends = ended.groupBy("_e_key", "_e_slice").agg(
-        F.min("_e_us").alias("_begin"), F.max("_last").alias("_last"), *[F.sum(tallies[n]).alias(f"s_{n}") for n in timed_tallies(e)],
-        *[F.sum(F.when(F.col("_e_us") == F.col("_last"), tallies[n]).otherwise(F.lit(0))).alias(f"t_{n}") for n in timed_tallies(e)],
-    )
-    carry = carry_in(slice_totals(events, e), e)
-    older = strict_carry(ends, e)
-    carry = carry.join(older, (F.col("_c_key") == F.col("_s_key")) & (F.col("_c_slice") == F.col("_s_slice"))).drop("_s_key", "_s_slice")
+    at_last = F.col("_e_us") == F.col("_last")
+    # all totals of a piece come from one pass, and both carries from one row per piece
+    pieces = slice_totals(ended, e, [
+        F.min("_e_us").alias("_begin"), F.max("_last").alias("_last"), *[F.sum(F.when(at_last, tallies[n]).otherwise(F.lit(0))).alias(f"t_{n}") for n in timed_tallies(e)],
+    ])
+    carry = carry_in(pieces, e, strict=True)
     out = statistics_over(events, carry, e, None)
     kept = [F.col("_e_key").cast(rows.schema[e.key].dataType).alias(e.key), F.col("_us"), F.col("_e_id").alias(roles.id)]
     if e.amounts:

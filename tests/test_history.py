@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from ledgerlark.catalog.views import ENTITIES, ORDER_ENTITIES, ROLES, tx_events, tx_orders
 from ledgerlark.operators.history import DAY_US, Entity, LabelRate, add_history, with_label_rates
+from ledgerlark.operators.history_events import piecewise_statistics
 
 RATES = (LabelRate(7), LabelRate(2, 10.0, 5, "_w5"))
 
@@ -179,3 +180,17 @@ def test_rows_that_cannot_be_ordered_are_refused_or_set_aside(spark):
         got = {r["tx_id"]: (r["device_tx_count_all"], r["device_label_n"]) for r in add_history(good, entities, ROLES, 0.5, hot_rows).collect()}
         assert got == {1: (0, 0), 5: (1, 1)}
     assert {r[0]: r[1] for r in rejected_counts(bad).collect()} == {"no_time": 1, "no_id": 1, "no_label": 1, "repeated_id": 2}
+
+
+def test_the_totals_of_a_heavy_key_come_from_one_fold_and_one_join(spark):
+    rows = spark.range(40).select(
+        F.col("id").alias("tx_id"), F.timestamp_seconds(F.col("id") % 5).alias("ts"), F.lit(1).alias("device"),
+        F.col("id").cast("double").alias("amount"), F.lit(0).alias("label"),
+    )
+    e = Entity("device", "device", True, (1,), age=True, amounts=True, rates=(LabelRate(1),))
+    out = piecewise_statistics(rows.withColumn("_us", F.unix_micros("ts")), e, ROLES, 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
+    got = {r["tx_id"]: (r["_h_n"], r["_h_strict"]) for r in out.collect()}
+    order = sorted(range(40), key=lambda i: (i % 5, i))
+    assert got == {i: (at, 8 * (i % 5)) for at, i in enumerate(order)}
