@@ -40,6 +40,26 @@ def asof_join(
     counts; put an id first to choose by it. Rows without a key or time find nothing. ``row_id`` spreads
     the rows when they meet their answers; it may repeat, for rows of one key and time get the same.
     """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    answers = asof_answers(rows, snapshots, key, ts, values, row_id, snapshot_ts, hot_rows, block_rows)
+    answers = answers.select(F.col("_id").alias("_a_id"), F.col("_k").alias("_a_k"), F.col("_us").alias("_a_us"), "_found").dropDuplicates(["_a_id", "_a_k", "_a_us"])
+    match = F.col(row_id).eqNullSafe(F.col("_a_id")) & F.col(key).eqNullSafe(F.col("_a_k")) & us.eqNullSafe(F.col("_a_us"))
+    found = rows.join(answers, match, "left")
+    return found.select(*[rows[c] for c in rows.columns], *[F.col("_found")[v].alias(f"asof_{v}") for v in values])
+
+
+def asof_answers(
+    rows: DataFrame,
+    snapshots: DataFrame,
+    key: str,
+    ts: str,
+    values: Sequence[str],
+    row_id: str,
+    snapshot_ts: str | None = None,
+    hot_rows: int | None = skew.HOT_ROWS,
+    block_rows: int = skew.BLOCK_ROWS,
+) -> DataFrame:
+    """What ``asof_join`` finds, as _id, _k, _us (time in microseconds) and _found for each row with a key and time."""
     snap_ts = F.col(snapshot_ts or ts).cast("timestamp")
     snaps = snapshots.where(F.col(key).isNotNull() & snap_ts.isNotNull()).select(
         F.col(key).alias("_k"), F.unix_micros(snap_ts).alias("_us"), F.lit(False).alias("_ask"), F.struct(*[F.col(v) for v in values]).alias("_snap"),
@@ -52,15 +72,10 @@ def asof_join(
     keys = both.select("_k")
     hot = None if skew.no_key_can_be_hot(keys, hot_rows) else skew.hot_keys(keys, "_k", hot_rows)
     if hot is None:
-        answers = _in_windows(both)
-    else:
-        marked = skew.mark_hot(both, "_k", hot)
-        answers = _in_windows(marked.where(~F.col("_hot")).drop("_hot"))
-        answers = answers.unionByName(_in_pieces(marked.where("_hot").drop("_hot"), block_rows))
-    answers = answers.select(F.col("_id").alias("_a_id"), F.col("_k").alias("_a_k"), F.col("_us").alias("_a_us"), "_found").dropDuplicates(["_a_id", "_a_k", "_a_us"])
-    match = F.col(row_id).eqNullSafe(F.col("_a_id")) & F.col(key).eqNullSafe(F.col("_a_k")) & us.eqNullSafe(F.col("_a_us"))
-    found = rows.join(answers, match, "left")
-    return found.select(*[rows[c] for c in rows.columns], *[F.col("_found")[v].alias(f"asof_{v}") for v in values])
+        return _in_windows(both)
+    marked = skew.mark_hot(both, "_k", hot)
+    cold = _in_windows(marked.where(~F.col("_hot")).drop("_hot"))
+    return cold.unionByName(_in_pieces(marked.where("_hot").drop("_hot"), block_rows))
 
 
 def _in_windows(both: DataFrame) -> DataFrame:

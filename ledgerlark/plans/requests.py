@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import skew
-from ledgerlark.operators.asof import asof_join
+from ledgerlark.operators.asof import asof_answers
 from ledgerlark.operators.history import finish
-from ledgerlark.operators.history_events import first_meetings
 from ledgerlark.operators.history_spec import DAY_US, Entity, Roles
+from ledgerlark.session import pin
 
 _SUMS = ("n", "k", "s1", "s2")
 
@@ -37,7 +37,8 @@ def history_totals(df: DataFrame, e: Entity, roles: Roles = Roles(), centre: flo
         F.col(roles.amount).cast("double").alias("top"), F.col("_us").alias("first"), *[F.lit(0).cast("bigint").alias(m) for m in met],
     )
     for s, target in e.distinct:
-        firsts = first_meetings(known, e, roles, s, target).select(F.col("_e_key").alias("key"), F.col("_e_us").alias("at"), F.lit(1).cast("bigint").alias(f"met_{s}"))
+        # only the time of a meeting counts here, so it is folded without the id that parts rows of one time
+        firsts = known.groupBy(F.col(e.key).alias("key"), F.col(target).alias("_target")).agg(F.min("_us").alias("at")).select("key", "at", F.lit(1).cast("bigint").alias(f"met_{s}"))
         steps = steps.unionByName(firsts, allowMissingColumns=True)
     sums = [*_SUMS, *met]
     folded = steps.groupBy("key", "at").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.max("top").alias("top"), F.min("first").alias("first"))
@@ -80,14 +81,18 @@ def _with_entity(requests: DataFrame, totals: DataFrame, e: Entity, prior: float
     us = F.unix_micros(F.col(roles.ts).cast("timestamp"))
     values = ("n", "k", "s1", "s2", "top", "first", *[f"met_{s}" for s, _ in e.distinct])
     times = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(back).cast("bigint").alias("back")) for name, back in _lookups(e).items()]))
-    asks = requests.select(F.col(roles.id).alias("_r_id"), F.col(e.key).alias("key"), us.alias("_r_us"), times.alias("_t"))
+    asked = requests.select(F.col(roles.id).alias("_r_id"), F.col(e.key).alias("key"), us.alias("_r_us"))
+    # repeated requests go before they are taken apart, and the search reads the rest several times
+    asks = pin(asked.where("key is not null and _r_us is not null").dropDuplicates()).select("*", times.alias("_t"))
     # strictly older: the last microsecond before
-    asks = asks.select("_r_id", "key", "_r_us", F.col("_t.name").alias("_name"), F.timestamp_micros(F.col("_r_us") - F.col("_t.back") - 1).alias("at"))
+    asks = asks.select(F.struct("_r_id", "_r_us", F.col("_t.name").alias("name")).alias("_ask_id"), "key", F.timestamp_micros(F.col("_r_us") - F.col("_t.back") - 1).alias("at"))
     stored = totals.withColumn("at", F.timestamp_micros("at"))
-    found = asof_join(asks.where("key is not null and _r_us is not null").dropDuplicates(), stored, "key", "at", values, "_r_id", hot_rows=hot_rows, block_rows=block_rows)
+    # an id that says what was asked brings the answers together without another join with the asks
+    answers = asof_answers(asks, stored, "key", "at", values, "_ask_id", hot_rows=hot_rows, block_rows=block_rows)
+    found = answers.select(F.col("_id._r_id").alias("_r_id"), F.col("_k").alias("key"), F.col("_id._r_us").alias("_r_us"), F.col("_id.name").alias("_name"), "_found")
 
     def at(name: str, value: str):
-        return F.max(F.when(F.col("_name") == name, F.col(f"asof_{value}")))
+        return F.max(F.when(F.col("_name") == name, F.col("_found")[value]))
 
     raw = {"_h_n": at("now", "n"), "_h_strict": at("now", "n"), "_s1": at("now", "s1"), "_s2": at("now", "s2"), "_h_max": at("now", "top"), "_h_first": at("now", "first")}
     raw |= {f"_h_out_{w}": at(f"out_{w}", "n") for w in e.windows} | {f"_h_distinct_{s}": at("now", f"met_{s}") for s, _ in e.distinct}

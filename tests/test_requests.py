@@ -61,3 +61,11 @@ def test_empty_history_and_requests(spark):
     got = request_history(some, {"dev": history_totals(none, E, ROLES)}, (E,), 0.1, ROLES)
     assert got.count() == 5 and got.where("dev_tx_count_all > 0 or dev_is_first_seen = 0").count() == 0
     assert request_history(none, {"dev": history_totals(some, E, ROLES)}, (E,), 0.1, ROLES).count() == 0
+
+
+def test_answers_are_gathered_without_another_join(spark):
+    totals = history_totals(table(spark, drawn(5, 30)), E, ROLES)
+    # first meetings are folded by hash, not sorted on the map side
+    assert "SortAggregate" not in totals._jdf.queryExecution().toString()
+    found = request_history(table(spark, drawn(6, 10)), {"dev": totals}, (E,), 0.1, ROLES)
+    assert "_a_id" not in found._jdf.queryExecution().toString()
