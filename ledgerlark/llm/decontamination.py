@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.words import chain, mix, slices, split_words
+from ledgerlark.llm.words import LEAN_SLICE_BYTES, chain, mix, slices, split_words
 
 EDIT_SHARE = 0.2
 MIN_WORDS = 5
@@ -280,7 +280,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, min_words: int = 1) ->
     for items in item_blocks(benchmark, min_words):
 
         def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, size=16 << 20):
+            for part in slices(batches, size=2 * LEAN_SLICE_BYTES):
                 met = items.find(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -299,7 +299,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN
     for items in item_blocks(benchmark, min_words):
 
         def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, size=16 << 20):
+            for part in slices(batches, size=2 * LEAN_SLICE_BYTES):
                 keep = np.ones(part.num_rows, bool)
                 keep[items.find(part.column("text"))["text"].to_numpy(np.int64)] = False
                 yield part.filter(pa.array(keep))

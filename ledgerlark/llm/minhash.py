@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.components import components
 from ledgerlark.llm.tables import stored
-from ledgerlark.llm.words import chain, mix, run_hashes, slices, split_words
+from ledgerlark.llm.words import LEAN_SLICE_BYTES, chain, mix, run_hashes, slices, split_words
 from ledgerlark.session import pin
 
 SHINGLE = 5
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = _multipliers()
-        for part in slices(batches, size=1 << 20):
+        for part in slices(batches, size=LEAN_SLICE_BYTES):
             owner, value = shingles(part.column("text"))
             n = np.bincount(owner, minlength=part.num_rows)
             has = np.flatnonzero(n)
@@ -134,7 +134,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = SIMILARITY_PERCE
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(iter([batch]), "text_a"):
+            for part in slices(iter([batch]), "text_a", LEAN_SLICE_BYTES // 2):
                 own_a, a = shingles(part.column("text_a"))
                 own_b, b = shingles(part.column("text_b"))
                 size_a, size_b = np.bincount(own_a, minlength=part.num_rows), np.bincount(own_b, minlength=part.num_rows)

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.tables import stored
-from ledgerlark.llm.words import slices
+from ledgerlark.llm.words import LEAN_SLICE_BYTES, slices
 
 CAPACITY, END_ID = 1024, 2
 POOL = 16_384
-_CACHED_CHUNKS = 500_000
+_CACHED_CHUNKS = 200_000
 #: White space that would meet a chunk's own space, or has none before it.
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z")
 
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_file: str
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder, end = worker_encoder(tokenizer_file), np.array([END_ID], "<u4").tobytes()
-        for part in slices(batches):
+        for part in slices(batches, size=LEAN_SLICE_BYTES):
             rows: list[tuple[int, int, int, int, int]] = []
             texts = [t or "" for t in part.column("text").to_pylist()]
             for line, ids in enumerate(encoder(texts)):

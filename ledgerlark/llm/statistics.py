@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.tables import text_key
-from ledgerlark.llm.words import chain, compact, run_hashes, slices, split_words
+from ledgerlark.llm.words import LEAN_SLICE_BYTES, chain, compact, run_hashes, slices, split_words
 
 _CLASSES = {"n_symbols": "#*$%&|<>", "n_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "n_digits": "0123456789", "n_marks": "!?.,;:"}
 COUNTS = (
@@ -93,7 +93,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and ``COUNTS`` for each row of ``docs``; reads only doc_id and text, moves no row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, size=LEAN_SLICE_BYTES):
             found = count_texts(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_key"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["doc_id", "text_key", *COUNTS]

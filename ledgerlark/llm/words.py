@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+#: Text at once where arrays per word are made: a worker lives on after its task and keeps the memory of its largest slice.
+LEAN_SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)

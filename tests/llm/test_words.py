@@ -54,3 +54,28 @@ def test_runs_stay_inside_a_text_and_slices_hold_all_rows():
     parts = list(slices(iter([batch, batch.slice(0, 0)]), size=10))
     assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(5)) and len(parts) > 1
     assert np.array_equal(split_words(pa.array([], pa.string())).codes, [])
+
+
+class _Local:
+    """Stands in for a table: runs the function of a task here and keeps its batches."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):
+        return list(f(iter([self.batch])))
+
+
+def test_a_worker_takes_little_text_at_once(spark):
+    import pyarrow as pa
+
+    from ledgerlark.llm.packing import token_pieces
+    from ledgerlark.llm.statistics import text_statistics
+
+    batch = pa.record_batch({"doc_id": list(range(6)), "text": ["some words " * 40_000] * 6, "text_key": [0] * 6})
+    for found in (text_statistics(_Local(batch)), token_pieces(_Local(batch))):
+        assert max(len(set(b.column("doc_id").to_pylist())) for b in found) <= 3
+        assert sorted({i for b in found for i in b.column("doc_id").to_pylist()}) == list(range(6))
