@@ -146,6 +146,16 @@ def carry_in(per_slice: DataFrame, e: Entity, strict: bool = False) -> DataFrame
     )
 
 
+def carry_over(totals: DataFrame, e: Entity) -> DataFrame:
+    """``merge_totals`` of earlier runs as what is carried into the one slice of a key."""
+    return totals.select(
+        F.col("_e_key").alias("_c_key"),
+        F.lit(0).cast("bigint").alias("_c_slice"),
+        *[F.col(f"s_{name}").alias(f"_c_{name}") for name in (*_tallies(e), "first", "last", "max", "sum")],
+        F.when(F.col("s_n") > 0, F.col("s_spread")).alias("_c_spread"),
+    )
+
+
 def merge_totals(per_slice: DataFrame, e: Entity) -> DataFrame:
     """All slices of a key as one row, in the form of ``slice_totals``."""
     return _centred(per_slice).groupBy("_e_key").agg(

@@ -6,6 +6,11 @@ entity: totals per key, events still in the future (window exits, label releases
 (key, target) pairs, and the rows waiting for the watermark. All work is joins, grouping and windows,
 so a heavy key is cut in time exactly as in batch, and the results equal the batch results.
 
+The rows of a batch are written once and read from there, in the session that started the stream: the one
+that Spark gives to a batch has adaptive execution off, and would cut every small table into all shuffle
+partitions. Only events that fall before the watermark meet the rows; later ones stay in the state. First
+meetings are found once a batch and added to the known pairs, which are never rewritten.
+
 State versions and outputs are written under the batch number, so a repeated batch overwrites itself;
 the version before is kept until the next batch is complete. The folder belongs to one checkpoint.
 """
@@ -25,6 +30,7 @@ from ledgerlark.operators.history_events import (
     EVENT,
     add_slices,
     carry_in,
+    carry_over,
     events_of,
     first_meetings,
     merge_totals,
@@ -49,7 +55,8 @@ class HistoryStream:
     slice_us: int = skew.SLICE_US
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        writer = stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
+        spark = stream.sparkSession
+        writer = stream.writeStream.foreachBatch(lambda batch, i: self.update(batch, i, spark)).option("checkpointLocation", checkpoint)
         return writer.trigger(**trigger).start()
 
     def features(self, spark: SparkSession) -> DataFrame:
@@ -71,71 +78,68 @@ class HistoryStream:
 
     # -- one micro-batch -----------------------------------------------------------------------------
 
-    def update(self, batch: DataFrame, batch_id: int) -> None:
-        us = F.unix_micros(F.col(self.roles.ts).cast("timestamp"))
-        timed = batch.withColumn("_us", us)
+    def update(self, batch: DataFrame, batch_id: int, spark: SparkSession | None = None) -> None:
+        """Take in one micro-batch; its work runs in ``spark``, by default the session of the batch."""
+        self._write(batch.withColumn("_us", F.unix_micros(F.col(self.roles.ts).cast("timestamp"))), batch_id, "arrived")
+        timed = self._read(spark or batch.sparkSession, batch_id, "arrived")
         # rows without a time have no place before or after others; they are kept aside
-        timed.where(us.isNull()).drop("_us").write.mode("overwrite").parquet(f"{self.folder}/rejected/batch={batch_id}")
-        self._step(timed.where(us.isNotNull()), batch_id, closed=False)
+        timed.where("_us is null").drop("_us").write.mode("overwrite").parquet(f"{self.folder}/rejected/batch={batch_id}")
+        self._step(timed.where("_us is not null"), batch_id, closed=False)
 
     def _step(self, rows: DataFrame, batch_id: int, closed: bool) -> None:
         spark = rows.sparkSession
         before = batch_id - 1
         mark = self._mark(spark, before)
-        rows = rows.persist()
-        try:
-            late = rows.where(F.col("_us") <= mark).count()
-            waiting = rows.where(F.col("_us") > mark)
-            if before >= 0:
-                waiting = waiting.unionByName(self._read(spark, before, "waiting"))
-            newest = waiting.agg(F.max("_us")).first()[0]
-            upto = _CLOSED if closed else max(mark, (newest if newest is not None else mark) - self.delay_us)
-            self._write(waiting.where(F.col("_us") > upto), batch_id, "waiting")
-            ready = waiting.where(F.col("_us") <= upto)
-            out = ready
-            for e in self.entities:
-                out = finish(self._advance(out, ready, e, batch_id, upto), e, self.roles, self.prior)
-            out.drop("_us").write.mode("overwrite").parquet(f"{self.folder}/features/batch={batch_id}")
-            marks = spark.createDataFrame([(batch_id, upto, late)], "batch_id bigint, upto bigint, late bigint")
-            marks.coalesce(1).write.mode("overwrite").json(f"{self.folder}/marks/batch={batch_id}")
-        finally:
-            rows.unpersist()
+        waiting = rows.where(F.col("_us") > mark)
+        if before >= 0:
+            waiting = waiting.unionByName(self._read(spark, before, "waiting"))
+        late = rows.where(F.col("_us") <= mark).count()
+        newest = waiting.agg(F.max("_us")).first()[0]
+        upto = _CLOSED if closed else max(mark, (newest if newest is not None else mark) - self.delay_us)
+        self._write(waiting.where(F.col("_us") > upto), batch_id, "waiting")
+        # ids may repeat, so rows get numbers by which they meet their features again
+        self._write(waiting.where(F.col("_us") <= upto).withColumn("_n", F.monotonically_increasing_id()), batch_id, "ready")
+        out = ready = self._read(spark, batch_id, "ready")
+        for e in self.entities:
+            found = finish(self._advance(ready, e, batch_id, upto), e, self.roles, self.prior)
+            out = out.join(found.select("_n", *[c for c in found.columns if c not in ready.columns]), "_n")
+        out.drop("_us", "_n").write.mode("overwrite").parquet(f"{self.folder}/features/batch={batch_id}")
+        marks = spark.createDataFrame([(batch_id, upto, late)], "batch_id bigint, upto bigint, late bigint")
+        marks.coalesce(1).write.mode("overwrite").json(f"{self.folder}/marks/batch={batch_id}")
         self._forget(spark, batch_id - 2)
 
-    def _advance(self, df: DataFrame, ready: DataFrame, e: Entity, batch_id: int, upto: int) -> DataFrame:
-        """Statistics of the ready rows for one entity; writes the entity's next state."""
-        spark, before = df.sparkSession, batch_id - 1
-        arrivals = events_of(df, e, self.roles, df.columns)
-        narrow = events_of(ready, e, self.roles)
+    def _advance(self, ready: DataFrame, e: Entity, batch_id: int, upto: int) -> DataFrame:
+        """Statistics of the ready rows for one entity, with the columns that ``finish`` reads; writes the entity's next state."""
+        spark, before = ready.sparkSession, batch_id - 1
+        keep = list(dict.fromkeys(["_n", "_us", e.key, *([self.roles.amount] if e.amounts else [])]))
+        events = events_of(ready, e, self.roles, keep)
         known = ready.where(F.col(e.key).isNotNull()).select(F.col(e.key).alias("_e_key"))
         if before >= 0:
             pending = self._read(spark, before, f"{e.name}_pending")
-            arrivals = arrivals.unionByName(pending, allowMissingColumns=True)
-            narrow = narrow.unionByName(pending)
+            events = events.unionByName(pending, allowMissingColumns=True)
             known = known.unionByName(pending.select("_e_key"))
         for suffix, target in e.distinct:
             met = first_meetings(ready, e, self.roles, suffix, target)
-            pairs = met.select("_e_key", "_target")
             if before >= 0:
-                old = self._read(spark, before, f"{e.name}_met_{suffix}")
+                old = self._read_upto(spark, before, f"{e.name}_met_{suffix}").select(F.col("_e_key").alias("_o_key"), F.col("_target").alias("_o_target"))
                 same = (F.col("_e_key") == F.col("_o_key")) & F.col("_target").eqNullSafe(F.col("_o_target"))
-                met = met.join(old.toDF("_o_key", "_o_target"), same, "left_anti")
-                pairs = old.unionByName(met.select("_e_key", "_target"))
-            self._write(pairs, batch_id, f"{e.name}_met_{suffix}")
-            arrivals = arrivals.unionByName(met.drop("_target"), allowMissingColumns=True)
-            narrow = narrow.unionByName(met.drop("_target"), allowMissingColumns=True)
-
-        hot = skew.hot_keys(known, "_e_key", self.hot_rows)
-        self._write(narrow.where((F.col("_e_us") > upto) & F.col("_e_key").isNotNull()).select(*EVENT), batch_id, f"{e.name}_pending")
-        with_key = narrow.where(F.col("_e_key").isNotNull())
-        per_slice = slice_totals(add_slices(with_key, hot, self.slice_us), e)
-        done = slice_totals(add_slices(with_key.where(F.col("_e_us") <= upto), hot, self.slice_us), e)
-        if before >= 0:
-            seeds = self._read(spark, before, f"{e.name}_totals")
-            per_slice = per_slice.unionByName(seeds)
-            done = done.unionByName(seeds)
+                met = met.join(old, same, "left_anti")
+            self._write(met, batch_id, f"{e.name}_met_{suffix}")
+            met = self._read(spark, batch_id, f"{e.name}_met_{suffix}").drop("_target")
+            events = events.unionByName(met, allowMissingColumns=True)
+
+        self._write(events.where((F.col("_e_us") > upto) & F.col("_e_key").isNotNull()).select(*EVENT), batch_id, f"{e.name}_pending")
+        # what falls after the watermark falls after every ready row
+        due = events.where(F.col("_e_us") <= upto)
+        hot = None if skew.no_key_can_be_hot(known, self.hot_rows) else skew.hot_keys(known, "_e_key", self.hot_rows)
+        sliced = add_slices(due, hot, self.slice_us)
+        done = slice_totals(sliced.where(F.col("_e_key").isNotNull()), e)
+        seeds = self._read(spark, before, f"{e.name}_totals") if before >= 0 else done.where(F.lit(False))
+        done = done.unionByName(seeds)
         self._write(merge_totals(done, e), batch_id, f"{e.name}_totals")
-        return statistics_over(add_slices(arrivals, hot, self.slice_us), carry_in(per_slice, e), e, df.columns)
+        # without heavy keys a key is one slice, and only the totals of earlier batches come before it
+        carry = carry_over(seeds, e) if hot is None else carry_in(done, e)
+        return statistics_over(sliced, carry, e, keep)
 
     # -- versioned tables ----------------------------------------------------------------------------
 
@@ -148,11 +152,15 @@ class HistoryStream:
     def _read(self, spark: SparkSession, batch_id: int, name: str) -> DataFrame:
         return spark.read.parquet(self._path(batch_id, name))
 
+    def _read_upto(self, spark: SparkSession, batch_id: int, name: str) -> DataFrame:
+        """What all batches up to this one have added."""
+        return spark.read.parquet(*[self._path(i, name) for i in range(batch_id + 1)])
+
     def _forget(self, spark: SparkSession, batch_id: int) -> None:
         """Drop a state version that no retry can need any more."""
-        names = ["waiting"]
+        names = ["arrived", "waiting", "ready"]
         for e in self.entities:
-            names += [f"{e.name}_pending", f"{e.name}_totals"] + [f"{e.name}_met_{s}" for s, _ in e.distinct]
+            names += [f"{e.name}_pending", f"{e.name}_totals"]
         for name in names:
             old = spark._jvm.org.apache.hadoop.fs.Path(self._path(batch_id, name))
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from ledgerlark.catalog.stream_queries import stream_pit
 from ledgerlark.catalog.views import ROLES, tx_events
 from ledgerlark.operators.history import DAY_US, Entity, LabelRate, add_history
 from ledgerlark.session import scratch_folder
@@ -73,3 +74,21 @@ def test_late_rows_are_counted(spark):
     job = run(spark, tx, [rest, early], DAY_US)
     assert job.late_rows(spark) == 1
     assert job.features(spark).count() == tx.count() - 1
+
+
+def test_state_grows_by_new_pairs_only(spark):
+    tx = tx_events(spark, SMALL).where("ts < timestamp '2024-01-11'")
+    folder = scratch_folder(spark, "t")
+    job = HistoryStream(ENTITIES[:1], ROLES, 0.1, folder, 0)
+    job.update(tx.where("ts < timestamp '2024-01-06'"), 0)
+    job.update(tx.where("ts >= timestamp '2024-01-06'"), 1)
+    pairs = [{tuple(r) for r in spark.read.parquet(f"{folder}/state/device_met_receivers/version={i}").select("_e_key", "_target").collect()} for i in range(2)]
+    assert pairs[0] and pairs[1] and not pairs[0] & pairs[1]
+    assert len(pairs[0] | pairs[1]) == tx.select("device", "receiver").distinct().count()
+
+
+def test_no_row_is_late_however_the_events_lie_in_files(spark, tmp_path):
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.where("ts < timestamp '2024-01-16'").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    events.where("ts >= timestamp '2024-01-16'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert stream_pit(spark, str(tmp_path)).count() == events.count()
