@@ -139,6 +139,20 @@ def test_forest_keeps_the_nodes_of_rows_between_passes(features):
     assert {p: forest.getOrDefault(p) for p in T.FOREST} == T.FOREST
 
 
+def test_train_eval_fits_its_models_at_their_full_parameters(spark, table, monkeypatch):
+    given = []
+    monkeypatch.setattr(Q, "feature_table", lambda *a: table)
+    monkeypatch.setattr(Q.T, "train_and_evaluate", lambda t, variants, models, *a: given.extend([sorted(variants), *models]))
+    monkeypatch.setattr(Q.reports, "model_comparison", lambda metrics: metrics)
+    Q.train_eval(spark, SMALL)
+    variants, *models = given
+    assert variants == ["demographic_free", "full"]
+    assert {m.name: dict(m.params) for m in models} == {
+        "logreg": T.LOGREG, "random_forest": T.FOREST, "hist_gbm": {**T.BOOSTED, **T.BOOSTED_TUNED}, "ordered_gbm": T.BOOSTED_ORDERED,
+    }
+    assert [m.params["maxIter"] for m in models if m.kind in ("boosted", "ordered")] == [600, 600]
+
+
 def test_cases_of_an_audit_share_one_encoding(table, features, monkeypatch):
     fits = []
     fit_encoders = T.fit_encoders
