@@ -1,6 +1,9 @@
 import hashlib
 import random
+import threading
+import time
 from collections import defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +70,68 @@ def test_slices_follow_the_variant(store, table):
     assert len(store.slots("trees", part)) == len(part.names)
 
 
+def evaluated(monkeypatch, table, store, fit_stored, on_fit=None):
+    monkeypatch.setattr(T, "build_store", lambda *a: store)
+    monkeypatch.setattr(T, "fit_stored", fit_stored)
+    monkeypatch.setattr(T, "for_raw_rows", lambda store, fitted, m: fitted)
+    monkeypatch.setattr(T, "predict", lambda fitted, df: df.withColumn("score", F.rand(fitted)))
+    variants = {"full": Q.features_of(table, False), "demographic_free": Q.features_of(table, True)}
+    return T.train_and_evaluate(table, variants, MODELS, lambda: F.lit(0.5), on_fit)
+
+
+def test_fits_go_on_together_within_the_rows_that_may_be_held(table, store, monkeypatch):
+    lock, now, most, order, saved = threading.Lock(), set(), [], [], []
+
+    def fit(s, f, m):
+        with lock:
+            now.add(key := (m.name, len(f.names)))
+            most.append(len(now))
+            order.append(m.kind)
+        time.sleep(0.5)
+        with lock:
+            now.discard(key)
+        return len(order)
+
+    got = evaluated(monkeypatch, table, store, fit, lambda name, fitted: saved.append(name))
+    names = {(r["model"], r["variant"], r["split"]) for r in got.collect()}
+    assert names == {(n, v, s) for n in ("rule_based", *(m.name for m in MODELS)) for v in ("full", "demographic_free") for s in ("val", "test")}
+    assert max(most) == T.FITS_AT_ONCE and set(order[:4]) == {"boosted", "ordered"}
+    assert sorted(saved) == sorted(f"{m.name}__{v}" for m in MODELS for v in ("full", "demographic_free"))
+    for rows, at_once in ((T.ROWS_AT_ONCE // 2, 2), (T.ROWS_AT_ONCE * 5, 1)):
+        most.clear()
+        evaluated(monkeypatch, table, replace(store, n_train=rows), fit)
+        assert max(most) == at_once
+
+
+def test_a_fit_that_fails_ends_the_run_with_its_error(table, store, monkeypatch):
+    begun = []
+
+    def fit(s, f, m):
+        begun.append(m.kind)
+        raise ValueError(f"lost {m.kind}")
+
+    with pytest.raises(ValueError, match="lost (ordered|boosted)"):
+        evaluated(monkeypatch, table, replace(store, n_train=T.ROWS_AT_ONCE * 5), fit)
+    assert len(begun) < 2 * len(MODELS)
+
+
+def test_boosted_fits_have_no_tasks_of_few_rows(table, store, monkeypatch):
+    f, later = Q.features_of(table, False), store.rows.where("split <> 'train'")
+    rows = replace(store, rows=store.rows.repartition(6))
+    parts = []
+    fit = T.Pipeline.fit
+    monkeypatch.setattr(T.Pipeline, "fit", lambda self, df, *a: parts.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    for m in MODELS:
+        parts.clear()
+        whole = scores(T.predict(T.fit_stored(rows, f, m), later))
+        monkeypatch.setattr(T, "BOOSTED_TASK_ROWS", store.n_train // 2 + 1)
+        halves = scores(T.predict(T.fit_stored(rows, f, m), later))
+        monkeypatch.undo()
+        monkeypatch.setattr(T.Pipeline, "fit", lambda self, df, *a: parts.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+        assert whole == halves
+        assert parts == ([1, 2] if m.kind in ("boosted", "ordered") else [6, 6])
+
+
 # -- ordered statistics ------------------------------------------------------------------------------
 
 
